@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licences, mixing, packing
+from . import fingerprints, langid, licences, mixing, neardup, packing, substrings
 from .scratch import Scratch
 
 
@@ -57,6 +57,15 @@ SELECT doc_id, size, source_size, target,
 FROM p"""
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept_sha256").alias("kept_sha256"))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -66,6 +75,6 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_language_id, op4_source_mixing, op8_license_scan, op10_document_fingerprints)
+    f.__name__: f for f in (op1_best_fit_packing, op3_language_id, op4_source_mixing, op5_substring_dedup, op7_minhash_near_dedup, op8_license_scan, op10_document_fingerprints)
 }
 ORACLES: dict[str, str] = {"op4_source_mixing": OP4_SQL}
