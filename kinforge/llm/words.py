@@ -89,12 +89,12 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, memoryview]:
     return at, memoryview(data) if data is not None else memoryview(b"")
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about BLOCK bytes."""
+def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Row ranges of about so many bytes."""
     at, _ = _buffers(column)
     low, n = 0, len(at) - 1
     while low < n:
-        high = int(np.searchsorted(at, at[low] + BLOCK, "right")) - 1
+        high = int(np.searchsorted(at, at[low] + size, "right")) - 1
         high = min(max(high, low + 1), n)
         yield low, high
         low = high
