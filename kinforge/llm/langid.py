@@ -166,11 +166,11 @@ def sample(docs: DataFrame) -> dict[str, str]:
     return {k: " ".join(t for _, t in sorted(v))[: 2 * MODEL_CHARS] for k, v in texts.items()}
 
 
-def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
-    """docs' columns with lang_pred and score; learns from learn_from (docs themselves)."""
+def identify(docs: DataFrame, learn_from: DataFrame | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted label and its score under names; learns from learn_from (docs themselves)."""
     texts = sample(docs if learn_from is None else learn_from)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    kept = [c for c in docs.columns if c not in names]
+    schema = docs.select(*kept).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(texts)
@@ -187,6 +187,6 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
             labels = [p if x else "und" for p, x in zip(labels, seen)]
             scores = [s if x and p != "und" else 0.0 for p, s, x in zip(labels, scores, seen)]
             arrays = [batch.column(c) for c in kept] + [pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, *names])
 
     return docs.select(*kept, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters")).mapInArrow(run, schema)
