@@ -1 +1 @@
-""""""
+"""Column expressions and small helpers."""

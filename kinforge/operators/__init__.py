@@ -1 +1 @@
-""""""
+"""Operators over DataFrames: plans in, plans out."""

@@ -1 +1 @@
-""""""
+"""Specs, their graph, and the runs that put operators together."""

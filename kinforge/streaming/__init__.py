@@ -1 +1 @@
-""""""
+"""Checks of arriving batches."""
