@@ -29,7 +29,7 @@ def unique_columns(df: DataFrame, exact_only: bool = False) -> list[str]:
     facts = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)], *[F.approx_count_distinct(c, 0.05).alias(f"d{i}") for i, c in enumerate(columns)]).first()
     n = facts["n"]
     likely = [c for i, c in enumerate(columns) if n and facts[f"c{i}"] == n and (exact_only or facts[f"d{i}"] >= SURELY * n)]
-    return [c for c in likely if df.groupBy(c).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] == 1]
+    return [c for c in likely if df.select(F.col(c).alias("v")).groupBy("v").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] == 1]
 
 
 def discover_keys(tables: Mapping[str, DataFrame]) -> DataFrame:

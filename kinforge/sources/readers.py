@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CSV = {"header": "true", "inferSchema": "true"}
+#: Lines looked at to guess an encoding.
+HEAD = 1000
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", options: Mapping[str, str] | None = None, limit: int | None = None) -> DataFrame:
@@ -74,19 +76,19 @@ def is_parquet(spark: SparkSession, path: str) -> bool:
 
 
 def read_messy_csv(spark: SparkSession, path: str, separators: str = ",;\t|", encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
-    """A CSV of unknown separator and encoding. The header decides both: no broken characters, then most columns;
+    """A CSV of unknown separator and encoding. The first lines decide both: no broken characters, then most columns;
     rows that do not fit are dropped. A Parquet file under a CSV name is read as what it is."""
     if is_parquet(spark, path):
         return spark.read.parquet(path)
     best = None
     for encoding in encodings:
         lines = spark.read.text(path) if encoding == "UTF-8" else spark.read.option("encoding", encoding).csv(path, sep="\u0001")
-        head = lines.limit(1).collect()
-        if not head or head[0][0] is None:
+        head = [r[0] or "" for r in lines.limit(HEAD).collect()]
+        if not head or not head[0]:
             continue
-        line = head[0][0].lstrip("﻿")
+        line = head[0].lstrip("\ufeff")
         sep = max(separators, key=line.count)
-        rank = ("�" not in line, line.count(sep))
+        rank = (not any("\ufffd" in x for x in head), line.count(sep))
         if best is None or rank > best[0]:
             best = rank, encoding, sep
     if best is None:
