@@ -39,7 +39,10 @@ SCHEMA = "doc_id long, lang_pred string, score double"
 
 
 def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """The suffix automaton's steps: out[state * width + symbol] = 2 * next state + (1 if a phrase ended)."""
+    """The suffix automaton's steps: out[state * width + symbol] = 4 * next state + phrases that end there.
+
+    State 0 is between phrases; a symbol that the text lacks is a phrase of its own.
+    """
     link, length, step = [-1], [0], [{}]
     last = 0
     for c in symbols:
@@ -68,11 +71,12 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
     root = np.zeros(width, np.int32)
     for c, s in step[0].items():
         root[c] = s
-    out[:] = 2 * root + 1
+    out[:] = 4 * root + np.where(root == 0, 2, 1)
+    out[0] -= 1
     for s, steps in enumerate(step):
         for c, to in steps.items():
-            out[s, c] = 2 * to
-    out[:, PAD] = 2 * np.arange(len(link))
+            out[s, c] = 4 * to
+    out[:, PAD] = 4 * np.arange(len(link))
     return out.ravel()
 
 
@@ -121,9 +125,9 @@ class Model:
                 if not n:
                     break
                 to = step.take(state[:n] * self.width + columns[t, :n])
-                ended[:n] += to & 1
-                state[:n] = to >> 1
-            np.add.at(out[k], owner[order], ended + 1)
+                ended[:n] += to & 3
+                state[:n] = to >> 2
+            np.add.at(out[k], owner[order], ended + (state > 0))
         return size, out
 
 
@@ -146,8 +150,8 @@ def classify(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
     rate = count / np.maximum(size, 1)
     best = rate.argmin(0)
     least = rate.min(0)
-    other = np.partition(rate, 1, 0)[1] if len(rate) > 1 else np.full(len(texts), np.inf)
-    sure = np.where(np.isinf(other), 1.0, other / np.maximum(least + other, 1e-12))
+    other = np.partition(rate, 1, 0)[1] if len(rate) > 1 else least
+    sure = other / np.maximum(least + other, 1e-12) if len(rate) > 1 else np.ones(len(texts))
     return [model.labels[b] for b in best], [float(x) for x in np.clip(sure, 0, 1)]
 
 

@@ -9,11 +9,15 @@ dropped before the keys are formed.
 
 Members of a table key are never paired with each other outright:
 1. each class is compared with the least class among its keys;
-2. keys that still hold several components and over SMALL classes are compared
-   around the class that shares most of its shingles with others of such keys;
-3. what is left is compared across components, where sizes and, in large keys, the
-   count of shingles that a class alone has leave the threshold within reach. Both
-   are bounds on the similarity, so no link is lost.
+2. in keys that still hold several components, and more than SMALL classes, each
+   class is compared with the key's centre, the class that shares most keys. Two
+   classes that are linked to one centre need no further look. Of others, a pair has
+   at most as many shingles in common as both share with the centre, plus what they
+   share beside it. So it is compared if the first number alone is enough (found by
+   a join on sizes), or if it has a shingle beside the centre in common among the
+   rarest (100 - percent) % of both (a prefix filter);
+3. in small keys, classes of different components are compared.
+Steps 2 and 3 skip only pairs that cannot reach the threshold, so no link is lost.
 All compared pairs are confirmed on full sets; links join into components.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing;
@@ -32,13 +36,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .fingerprints import shingles
 from .graphs import components
 from .scratch import Scratch
 from .words import U, blocks, join, mix
 
-MISS, SMALL = 1e-5, 24
+MISS, SMALL = 1e-5, 8
 _MULTIPLIERS = mix(np.arange(1, 4096, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -106,6 +111,22 @@ def _confirm(percent: int):
     return run
 
 
+def _beside(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both, linked, beside = [], [], []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                own = x[~np.isin(x, y, assume_unique=True)]
+                n = len(x) - len(own)
+                both.append(n)
+                linked.append(100 * n >= percent * (len(x) + len(y) - n))
+                beside.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "v", "n")), pa.array(both, pa.int64()), pa.array(linked, pa.bool_()), pa.array(beside, pa.list_(pa.int64()))], ["u", "v", "n", "both", "linked", "beside"])
+
+    return run
+
+
 class Search:
     """The classes of one table and the steps over them."""
 
@@ -143,6 +164,9 @@ class Search:
         b = self.sets.select(F.col("id").alias("v"), F.col("shingles").alias("sb"))
         return self.scratch.keep(pairs.select("u", "v").distinct().join(a, "u").join(b, "v").mapInArrow(_confirm(self.percent), "u long, v long"), name)
 
+    def with_component(self, members: DataFrame, label: DataFrame) -> DataFrame:
+        return members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
     def components(self) -> DataFrame:
         """(id, component) of linked classes."""
         keep = self.scratch.keep
@@ -151,56 +175,67 @@ class Search:
         self.sets = self.sets_of(members.select("id"))
         self.scratch.release()
         around = members.where(F.col("id") > F.col("least.id")).where(self.near_size("n", "least.n"))
-        first = around.groupBy("id").agg(F.min("least.id").alias("v")).select(F.col("id").alias("u"), "v")
-        first = keep(first, "pairs1")
+        first = keep(around.groupBy("id").agg(F.min("least.id").alias("v")).select(F.col("id").alias("u"), "v"), "pairs1")
         links = self.confirmed(first, "links1")
         label = components(links, self.scratch, "c1")
 
-        labelled = lambda m, c: m.join(c, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = lambda m: m.join(m.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), "key")
-        open_ = keep(several(labelled(members.select("key", "id", "n", "c"), label)), "open1")
-        large = open_.where(F.col("c") > SMALL)
-        alone = self.shared_counts(large)
-        large = keep(large.join(alone, "id"), "large")
-        centre = large.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("n"), -F.col("id"), "n")).alias("top"))
-        near = large.join(centre, "key").withColumn("v", -F.col("top.col2")).where(F.col("id") != F.col("v")).where(self.near_size("n", "top.n"))
-        second = near.groupBy("id").agg(F.max(F.struct("top", "v")).alias("t")).select(F.col("id").alias("u"), "t.v")
-        second = keep(second.join(first, ["u", "v"], "left_anti"), "pairs2")
-        links2 = self.confirmed(second, "links2")
-        links = links.unionByName(links2)
+        labelled = self.with_component(members.select("key", "id", "n", "c"), label)
+        several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        open_ = keep(labelled.drop("component").join(several, "key"), "open")
+        compared = self.around_centres(open_.where(F.col("c") > SMALL))
+        links = links.unionByName(compared.where("linked").select("u", "v"))
         label = keep(components(links, self.scratch, "c2"), "label2")
 
-        relabelled = lambda m: several(labelled(m.drop("component"), label))
-        rest = self.across(relabelled(open_.where(F.col("c") <= SMALL)).withColumn("shared", F.col("n")))
-        rest = rest.unionByName(self.across(relabelled(large.where(F.col("shared") * 100 >= self.percent * F.col("n"))))).distinct()
-        tested = first.unionByName(second)
-        tested = tested.unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        small = self.with_component(open_.where(F.col("c") <= SMALL), label)
+        group = self.with_component(compared.withColumnRenamed("u", "id"), label)
+        rest = self.across(small).unionByName(self.by_size(group)).unionByName(self.by_shingle(group)).distinct()
+        tested = first.unionByName(compared.select("u", "v"))
+        tested = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         rest = keep(rest.join(tested, ["u", "v"], "left_anti"), "pairs3")
-        links3 = self.confirmed(rest, "links3")
-        return components(links.unionByName(links3), self.scratch, "c3")
-
-    def shared_counts(self, large: DataFrame) -> DataFrame:
-        """id -> how many of its shingles another class of large keys has too."""
-        ids = large.select("id").distinct()
-        each = ids.join(self.sets, "id").mapInArrow(_one_by_one, "id long, h long")
-        others = each.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-        found = each.join(others, "h").groupBy("id").agg(F.count("*").alias("shared"))
-        return ids.join(found, "id", "left").select("id", F.coalesce("shared", F.lit(0)).alias("shared"))
+        return components(links.unionByName(self.confirmed(rest, "links3")), self.scratch, "c3")
+
+    def around_centres(self, large: DataFrame) -> DataFrame:
+        """(u, v, n, both, linked, beside) of each class u and the centres v of its keys: shingles in common, and those of u alone."""
+        score = large.groupBy("id").agg(F.sum("c").alias("score"))
+        scored = large.join(score, "id")
+        centre = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("v"))
+        pairs = scored.join(centre, "key").where("id <> v").select(F.col("id").alias("u"), "v", "n").distinct()
+        a = self.sets.select(F.col("id").alias("u"), F.col("shingles").alias("sa"))
+        b = self.sets.select(F.col("id").alias("v"), F.col("shingles").alias("sb"))
+        return self.scratch.keep(pairs.join(a, "u").join(b, "v").select("u", "v", "n", "sa", "sb").mapInArrow(_beside(self.percent), "u long, v long, n long, both long, linked boolean, beside array<long>"), "compared")
+
+    def _reach(self, both: F.Column, n: F.Column) -> F.Column:
+        """Whether so many common shingles can link sets of n shingles together."""
+        return (100 + self.percent) * both >= self.percent * n
+
+    def by_size(self, group: DataFrame) -> DataFrame:
+        """Pairs around a centre for which what both share with it is enough; one of them is not linked to it."""
+        low = F.ceil(F.col("n") * (self.percent / 100) - 1e-9)
+        high = F.floor(F.col("both") * ((100 + self.percent) / self.percent) - F.col("n") + 1e-9)
+        x = group.where(~F.col("linked")).where(low <= high).select(F.col("id").alias("a"), "v", F.col("n").alias("na"), F.col("both").alias("ba"), F.col("component").alias("ca"), F.explode(F.sequence(low, high)).alias("nb"))
+        y = group.select(F.col("id").alias("b"), "v", F.col("n").alias("nb"), F.col("both").alias("bb"), F.col("component").alias("cb"))
+        found = x.join(y, ["v", "nb"]).where("ca <> cb").where(self._reach(F.least("ba", "bb"), F.col("na") + F.col("nb")))
+        return found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+    def by_shingle(self, group: DataFrame) -> DataFrame:
+        """Pairs around a centre with a rare shingle beside it in common; one of them is not linked to it."""
+        each = group.select("id", "v", "n", "both", "linked", "component", F.explode("beside").alias("h"))
+        common = each.groupBy("h").agg(F.count_distinct("id").alias("k")).where("k > 1")
+        rare = F.row_number().over(W.partitionBy("id", "v").orderBy("k", "h"))
+        prefix = F.floor(F.col("n") * (1 - self.percent / 100) + 1e-9) + 1
+        # shingles that one class alone has come first in the order, though they match nothing
+        alone = group.select("id", "v", F.size("beside").alias("m"))
+        ranked = each.join(common, "h").join(alone, ["id", "v"]).withColumn("of", F.count("*").over(W.partitionBy("id", "v"))).withColumn("r", rare + F.col("m") - F.col("of")).where(F.col("r") <= prefix)
+        x = ranked.where(~F.col("linked")).select("v", "h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("both").alias("ba"), F.col("component").alias("ca"), F.col("of").alias("oa"))
+        y = ranked.select("v", "h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("both").alias("bb"), F.col("component").alias("cb"), F.col("of").alias("ob"))
+        found = x.join(y, ["v", "h"]).where("ca <> cb").where(self.near_size("na", "nb")).where(self._reach(F.least("ba", "bb") + F.least("oa", "ob"), F.col("na") + F.col("nb")))
+        return found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
     def across(self, m: DataFrame) -> DataFrame:
-        """Pairs of one key and two components that may reach the threshold: each has so many shingles that others share."""
-        a = m.select("key", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("shared").alias("su"), F.col("component").alias("cu"))
-        b = m.select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("shared").alias("sv"), F.col("component").alias("cv"))
-        most = F.least("su", "sv")
-        may = (F.col("cu") != F.col("cv")) & (F.col("u") > F.col("v")) & self.near_size("nu", "nv") & ((100 + self.percent) * most >= self.percent * (F.col("nu") + F.col("nv")))
-        return a.join(b, "key").where(may).select("u", "v").distinct()
-
-
-def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, s in zip(batch.column("id").to_pylist(), batch.column("shingles").to_pylist()):
-            h = np.frombuffer(s, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int64)), pa.array(h)], ["id", "h"])
+        """Pairs of one small key and two components."""
+        a = m.select("key", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
+        b = m.select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
+        return a.join(b, "key").where("cu <> cv and u > v").where(self.near_size("nu", "nv")).select("u", "v").distinct()
 
 
 def link(docs: DataFrame, length: int = 3, percent: int = 85) -> DataFrame:
