@@ -3,13 +3,14 @@
 A page is read into a tree of elements. Every element that holds text outside the
 page's article gets a hash of its subtree (tag, children, text); Spark counts on how
 many pages of a host each hash stands, and subtrees that recur on many pages of the
-host are deleted. Where a page marks its article (article or main), that part is the
-main text and is not searched for templates: pages may quote each other. From what
-remains, elements are left out that are never main text by their tag, role, class or
-id (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts,
-styles). Blocks of the rest are the text.
-
-Two passes read the pages; between them only hashes are shuffled. Counting is by
+host are deleted. From what remains, elements are left out that are never main text
+by their tag, role, class or id (menus, headers, footers, sidebars, notices, adverts,
+forms, comments, scripts, styles). Blocks of the rest are the text.
+
+Where a page marks its article (article or main), that part is the main text, no
+template stands in it (pages may quote each other), and what is deleted around it
+does not matter: such a page is done when it has been read once. Only pages without
+a marked article are kept for a second reading, after the counts. Counting is by
 (host, hash) with map-side combining, so a host with a third of all pages is spread.
 
 Defined cases: a null or empty page gives an empty text; broken markup is read as
@@ -35,6 +36,8 @@ MIN_PAGES, MIN_SHARE = 5, 0.01
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+
 # Element names by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp template svg math".split())
@@ -50,7 +53,7 @@ CLOSES = {
 NOISE = set(
     """ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side aside menu nav navbar navigation
     breadcrumb breadcrumbs cookie cookies consent notice notices popup modal alert comment comments comm disqus reply replies respond share sharing social
-    related recommended newsletter subscribe signup login footer foot header masthead topbar widget pagination pager toc contentinfo complementary search""".split()
+    related recommended newsletter subscribe signup login footer foot header masthead topbar widget pagination pager toc contentinfo complementary search announcement toast gdpr""".split()
 )
 
 
@@ -61,12 +64,18 @@ class Node:
         self.tag, self.noise, self.parts, self.key = tag, noise, [], None
 
 
-def is_noise(tag: str, attributes: str) -> bool:
-    if tag in NEVER:
+def is_noise(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is never main text; an article's own header is."""
+    if tag in NEVER or tag == "header" and not in_article:
+        return True
+    if not attributes or tag in ("body", "html"):
+        return False
+    if HIDDEN.search(attributes):
         return True
     for m in ATTRIBUTE.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
-        if tag not in ("body", "html") and any(w in NOISE for w in re.split(r"[^a-z]+", value)):
+        parts = value.split() if tag in ARTICLE else re.split(r"[^a-z]+", value)
+        if any(w in NOISE and not (in_article and w in ("header", "side", "top")) for w in parts):
             return True
     return False
 
@@ -99,7 +108,7 @@ def parse(page: str) -> Node:
                 break
             if stack[i].tag not in INLINE and not (tag in ("tr", "td", "th") and stack[i].tag in ("td", "th")):
                 break
-        node = Node(tag, is_noise(tag, m[3]))
+        node = Node(tag, is_noise(tag, m[3], any(n.tag in ARTICLE for n in stack)))
         stack[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -179,40 +188,52 @@ def blocks_of(nodes: list[Node], deleted: set[int]) -> list[str]:
     return out
 
 
-def main_text(page: str | None, deleted: set[int]) -> str:
+def text_of(root: Node, deleted: set[int]) -> str:
+    return "\n".join(blocks_of(articles(root) or [root], deleted))
+
+
+def main_text(page: str | None, deleted: set[int] = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
     if deleted:
         hash_outside(root)
-    found = articles(root)
-    return "\n".join(blocks_of(found or [root], deleted))
+    return text_of(root, deleted)
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of each page, and its text, or the page itself if it has to be read again."""
     for batch in batches:
-        keys = [sorted(set(hash_outside(parse(h)))) if h else [] for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(keys, pa.list_(pa.int64()))], ["page_id", "host", "keys"])
+        keys, texts, again = [], [], []
+        for page in batch.column("html").to_pylist():
+            root = parse(page or "")
+            keys.append(sorted(set(hash_outside(root))))
+            marked = not keys[-1] or bool(articles(root))
+            texts.append(text_of(root, set()) if marked else None)
+            again.append(None if marked else page)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(keys, pa.list_(pa.int64())), pa.array(texts, pa.string()), pa.array(again, pa.string())], ["page_id", "url", "host", "keys", "text", "again"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h, set(d or ())) for h, d in zip(batch.column("html").to_pylist(), batch.column("deleted").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        texts = [main_text(h, set(d or ())) for h, d in zip(batch.column("again").to_pylist(), batch.column("deleted").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text and n_chars of pages (page_id, url, html)."""
     scratch = Scratch(pages.sparkSession, "html")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
-    known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    seen = known.where("page_id is not null").select("page_id", host.alias("host"), "html").mapInArrow(_hashes, "page_id long, host string, keys array<long>")
-    seen = scratch.keep(seen, "seen")
-    each = seen.select("page_id", "host", F.explode("keys").alias("key"))
-    hosts = seen.groupBy("host").agg(F.count("*").alias("pages"))
+    known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
+    read = scratch.keep(known.mapInArrow(_read, "page_id long, url string, host string, keys array<long>, text string, again string"), "read")
+    counted = read.where("page_id is not null")
+    each = counted.select("host", F.explode("keys").alias("key"))
+    hosts = counted.groupBy("host").agg(F.count("*").alias("pages"))
     common = each.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     common = common.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "key")
-    deleted = scratch.keep(each.join(common, ["host", "key"]).groupBy("page_id").agg(F.collect_set("key").alias("deleted")).withColumnRenamed("page_id", "__id"), "deleted")
-    scratch.release()
-    joined = known.join(deleted, F.col("page_id") == F.col("__id"), "left")
-    return joined.select("page_id", "url", "html", "deleted").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    again = read.where("again is not null")
+    wanted = again.where("page_id is not null").select("page_id", "host", F.explode("keys").alias("key")).join(common, ["host", "key"])
+    deleted = wanted.groupBy(F.col("page_id").alias("__id")).agg(F.collect_set("key").alias("deleted"))
+    joined = again.join(deleted, F.col("page_id") == F.col("__id"), "left").select("page_id", "url", "again", "deleted")
+    out = read.where("again is null").select("page_id", "url", "text").unionByName(joined.mapInArrow(_texts, "page_id long, url string, text string"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -348,6 +348,12 @@ def test_pages(spark):
     assert pages.extract(df).count() == len(rows)
 
 
+def test_headers_inside_and_outside_an_article():
+    page = '<body><header><h1>Site</h1></header><article class="post side-note"><header class="post-header"><h1>Title</h1></header><p>Text</p><p hidden>no</p><div class="reader-comments"><p>c</p></div></article></body>'
+    assert pages.main_text(page) == "Title\nText"
+    assert pages.main_text("<header>Site</header><p>Text<div style='display: none'>no</div>") == "Text"
+
+
 def test_quoted_articles_stay(spark):
     rows = [(i, "http://z.org/x", f"<body><nav>n</nav><article><p>Shared line</p><p>Own {i}</p></article></body>") for i in range(10)]
     found = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
