@@ -2,8 +2,8 @@
 
 Vectors become integers, floor(SCALE * x). Rows are dealt into blocks by a hash;
 each pair of a query block and a row block is one task, in which both sides are
-indexed by cover trees: a node's children are centres that lie further apart than
-half its radius and cover its points within that. Node pairs are visited from the
+indexed by cover trees: a node's children are centres that cover its points within
+half its radius and lie further apart than what they cover. Node pairs are visited from the
 most promising one; a pair is pruned when the most that its centres and covering
 radii allow, <q, x> <= <cq, cx> + rq |cx| + rx |cq| + rq rx, is under the worst kth
 score that any query of the query node has so far. Blocks' best rows are merged per
@@ -22,13 +22,14 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .scratch import Scratch
 
-SCALE, K, LEAF = 64, 20, 128
+SCALE, K, LEAF, FAN = 64, 20, 512, 8
 ROW_BLOCK, QUERY_BLOCK = 8192, 4096
 _NONE = np.iinfo(np.int64).max
 
@@ -41,34 +42,34 @@ class Node:
         self.points, self.children = points, children
 
 
-def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
-    """A cover tree of the rows of x; leaves hold up to leaf rows, or equal rows."""
+def cover_tree(x: np.ndarray, leaf: int = LEAF, fan: int = FAN) -> Node:
+    """A cover tree of the rows of x; leaves hold up to leaf rows, or equal rows.
+
+    Children's centres are taken farthest first until they cover their node's rows within half its radius, or there
+    are fan of them: then the scale shrinks by less, and the centres are still further apart than what they cover.
+    """
+    square = np.einsum("ij,ij->i", x, x)
+    slack = 1e-6 * (1 + float(np.sqrt(square.max(initial=0))))
+
+    def distances(points: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(square[points] - 2 * (x[points] @ c) + c @ c, 0))
 
     def build(points: np.ndarray, centre: np.ndarray) -> Node:
-        far = x[points] - centre
-        distance = np.sqrt(np.einsum("ij,ij->i", far, far))
-        radius = float(distance.max())
-        if len(points) <= leaf or radius == 0:
+        away = distances(points, centre)
+        radius = float(away.max()) + slack
+        if len(points) <= leaf or radius <= 2 * slack:
             return Node(centre, radius, points, [])
-        rest, away, children = points, distance, []
-        single: list[np.ndarray] = []
-        while len(rest):
-            at = int(away.argmax())
-            c = x[rest[at]]
-            far = x[rest] - c
-            d = np.sqrt(np.einsum("ij,ij->i", far, far))
-            own = d <= radius / 2
-            if own.sum() > 1:
-                children.append(build(rest[own], c) if own.sum() < len(points) else Node(c, float(d.max()), rest[own], []))
-            else:
-                single.append(rest[own])
-            rest, away = rest[~own], np.minimum(away, d)[~own]
-        for i in range(0, len(single), leaf):  # centres that cover none but themselves share a node
-            some = np.concatenate(single[i : i + leaf])
-            middle = x[some].mean(0)
-            far = x[some] - middle
-            children.append(Node(middle, float(np.sqrt(np.einsum("ij,ij->i", far, far)).max()), some, []))
-        return Node(centre, radius, points, children)
+        first = x[points[away.argmax()]]
+        nearest, owner, centres = distances(points, first), np.zeros(len(points), np.int64), [first]
+        while len(centres) < fan and nearest.max() > radius / 2:
+            centres.append(x[points[nearest.argmax()]])
+            d = distances(points, centres[-1])
+            owner[d < nearest] = len(centres) - 1
+            nearest = np.minimum(nearest, d)
+        parts = [points[owner == k] for k in range(len(centres))]
+        if max(map(len, parts)) == len(points):
+            return Node(centre, radius, points, [])
+        return Node(centre, radius, points, [build(p, c) for p, c in zip(parts, centres) if len(p)])
 
     return build(np.arange(len(x)), x.mean(0))
 
@@ -105,10 +106,10 @@ class DualTree:
         most = float(q.centre @ x.centre) + q.radius * x.norm + x.radius * q.norm + q.radius * x.radius
         return most + 1e-6 * (1 + abs(most))
 
-    def search(self) -> None:
+    def search(self, leaf: int = LEAF) -> None:
         if not len(self.q) or not len(self.x):
             return
-        roots = cover_tree(self.q), cover_tree(self.x)
+        roots = cover_tree(self.q, leaf), cover_tree(self.x, leaf)
         heap, tick = [(-self.bound(*roots), 0, *roots)], 1
         while heap:
             least, _, q, x = heapq.heappop(heap)
@@ -131,16 +132,16 @@ def _search(k: int):
         is_query = np.array(table.column("is_query").to_pylist(), bool)
         ids = table.column("vec_id").to_numpy()
         vectors = table.column("v").combine_chunks()
-        dims = np.array([len(v) for v in vectors])
-        out: list[dict] = []
+        dims = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 3]
         for d in np.unique(dims[is_query]).tolist():
             q, x = np.flatnonzero(is_query & (dims == d)), np.flatnonzero(~is_query & (dims == d))
             of = lambda i: vectors.take(pa.array(i)).flatten().to_numpy().reshape(-1, d)  # noqa: E731,B023
             tree = DualTree(of(q), ids[q], of(x), ids[x], k)
             tree.search()
-            for i, found, scores in zip(ids[q].tolist(), tree.ids.tolist(), tree.scores.tolist()):
-                out += [{"query_id": i, "vec_id": j, "score": int(s)} for j, s in zip(found, scores) if j != _NONE]
-        return pa.Table.from_pylist(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+            row, col = np.nonzero(tree.ids != _NONE)
+            found.append([ids[q][row], tree.ids[row, col], tree.scores[row, col].astype(np.int64)])
+        return pa.table([np.concatenate(c) for c in zip(*found)], names=["query_id", "vec_id", "score"])
 
     return run
 
