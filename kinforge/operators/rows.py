@@ -24,29 +24,25 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """df with 0, 1, 2, ... in the order of some columns, and no task that sees all rows.
-
-    Ranges are sorted apart; a row's number is its place in its range plus the sizes of
-    the ranges before, of which there are as many as partitions.
-    """
-    ranged = freeze(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id()))
+def _from_parts(marked: DataFrame, name: str) -> DataFrame:
+    """Row numbers from frozen rows with __mid: a row's place in its partition plus the sizes of the partitions before."""
     part = F.shiftright("__mid", 33)
-    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    sizes = marked.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
-    numbered = ranged.withColumn("__part", part).join(F.broadcast(starts), "__part")
-    return numbered.withColumn(name, F.col("__start") + F.col("__mid").bitwiseAND(_LOCAL)).drop("__mid", "__part", "__start")
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))  # one row a partition
+    joined = marked.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return joined.withColumn(name, F.col("__start") + F.col("__mid").bitwiseAND(_LOCAL)).drop("__mid", "__part", "__start")
+
+
+def number_rows(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
+    """df with 0, 1, 2, ... in the order of some columns; ranges are sorted apart, so no task sees all rows."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return _from_parts(freeze(ranged.withColumn("__mid", F.monotonically_increasing_id())), name)
 
 
 def number_rows_unordered(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """The same in the order in which rows lie, without a shuffle; df should be frozen or a plain scan."""
-    marked = freeze(df.withColumn("__mid", F.monotonically_increasing_id()))
-    part = F.shiftright("__mid", 33)
-    sizes = marked.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
-    return marked.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__mid").bitwiseAND(_LOCAL)).drop("__mid", "__part", "__start")
+    """The same in the order in which rows lie, without a shuffle."""
+    return _from_parts(freeze(df.withColumn("__mid", F.monotonically_increasing_id())), name)
 
 
 def bootstrap(source: DataFrame, n: int, count: int, purpose: str, *, keep_all: bool = False, seed: int = 42, row: str = "row_id", pos: str = "pos") -> DataFrame:

@@ -105,8 +105,8 @@ def bind_shared_key(child: DataFrame, key: list[str], parent: DataFrame, parent_
     known = number_rows(_keys(parent, parent_columns), [f"__p{i}" for i in range(len(parent_columns))], "__at")
     numbered = number_rows(child, key, "__at")
     bound = freeze(numbered.join(known, "__at"))
-    pairs = bound.select(*[F.col(k).alias(f"__old_{i}") for i, k in enumerate(key)], *[F.col(f"__p{i}").alias(f"__new_{i}") for i in range(len(key))])
-    pairs = pairs.groupBy(*[f"__old_{i}" for i in range(len(key))]).agg(*[F.min(f"__new_{i}").alias(f"__new_{i}") for i in range(len(key))]) if len(key) == 1 else pairs.dropDuplicates([f"__old_{i}" for i in range(len(key))])
+    olds, news = [F.col(k).alias(f"__old_{i}") for i, k in enumerate(key)], [F.col(f"__p{i}").alias(f"__new_{i}") for i in range(len(key))]
+    pairs = bound.groupBy(*olds).agg(F.min(F.struct(*news)).alias("__to")).select(*[f"__old_{i}" for i in range(len(key))], "__to.*")
     out = bound.withColumns({k: F.col(f"__p{i}").cast(child.schema[k].dataType) for i, k in enumerate(key)})
     return out.select(*child.columns), pairs
 

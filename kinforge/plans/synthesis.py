@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,12 @@ from ..operators.dates import DEFAULT_DAYS, rewrite_dates, run_time
 from ..operators.keys import key_map, key_start, largest_key, new_key, remap, remap_self
 from ..operators.rows import bootstrap, freeze, number_rows
 from ..sources.writers import save_tables
-from .model import ForeignKey, Hook, Problems, Specs, Table, compile_specs, order, referenced, sanitise, target_rows, validate
+from .model import ForeignKey, Hook, Problems, Specs, Table, compile_specs, levels, order, referenced, sanitise, target_rows, validate
 
 #: A parent key that became more rows than this is joined by rank, not as an array.
 WIDE = 1000
+#: Tables made at the same time.
+THREADS = 4
 
 
 class Synthesis:
@@ -30,25 +33,29 @@ class Synthesis:
         self.made: dict[str, DataFrame] = {}
 
     def run(self) -> dict[str, DataFrame]:
+        """Tables that do not depend on each other are made at the same time."""
         names, deferred = order(self.specs)
+        late = {t: [fk for fk in self.specs[t].foreign_keys if (t, fk) in deferred] for t in names}
         wanted = referenced(self.specs)
-        left: dict[str, list[ForeignKey]] = {}
         work: dict[str, DataFrame] = {}
+        with ThreadPoolExecutor(THREADS) as pool:
+            for level in levels(self.specs):
+                made = pool.map(lambda t: self.make(self.specs[t], late[t], wanted.get(t, set())), level)
+                work |= dict(zip(level, made))
         for name in names:
-            table = self.specs[name]
-            late = [fk for fk in table.foreign_keys if (name, fk) in deferred]
-            work[name] = freeze(self.static(table) if table.static else self.multiply(table, late, wanted.get(name, set())))
-            for columns in wanted.get(name, ()):
-                mapping = freeze(key_map(work[name], [f"__old_{c}" for c in columns], list(columns), "__pos"))
-                self.maps[name, columns] = mapping
-                self.wide[name, columns] = (mapping.agg(F.max("count")).first()[0] or 0) > WIDE
-            if late:
-                left[name] = late
-        for name, fks in left.items():
-            for fk in fks:
+            for fk in late[name]:
                 work[name] = freeze(self.rewrite_key(work[name], name, fk))
         return {t: work[t].select(*self.tables[t].columns) for t in names}
 
+    def make(self, table: Table, late: list[ForeignKey], wanted: set[tuple[str, ...]]) -> DataFrame:
+        """A table's new rows, still with their positions and old keys; the maps that its children need are kept."""
+        work = freeze(self.static(table) if table.static else self.multiply(table, late, wanted))
+        for columns in wanted:
+            mapping = freeze(key_map(work, [f"__old_{c}" for c in columns], list(columns), "__pos"))
+            self.maps[table.name, columns] = mapping
+            self.wide[table.name, columns] = (mapping.agg(F.max("count")).first()[0] or 0) > WIDE
+        return work
+
     def dated(self, df: DataFrame, table: Table) -> DataFrame:
         days = table.maturity_days if table.maturity_days is not None else self.days.get(table.name)
         return rewrite_dates(df, self.at, days=days, default_days=self.default_days) if self.rewrite else df
