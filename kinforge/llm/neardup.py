@@ -209,97 +209,6 @@ class Search:
         pairs = scored.select("key", "id", "n").join(chosen, "key").where("id <> v").select(F.col("id").alias("u"), "v", "n").distinct()
         a = self.sets.select(F.col("id").alias("u"), F.col("shingles").alias("sa"))
         b = self.sets.select(F.col("id").alias("v"), F.col("shingles").alias("sb"))
-        return self.scratch.keep(pairs.select("u", "v").distinct().join(a, "u").join(b, "v").mapInArrow(_confirm(self.percent), "u long, v long"), name)
-
-    def with_component(self, members: DataFrame, label: DataFrame) -> DataFrame:
-        return members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    def components(self) -> DataFrame:
-        """(id, component) of linked classes."""
-        keep = self.scratch.keep
-        members = self.members()
-        self.scratch.drop("keyed")
-        self.sets = self.sets_of(members.select("id"))
-        self.scratch.release()
-        around = members.where(F.col("id") > F.col("least.id")).where(self.near_size("n", "least.n"))
-        first = keep(around.groupBy("id").agg(F.min("least.id").alias("v")).select(F.col("id").alias("u"), "v"), "pairs1")
-        links = self.confirmed(first, "links1")
-        # two steps up its links stand for a class's component: at worst, some keys are looked at for nothing
-        up = links.select(F.col("u").alias("id"), F.col("v").alias("to"))
-        twice = up.join(up.select(F.col("id").alias("to"), F.col("to").alias("top")), "to", "left")
-        label = twice.select("id", F.coalesce("top", "to").alias("component"))
-
-        labelled = self.with_component(members.select("key", "id", "n", "c"), label)
-        several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        open_ = keep(labelled.drop("component").join(several, "key"), "open")
-        compared = self.around_centres(open_.where(F.col("c") > SMALL))
-        links = links.unionByName(compared.where("linked").select("u", "v"))
-        label = keep(components(links, self.scratch, "c2"), "label2")
-
-        small = self.with_component(open_.where(F.col("c") <= SMALL), label)
-        group = self.with_component(compared.withColumnRenamed("u", "id"), label)
-        rest = self.across(small).unionByName(self.by_size(group)).unionByName(self.by_shingle(group)).distinct()
-        tested = first.unionByName(compared.select("u", "v"))
-        tested = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        rest = keep(rest.join(tested, ["u", "v"], "left_anti"), "pairs3")
-        return components(links.unionByName(self.confirmed(rest, "links3")), self.scratch, "c3")
-
-    def around_centres(self, large: DataFrame) -> DataFrame:
-        """(u, v, n, both, linked, beside) of each class u and the centres v of its keys: shingles in common, and those of u alone."""
-        score = large.groupBy("id").agg(F.sum("c").alias("score"))
-        scored = large.join(score, "id")
-        centre = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top"))
-        # members of a key that all have one best centre, if of other keys, need no comparison with their own
-        met = scored.select("key", "id", "n").join(centre, "key")
-        best = met.groupBy("id").agg(F.max("top").alias("best"))
-        same = met.join(best, "id").groupBy("key").agg(F.min("best").alias("x"), F.max("best").alias("y"))
-        chosen = same.join(centre, "key").select("key", (-F.when(F.col("x") == F.col("y"), F.col("x.minus")).otherwise(F.col("top.minus"))).alias("v"))
-        pairs = scored.select("key", "id", "n").join(chosen, "key").where("id <> v").select(F.col("id").alias("u"), "v", "n").distinct()
-        a = self.sets.select(F.col("id").alias("u"), F.col("shingles").alias("sa"))
-        b = self.sets.select(F.col("id").alias("v"), F.col("shingles").alias("sb"))
-        return self.scratch.keep(pairs.select("u", "v").distinct().join(a, "u").join(b, "v").mapInArrow(_confirm(self.percent), "u long, v long"), name)
-
-    def with_component(self, members: DataFrame, label: DataFrame) -> DataFrame:
-        return members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    def components(self) -> DataFrame:
-        """(id, component) of linked classes."""
-        keep = self.scratch.keep
-        members = self.members()
-        self.scratch.drop("keyed")
-        self.sets = self.sets_of(members.select("id"))
-        self.scratch.release()
-        around = members.where(F.col("id") > F.col("least.id")).where(self.near_size("n", "least.n"))
-        first = keep(around.groupBy("id").agg(F.min("least.id").alias("v")).select(F.col("id").alias("u"), "v"), "pairs1")
-        links = self.confirmed(first, "links1")
-        # two steps up its links stand for a class's component: at worst, some keys are looked at for nothing
-        up = links.select(F.col("u").alias("id"), F.col("v").alias("to"))
-        twice = up.join(up.select(F.col("id").alias("to"), F.col("to").alias("top")), "to", "left")
-        label = twice.select("id", F.coalesce("top", "to").alias("component"))
-
-        labelled = self.with_component(members.select("key", "id", "n", "c"), label)
-        several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        open_ = keep(labelled.drop("component").join(several, "key"), "open")
-        compared = self.around_centres(open_.where(F.col("c") > SMALL))
-        links = links.unionByName(compared.where("linked").select("u", "v"))
-        label = keep(components(links, self.scratch, "c2"), "label2")
-
-        small = self.with_component(open_.where(F.col("c") <= SMALL), label)
-        group = self.with_component(compared.withColumnRenamed("u", "id"), label)
-        rest = self.across(small).unionByName(self.by_size(group)).unionByName(self.by_shingle(group)).distinct()
-        tested = first.unionByName(compared.select("u", "v"))
-        tested = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        rest = keep(rest.join(tested, ["u", "v"], "left_anti"), "pairs3")
-        return components(links.unionByName(self.confirmed(rest, "links3")), self.scratch, "c3")
-
-    def around_centres(self, large: DataFrame) -> DataFrame:
-        """(u, v, n, both, linked, beside) of each class u and the centres v of its keys: shingles in common, and those of u alone."""
-        score = large.groupBy("id").agg(F.sum("c").alias("score"))
-        scored = large.join(score, "id")
-        centre = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("v"))
-        pairs = scored.join(centre, "key").where("id <> v").select(F.col("id").alias("u"), "v", "n").distinct()
-        a = self.sets.select(F.col("id").alias("u"), F.col("shingles").alias("sa"))
-        b = self.sets.select(F.col("id").alias("v"), F.col("shingles").alias("sb"))
         return self.scratch.keep(pairs.join(a, "u").join(b, "v").select("u", "v", "n", "sa", "sb").mapInArrow(_beside(self.percent), "u long, v long, n long, both long, linked boolean, beside array<long>"), "compared")
 
     def _reach(self, both: F.Column, n: F.Column) -> F.Column:
