@@ -7,11 +7,14 @@ host are deleted. From what remains, elements are left out that are never main t
 by their tag, role, class or id (menus, headers, footers, sidebars, notices, adverts,
 forms, comments, scripts, styles). Blocks of the rest are the text.
 
-Where a page marks its article (article or main), that part is the main text, no
-template stands in it (pages may quote each other), and what is deleted around it
-does not matter: such a page is done when it has been read once. Only pages without
-a marked article are kept for a second reading, after the counts. Counting is by
-(host, hash) with map-side combining, so a host with a third of all pages is spread.
+Where a page marks its article (article or main), that part is the main text. In it,
+containers (div, section, lists, tables; never paragraphs, headings or quotations, so
+that pages may quote each other) are deleted if they stand in at least half of the
+host's articles. Articles with the same text count once, and a container counts only
+where it holds the lesser part of the article: copies of one article delete nothing.
+Counting is by (host, hash) with map-side combining, so a host with a third of all
+pages is spread. Pages are then read a second time from the input, beside what is
+deleted of each; only hashes are written in between.
 
 Defined cases: a null or empty page gives an empty text; broken markup is read as
 far as it goes (unclosed elements end with their parent, a stray "<" is text); rows
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-MIN_PAGES, MIN_SHARE = 5, 0.01
+MIN_PAGES, MIN_SHARE, INSIDE_SHARE = 5, 0.01, 0.5
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -46,6 +49,7 @@ INLINE = set(
 )
 NEVER = set("head nav footer aside form button select option input dialog menu object embed canvas audio video fieldset".split()) | RAW
 ARTICLE = {"article", "main"}
+CONTAINER = set("div section ul ol dl table details figure address center header hgroup".split())
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     **{k: {"p"} for k in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()},
@@ -159,6 +163,42 @@ def hash_outside(root: Node) -> list[int]:
     return out
 
 
+def hash_inside(root: Node) -> tuple[int | None, list[int], list[int]]:
+    """A hash of all text in articles, hashes of the containers there (each node its key), and of those with the lesser part of the text."""
+    order, stack = [], articles(root)
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(p for p in node.parts if isinstance(p, Node) and not p.noise)
+    words = [w for node in order for p in node.parts if isinstance(p, str) and (w := " ".join(p.split()))]
+    if not words:
+        return None, [], []
+    article = xxhash.xxh3_64_intdigest("\x1f".join(words).encode("utf-8", "replace")) >> 1
+    if not any(node.tag in CONTAINER for node in order):
+        return article, [], []
+    total, done = sum(map(len, words)), {}
+    held, lesser = set(), set()
+    for node in reversed(order):  # children first
+        text, size = ["in", node.tag], 0
+        for p in node.parts:
+            if isinstance(p, str):
+                if w := " ".join(p.split()):
+                    text.append(w)
+                    size += len(w)
+            elif p in done:
+                text.append(str(done[p][0]))
+                size += done[p][1]
+        if size:
+            key = xxhash.xxh3_64_intdigest("\x1f".join(text).encode("utf-8", "replace")) >> 1
+            done[node] = key, size
+            if node.tag in CONTAINER:
+                node.key = key
+                held.add(key)
+                if 2 * size < total:
+                    lesser.add(key)
+    return article, sorted(held), sorted(lesser)
+
+
 def blocks_of(nodes: list[Node], deleted: set[int]) -> list[str]:
     out: list[str] = []
     held: list[str] = []
@@ -193,47 +233,52 @@ def text_of(root: Node, deleted: set[int]) -> str:
 
 
 def main_text(page: str | None, deleted: set[int] = frozenset()) -> str:
-    if not page:
-        return ""
-    root = parse(page)
+    root = parse(page or "")
     if deleted:
         hash_outside(root)
+        hash_inside(root)
     return text_of(root, deleted)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of each page, and its text, or the page itself if it has to be read again."""
+KEYS = "page_id long, host string, marked boolean, keys array<long>, article long, held array<long>, lesser array<long>"
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of each page outside and inside its articles."""
     for batch in batches:
-        keys, texts, again = [], [], []
+        found = []
         for page in batch.column("html").to_pylist():
             root = parse(page or "")
-            keys.append(sorted(set(hash_outside(root))))
-            marked = not keys[-1] or bool(articles(root))
-            texts.append(text_of(root, set()) if marked else None)
-            again.append(None if marked else page)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(keys, pa.list_(pa.int64())), pa.array(texts, pa.string()), pa.array(again, pa.string())], ["page_id", "url", "host", "keys", "text", "again"])
+            found.append((bool(articles(root)), sorted(set(hash_outside(root))), *hash_inside(root)))
+        marked, keys, article, held, lesser = zip(*found) if found else [()] * 5
+        longs = pa.list_(pa.int64())
+        columns = [pa.array(marked, pa.bool_()), pa.array(keys, longs), pa.array(article, pa.int64()), pa.array(held, longs), pa.array(lesser, longs)]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), *columns], ["page_id", "host", "marked", "keys", "article", "held", "lesser"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h, set(d or ())) for h, d in zip(batch.column("again").to_pylist(), batch.column("deleted").to_pylist())]
+        texts = [main_text(h, set(d or ())) for h, d in zip(batch.column("html").to_pylist(), batch.column("deleted").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, inside_share: float = INSIDE_SHARE) -> DataFrame:
     """page_id, url, text and n_chars of pages (page_id, url, html)."""
     scratch = Scratch(pages.sparkSession, "html")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    read = scratch.keep(known.mapInArrow(_read, "page_id long, url string, host string, keys array<long>, text string, again string"), "read")
-    counted = read.where("page_id is not null")
-    each = counted.select("host", F.explode("keys").alias("key"))
-    hosts = counted.groupBy("host").agg(F.count("*").alias("pages"))
-    common = each.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    common = common.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "key")
-    again = read.where("again is not null")
-    wanted = again.where("page_id is not null").select("page_id", "host", F.explode("keys").alias("key")).join(common, ["host", "key"])
-    deleted = wanted.groupBy(F.col("page_id").alias("__id")).agg(F.collect_set("key").alias("deleted"))
-    joined = again.join(deleted, F.col("page_id") == F.col("__id"), "left").select("page_id", "url", "again", "deleted")
-    out = read.where("again is null").select("page_id", "url", "text").unionByName(joined.mapInArrow(_texts, "page_id long, url string, text string"))
+    read = scratch.keep(known.where("page_id is not null").mapInArrow(_keys, KEYS), "read")
+    hosts = read.groupBy("host").agg(F.count("*").alias("pages"), F.count_distinct("article").alias("articles"))
+    counts = read.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
+    outside = counts.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "key")
+    votes = read.select("host", "article", F.explode("lesser").alias("key")).distinct()
+    counts = votes.groupBy("host", "key").agg(F.count("*").alias("n"))
+    inside = counts.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= inside_share * F.col("articles")).select("host", "key")
+    around = read.where("not marked").select("page_id", "host", F.explode("keys").alias("key")).join(outside, ["host", "key"])
+    within = read.select("page_id", "host", F.explode("held").alias("key")).join(inside, ["host", "key"])
+    wanted = around.unionByName(within).groupBy(F.col("page_id").alias("__id")).agg(F.collect_set("key").alias("deleted"))
+    deleted = scratch.keep(wanted, "deleted")
+    scratch.drop("read")
+    joined = known.join(deleted, F.col("page_id") == F.col("__id"), "left").select("page_id", "url", "html", "deleted")
+    out = joined.mapInArrow(_texts, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

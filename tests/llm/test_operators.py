@@ -361,6 +361,19 @@ def test_quoted_articles_stay(spark):
     assert all(r["text"] == f"Shared line\nOwn {r['page_id']}" for r in found)
 
 
+def test_recurring_containers_inside_articles_go(spark):
+    page = "<body><article><h1>T</h1><p>Own text {0} {0} {0} {0} {0}</p><div class='x7'><p>Get our <b>letter</b></p></div><p>Shared line</p><div>Kept {0}</div></article></body>"
+    copy = "<body><article><p>Print {}</p><div><p>The same long text under every address of the host</p></div></article></body>"
+    rows = [(i, f"http://z.org/{i}", page.format(i)) for i in range(10)] + [(20 + i, f"http://few.org/{i}", page.format(i)) for i in range(4)]
+    rows += [(30 + i, f"http://copies.org/{i}", copy.format(i)) for i in range(8)] + [(40 + i, f"http://one.org/{i}", page.format(1)) for i in range(8)]
+    found = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda i: f"T\nOwn text {i} {i} {i} {i} {i}\n"
+    assert all(found[i] == f"{own(i)}Shared line\nKept {i}" for i in range(10))
+    assert all(found[20 + i] == f"{own(i)}Get our letter\nShared line\nKept {i}" for i in range(4))
+    assert all(found[30 + i] == f"Print {i}\nThe same long text under every address of the host" for i in range(8))
+    assert all(found[40 + i] == f"{own(1)}Get our letter\nShared line\nKept 1" for i in range(8))
+
+
 def test_held_out_is_crc(docs):
     for r in docs.select("doc_id", langid.held_out().alias("h")).collect():
         assert r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
