@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import draw, unit
 from ..functions.values import any_null
 from .rows import freeze, number_rows
 
@@ -33,6 +33,11 @@ def capped(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
     return df if n is None else df.orderBy(*order).limit(n)
 
 
+def drawn(df: DataFrame, key: str, share: float, purpose: str, seed: int = 42) -> DataFrame:
+    """A share of the rows, drawn by their key."""
+    return df.where(unit(purpose, F.col(key), seed) < share)
+
+
 def top_up(sample: DataFrame, full: DataFrame, key: list[str], wanted: int) -> DataFrame:
     """sample and, in key order, as many rows of full that it lacks as it takes to have wanted rows."""
     missing = wanted - sample.count()

@@ -273,6 +273,12 @@ def value_set_difference(t):
     return discovery.value_differences(key("customer", "c_nationkey"), key("supplier", "s_nationkey", "s_suppkey < 40"), "k")
 
 
+@query("(SELECT DISTINCT c_nationkey::BIGINT AS k, 'left' AS side FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)) UNION ALL (SELECT DISTINCT s_nationkey, 'right' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer))")
+def value_set_difference_all(t):
+    key = lambda n, c: t(n).select(F.col(c).cast("long").alias("k"))
+    return discovery.value_differences(key("customer", "c_nationkey"), key("supplier", "s_nationkey"), "k")
+
+
 def _altered(t: Load) -> DataFrame:
     return t("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderstatus", "o_totalprice", "o_orderdate", F.lit(1).alias("o_extra"))
 
@@ -327,11 +333,11 @@ def bootstrap_parent(t):
     return _boot(t, "customer", "c_custkey", True).select("pos", "c_custkey", "c_nationkey")
 
 
-def _generated(t: Load, kind: str) -> DataFrame:
-    source = rows.number_rows(t("part").where("p_partkey < 200").select(F.col("p_partkey").cast(kind).alias("p_partkey")), ["p_partkey"], "pos")
-    dtype = source.schema["p_partkey"].dataType
-    start = keys.key_start(keys.largest_key(source, "p_partkey"), 200, dtype) or 0
-    made = source.select("pos", keys.new_key(F.col("pos"), "p_partkey", dtype, start + 1, 200).alias("new_key"))
+def _generated(t: Load, kind: str, only: str = "p_partkey < 200") -> DataFrame:
+    source = rows.number_rows(t("part").where(only).select(F.col("p_partkey").cast(kind).alias("p_partkey")), ["p_partkey"], "pos")
+    dtype, n = source.schema["p_partkey"].dataType, source.count()
+    start = keys.key_start(keys.largest_key(source, "p_partkey"), n, dtype) or 0
+    made = source.select("pos", keys.new_key(F.col("pos"), "p_partkey", dtype, start + 1, n).alias("new_key"))
     return made if kind == "string" else made.withColumn("new_key", F.col("new_key").cast("double"))
 
 
@@ -358,6 +364,29 @@ def pk_generate_string(t):
     return _generated(t, "string")
 
 
+GENERATED_ALL = "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY p_partkey) AS k FROM part"
+
+
+@query(f"SELECT pos, k::DOUBLE AS new_key FROM ({GENERATED_ALL})")
+def pk_generate_int_all(t):
+    return _generated(t, "int", "true")
+
+
+@query(f"SELECT pos, k::DOUBLE AS new_key FROM ({GENERATED_ALL})")
+def pk_generate_decimal_all(t):
+    return _generated(t, "decimal(18,0)", "true")
+
+
+@query(f"SELECT pos, k::DOUBLE AS new_key FROM ({GENERATED_ALL})")
+def pk_generate_float_all(t):
+    return _generated(t, "double", "true")
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey::VARCHAR) - 1 AS pos, 'SYN_p_partkey_' || lpad((row_number() OVER (ORDER BY p_partkey::VARCHAR))::VARCHAR, 14, '0') AS new_key FROM part")
+def pk_generate_string_all(t):
+    return _generated(t, "string", "true")
+
+
 @query("SELECT 'customer' AS table_name, max(c_custkey) + 1000 AS start FROM customer UNION ALL SELECT 'nation', 2147483647 - 50 UNION ALL SELECT 'orders', greatest(max(o_orderkey), 5000000) FROM orders")
 def pk_start_plan(t):
     c, o = keys.largest_key(t("customer"), "c_custkey"), keys.largest_key(t("orders"), "o_orderkey")
@@ -498,6 +527,12 @@ def parent_closure(t):
     return sampling.close_over_parents(t("orders").where("o_orderkey < 500"), ["o_custkey"], t("customer").where("c_custkey < 50"), t("customer"), ["c_custkey"]).select("c_custkey")
 
 
+@query(f"SELECT c_custkey FROM customer WHERE {unit_sql('sample|customer', 'c_custkey')} < 0.1 OR c_custkey IN (SELECT o_custkey FROM orders WHERE {unit_sql('sample|orders', 'o_orderkey')} < 0.1)")
+def parent_closure_all(t):
+    orders, customers = sampling.drawn(t("orders"), "o_orderkey", 0.1, "sample|orders"), sampling.drawn(t("customer"), "c_custkey", 0.1, "sample|customer")
+    return sampling.close_over_parents(orders, ["o_custkey"], customers, t("customer"), ["c_custkey"]).select("c_custkey")
+
+
 @query(f"WITH RECURSIVE c AS (SELECT p_partkey, parent_key FROM {TREE} WHERE p_partkey % 37 = 5 UNION SELECT p.p_partkey, p.parent_key FROM c JOIN {TREE} p ON p.p_partkey = c.parent_key) SELECT p_partkey, parent_key FROM c")
 def self_closure(t):
     tree = part_tree(t).select("p_partkey", "parent_key")
