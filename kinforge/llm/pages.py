@@ -5,7 +5,9 @@ page's article gets a hash of its subtree (tag, children, text); Spark counts on
 many pages of a host each hash stands, and subtrees that recur on many pages of the
 host are deleted. From what remains, elements are left out that are never main text
 by their tag, role, class or id (menus, headers, footers, sidebars, notices, adverts,
-forms, comments, scripts, styles). Blocks of the rest are the text.
+forms, comments, scripts, styles). Blocks of the rest are the text. A class or id of
+which a word only is noise ("has-sidebar") never hides an article, and none hides main;
+one that is noise as a whole ("comments") hides articles only beside other text.
 
 Where a page marks its article (article or main), that part is the main text. In it,
 containers (div, section, lists, tables; never paragraphs, headings or quotations, so
@@ -61,32 +63,44 @@ NOISE = set(
 )
 
 
+# How an element is noise: by tag or hidden, by a word of its class or id, by a whole class or id.
+BY_TAG, BY_WORD, BY_NAME = 1, 2, 3
+
+
 class Node:
     __slots__ = ("tag", "noise", "parts", "key")
 
-    def __init__(self, tag: str, noise: bool):
+    def __init__(self, tag: str, noise: int):
         self.tag, self.noise, self.parts, self.key = tag, noise, [], None
 
 
-def is_noise(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is never main text; an article's own header is."""
+def named_noise(attributes: str, in_article: bool) -> int:
+    """Whether whole classes, ids or roles, or words of them, are noise."""
+    found = 0
+    for m in ATTRIBUTE.finditer(attributes):
+        value = (m[2] or m[3] or m[4] or "").lower()
+        for how, parts in ((BY_NAME, value.split()), (BY_WORD, re.split(r"[^a-z]+", value))):
+            if any(w in NOISE and not (in_article and w in ("header", "side", "top")) for w in parts):
+                found = max(found, how)
+    return found
+
+
+def is_noise(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether, and how, an element is never main text; an article's own header is."""
     if tag in NEVER or tag == "header" and not in_article:
-        return True
+        return BY_TAG
     if not attributes or tag in ("body", "html"):
-        return False
+        return 0
     if HIDDEN.search(attributes):
-        return True
-    for m in ATTRIBUTE.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        parts = value.split() if tag in ARTICLE else re.split(r"[^a-z]+", value)
-        if any(w in NOISE and not (in_article and w in ("header", "side", "top")) for w in parts):
-            return True
-    return False
+        return BY_TAG
+    found = named_noise(attributes, in_article)
+    return 0 if tag in ARTICLE and found == BY_WORD else found
 
 
 def parse(page: str) -> Node:
     root = Node("", False)
     stack, at, size = [root], 0, len(page)
+    around: list[tuple[Node, bool]] = []  # elements that hide an article by name, and whether its own name is free of noise
     while at < size:
         m = TOKEN.search(page, at)
         if not m:
@@ -114,11 +128,25 @@ def parse(page: str) -> Node:
                 break
         node = Node(tag, is_noise(tag, m[3], any(n.tag in ARTICLE for n in stack)))
         stack[-1].parts.append(node)
+        if tag in ARTICLE and not node.noise:
+            for n in reversed(stack):
+                if n.tag == "article" and not n.noise:
+                    break
+                if n.noise == BY_WORD or n.noise == BY_NAME and tag == "main":
+                    n.noise = 0
+                elif n.noise == BY_NAME:
+                    around.append((n, not named_noise(m[3], False)))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
         elif tag not in VOID and not m[0].endswith("/>"):
             stack.append(node)
+    if around and not articles(root):
+        for n, free in around:
+            n.noise = 0 if free else n.noise
+    if around and not text_of(root, set()):
+        for n, _ in around:
+            n.noise = 0
     return root
 
 

@@ -355,6 +355,17 @@ def test_headers_inside_and_outside_an_article():
     assert pages.main_text("<header>Site</header><p>Text<div style='display: none'>no</div>") == "Text"
 
 
+def test_wrappers_named_like_noise_keep_their_article():
+    article = "<article class='post has-comments'><p>Text</p></article>"
+    for wrapper in ("class='layout has-sidebar'", "id=no-comments", "class=sidebar"):
+        assert pages.main_text(f"<body><nav>n</nav><div {wrapper}>{article}</div></body>") == "Text"
+        assert pages.main_text(f"<body><div {wrapper}><div><main><p>Text</p></main></div></div><p>Outside</p></body>") == "Text"
+        assert pages.main_text(f"<body><main><div {wrapper}>{article}</div></main></body>") == "Text"
+    assert pages.main_text("<body><div class=sidebar><article><p>Text</p></article></div><p>Outside</p></body>") == "Text"
+    assert pages.main_text(f"<body>{article}<div id=comments><article class=comment-body>no</article></div></body>") == "Text"
+    assert pages.main_text("<body><p>Text</p><div id=comments><article class=comment-body>no</article></div></body>") == "Text"
+
+
 def test_quoted_articles_stay(spark):
     rows = [(i, "http://z.org/x", f"<body><nav>n</nav><article><p>Shared line</p><p>Own {i}</p></article></body>") for i in range(10)]
     found = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
