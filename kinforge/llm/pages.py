@@ -2,8 +2,8 @@
 
 A page is read into a tree of elements. Every element that holds text outside the
 page's article gets a hash of its subtree (tag, children, text); Spark counts on how
-many pages of a host each hash stands, and subtrees that recur on many pages of the
-host are deleted. From what remains, elements are left out that are never main text
+many pages of a host, and of each of its path sections, each hash stands, and subtrees
+that recur on many pages of the host or section are deleted there. From what remains, elements are left out that are never main text
 by their tag, role, class or id (menus, headers, footers, sidebars, notices, adverts,
 forms, comments, scripts, styles). Blocks of the rest are the text. A class or id of
 which a word only is noise ("has-sidebar") never hides an article, and none hides main;
@@ -268,7 +268,7 @@ def main_text(page: str | None, deleted: set[int] = frozenset()) -> str:
     return text_of(root, deleted)
 
 
-KEYS = "page_id long, host string, marked boolean, keys array<long>, article long, held array<long>, lesser array<long>"
+KEYS = "page_id long, host string, section string, marked boolean, keys array<long>, article long, held array<long>, lesser array<long>"
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +281,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked, keys, article, held, lesser = zip(*found) if found else [()] * 5
         longs = pa.list_(pa.int64())
         columns = [pa.array(marked, pa.bool_()), pa.array(keys, longs), pa.array(article, pa.int64()), pa.array(held, longs), pa.array(lesser, longs)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), *columns], ["page_id", "host", "marked", "keys", "article", "held", "lesser"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "section")), *columns], ["page_id", "host", "section", "marked", "keys", "article", "held", "lesser"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,17 +294,20 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     """page_id, url, text and n_chars of pages (page_id, url, html)."""
     scratch = Scratch(pages.sparkSession, "html")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
-    known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
+    section = F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][\w+.-]*:)?//[^/?#]+/([^/?#]+)/", 1), F.lit(""))
+    known = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), section.alias("section"), "html")
     read = scratch.keep(known.where("page_id is not null").mapInArrow(_keys, KEYS), "read")
-    hosts = read.groupBy("host").agg(F.count("*").alias("pages"), F.count_distinct("article").alias("articles"))
-    counts = read.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
-    outside = counts.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "key")
+    placed = read.withColumn("place", F.explode(F.array("host", F.concat_ws("/", "host", "section"))))
+    places = placed.groupBy("place").agg(F.count("*").alias("pages"))
+    counts = placed.select("place", F.explode("keys").alias("key")).groupBy("place", "key").agg(F.count("*").alias("n"))
+    outside = counts.where(F.col("n") >= min_pages).join(places, "place").where(F.col("n") >= min_share * F.col("pages")).select("place", "key")
+    hosts = read.groupBy("host").agg(F.count_distinct("article").alias("articles"))
     votes = read.select("host", "article", F.explode("lesser").alias("key")).distinct()
     counts = votes.groupBy("host", "key").agg(F.count("*").alias("n"))
     inside = counts.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= inside_share * F.col("articles")).select("host", "key")
-    around = read.where("not marked").select("page_id", "host", F.explode("keys").alias("key")).join(outside, ["host", "key"])
+    around = placed.where("not marked").select("page_id", "place", F.explode("keys").alias("key")).join(outside, ["place", "key"])
     within = read.select("page_id", "host", F.explode("held").alias("key")).join(inside, ["host", "key"])
-    wanted = around.unionByName(within).groupBy(F.col("page_id").alias("__id")).agg(F.collect_set("key").alias("deleted"))
+    wanted = around.select("page_id", "key").unionByName(within.select("page_id", "key")).groupBy(F.col("page_id").alias("__id")).agg(F.collect_set("key").alias("deleted"))
     deleted = scratch.keep(wanted, "deleted")
     scratch.drop("read")
     joined = known.join(deleted, F.col("page_id") == F.col("__id"), "left").select("page_id", "url", "html", "deleted")

@@ -372,6 +372,12 @@ def test_quoted_articles_stay(spark):
     assert all(r["text"] == f"Shared line\nOwn {r['page_id']}" for r in found)
 
 
+def test_templates_of_a_section_go_on_a_hot_host(spark):
+    rows = [(i, f"http://hot.org/{'news' if i < 8 else 'wiki'}/{i}", f"<body>{'<p>Menu of news</p>' if i < 8 else ''}<p>Story {i}</p></body>") for i in range(1000)]
+    found = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Story {i}" for i in range(1000))
+
+
 def test_recurring_containers_inside_articles_go(spark):
     page = "<body><article><h1>T</h1><p>Own text {0} {0} {0} {0} {0}</p><div class='x7'><p>Get our <b>letter</b></p></div><p>Shared line</p><div>Kept {0}</div></article></body>"
     copy = "<body><article><p>Print {}</p><div><p>The same long text under every address of the host</p></div></article></body>"
