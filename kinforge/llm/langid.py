@@ -4,8 +4,8 @@ A suffix automaton of labelled text stands for each language. A document is cut,
 left to right, into the longest phrases that occur in that text; a language that
 fits needs few phrases. The language with the fewest phrases per symbol wins.
 
-Texts are read as symbols: lower-cased letters that the labelled texts have, one
-symbol for all others, runs of anything but letters as one space. Documents of a
+Texts are read as symbols: the LETTERS lower-cased letters most frequent in all
+labelled texts together, one symbol for all others, runs of anything but letters as one space. Documents of a
 batch are parsed together, one array step a symbol, in lanes of LANE symbols (a
 phrase ends where a lane does, for every language alike).
 
