@@ -9,21 +9,24 @@ dropped before the keys are formed.
 
 Members of a table key are never paired with each other outright:
 1. each class is compared with the least class among its keys;
-2. in keys that still hold several components, and more than SMALL classes, each
-   class is compared with the key's centre, a class that shares many keys. Two
-   classes that are linked to one centre need no further look. Of others, a pair has
+2. of keys that still hold several components, and more than SMALL classes, the
+   first entries are looked at: all that share such an entry are compared with its
+   centre, a class that shares many keys. Two classes that are linked to one centre
+   need no further look. Of others, a pair has
    at most as many shingles in common as both share with the centre, plus what they
    share beside it. So it is compared if the first number alone is enough (found by
    a join on sizes), or if it has a shingle beside the centre in common among the
    rarest (100 - percent) % of both (a prefix filter);
 3. in small keys, classes of different components are compared.
 Steps 2 and 3 skip only pairs that cannot reach the threshold, so no link is lost.
-All compared pairs are confirmed on full sets; links join into components.
+All compared pairs are confirmed on full sets; links join into components, and links
+found last join the components so far.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing;
 fewer words than a shingle are one shingle; rows with a null id are linked with
 nothing, have a null component and stay; rows that share an id are one document,
-of which one text is compared; an empty table gives an empty result; other columns are ignored.
+of which the least text is compared, and linked if any of its texts is; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,12 +147,12 @@ class Search:
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
     def members(self) -> DataFrame:
-        """(key, id, n) of the table keys that two classes or more have."""
+        """(key, l, id, n) of the table keys that two classes or more have; l is the key's first entry."""
         entry = self.classes.select("id", "n", F.explode("keys").alias("e"))
         shared = entry.groupBy("e").agg(F.count("*").alias("c")).where("c > 1").select("e")
         kept = entry.join(shared, "e").groupBy("id", "n").agg(F.collect_list("e").alias("e"))
         left, right = F.filter("e", lambda x: x % 2 == 0), F.filter("e", lambda x: x % 2 != 0)
-        keyed = kept.select("id", "n", F.explode(left).alias("l"), right.alias("r")).select("id", "n", "l", F.explode("r").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id", "n")
+        keyed = kept.select("id", "n", F.explode(left).alias("l"), right.alias("r")).select("id", "n", "l", F.explode("r").alias("r")).select(F.xxhash64("l", "r").alias("key"), "l", "id", "n")
         keyed = self.scratch.keep(keyed, "keyed")
         many = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("least")).where("c > 1")
         return self.scratch.keep(keyed.join(many, "key"), "members")
@@ -157,7 +160,7 @@ class Search:
     def sets_of(self, ids: DataFrame) -> DataFrame:
         """id -> its shingles; one text stands for a class."""
         one = self.docs.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
-        return self.scratch.keep(one.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text").mapInArrow(_shingle_sets(self.length), "id long, shingles binary"), "sets")
+        return self.scratch.keep(one.groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")).mapInArrow(_shingle_sets(self.length), "id long, shingles binary"), "sets")
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         a = self.sets.select(F.col("id").alias("u"), F.col("shingles").alias("sa"))
@@ -182,7 +185,7 @@ class Search:
         twice = up.join(up.select(F.col("id").alias("to"), F.col("to").alias("top")), "to", "left")
         label = twice.select("id", F.coalesce("top", "to").alias("component"))
 
-        labelled = self.with_component(members.select("key", "id", "n", "c"), label)
+        labelled = self.with_component(members.select("key", "l", "id", "n", "c"), label)
         several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
         open_ = keep(labelled.drop("component").join(several, "key"), "open")
         compared = self.around_centres(open_.where(F.col("c") > SMALL))
@@ -195,18 +198,24 @@ class Search:
         tested = first.unionByName(compared.select("u", "v"))
         tested = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         rest = keep(rest.join(tested, ["u", "v"], "left_anti"), "pairs3")
-        return components(links.unionByName(self.confirmed(rest, "links3")), self.scratch, "c3")
+        more = self.confirmed(rest, "links3")
+        # links found last join components: they become links between these
+        of = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+        between = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v").distinct()
+        merged = components(between, self.scratch, "c3").select(F.col("id").alias("component"), F.col("component").alias("top"))
+        labelled = self.with_component(self.classes.select("id").distinct(), label)
+        return labelled.join(merged, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
 
     def around_centres(self, large: DataFrame) -> DataFrame:
-        """(u, v, n, both, linked, beside) of each class u and the centres v of its keys: shingles in common, and those of u alone."""
-        score = large.groupBy("id").agg(F.sum("c").alias("score"))
-        scored = large.join(score, "id")
-        centre = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top"))
-        # any class can be a key's centre; the best one that a member knows from its keys serves many keys at once
-        met = scored.select("key", "id", "n").join(centre, "key")
+        """(u, v, n, both, linked, beside) of each class u and the centres v of its entries: shingles in common, and those of u alone."""
+        placed = self.scratch.keep(large.groupBy("l", "id").agg(F.first("n").alias("n"), F.sum("c").alias("part")), "placed")
+        scored = placed.join(placed.groupBy("id").agg(F.sum("part").alias("score")), "id")
+        centre = scored.groupBy("l").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top"))
+        # any class can be a centre; the best one that a member knows from its entries serves many entries at once
+        met = scored.select("l", "id", "n").join(centre, "l")
         best = met.groupBy("id").agg(F.max("top").alias("best"))
-        chosen = met.select("key", "id").join(best, "id").groupBy("key").agg(F.max("best").alias("best")).select("key", (-F.col("best.minus")).alias("v"))
-        pairs = scored.select("key", "id", "n").join(chosen, "key").where("id <> v").select(F.col("id").alias("u"), "v", "n").distinct()
+        chosen = met.select("l", "id").join(best, "id").groupBy("l").agg(F.max("best").alias("best")).select("l", (-F.col("best.minus")).alias("v"))
+        pairs = placed.select("l", "id", "n").join(chosen, "l").where("id <> v").select(F.col("id").alias("u"), "v", "n").distinct()
         a = self.sets.select(F.col("id").alias("u"), F.col("shingles").alias("sa"))
         b = self.sets.select(F.col("id").alias("v"), F.col("shingles").alias("sb"))
         return self.scratch.keep(pairs.join(a, "u").join(b, "v").select("u", "v", "n", "sa", "sb").mapInArrow(_beside(self.percent), "u long, v long, n long, both long, linked boolean, beside array<long>"), "compared")

@@ -1,8 +1,12 @@
 """Words of Arrow string columns as 64-bit hashes, without a Python step per word.
 
 A word's hash is a polynomial over fixed random byte values modulo 2**64, taken
-from one running sum per block of bytes, then mixed. Texts are UTF-8; separators
-are ASCII, so no code point is ever cut.
+from one running sum per chunk of bytes, then mixed. Words of more than LONG_WORD
+bytes, where such polynomials have known collisions, are hashed one by one. Texts
+are UTF-8; separators are ASCII, so no code point is ever cut.
+
+A text of any length is taken whole; what is held beside it are three flags a byte
+and three numbers a word, and sums over CHUNK bytes at a time.
 """
 
 from __future__ import annotations
@@ -12,10 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 #: Bytes of text handled at once; a longer document is a block of its own.
 BLOCK = 1 << 20
+CHUNK, LONG_WORD = 1 << 20, 256
 _BASE = U(0x9E3779B97F4A7C13)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _VALUES = np.random.Generator(np.random.PCG64(20240601)).integers(1, 2**64, 256, dtype=U)
@@ -39,12 +45,9 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 def _power(which: str, n: int) -> np.ndarray:
     if len(_powers[which]) < n:
-        step = np.full(max(n, BLOCK), _BASE if which == "up" else _INVERSE, U)
+        step = np.full(max(n, CHUNK + LONG_WORD), _BASE if which == "up" else _INVERSE, U)
         step[0] = 1
-        grown = np.cumprod(step)
-        if n > BLOCK:
-            return grown
-        _powers[which] = grown
+        _powers[which] = np.cumprod(step)
     return _powers[which][:n]
 
 
@@ -121,11 +124,24 @@ def words(column: pa.Array, lower: bool = False, seps: np.ndarray = SPACES) -> W
     edge = at[1:][at[:-1] < at[1:]] - 1
     last[edge] = inside[edge]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return Words(_hashes(text, data, start, end, lower), np.searchsorted(start, at), start, end, data)
+
+
+def _hashes(text: np.ndarray, data: memoryview, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     values = _VALUES[_LOWER] if lower else _VALUES
-    total = np.zeros(n + 1, U)
-    np.cumsum(values[text] * _power("up", n), out=total[1:])
-    hashes = mix((total[end] - total[start]) * _power("down", n)[start] + (end - start).astype(U))
-    return Words(hashes, np.searchsorted(start, at), start, end, data)
+    out = np.empty(len(start), U)
+    stop = np.minimum(end, start + LONG_WORD)
+    edges = np.unique(np.searchsorted(start, np.arange(0, len(text) + CHUNK, CHUNK)))
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        low, high = start[i], stop[j - 1]
+        total = np.zeros(high - low + 1, U)
+        np.cumsum(values[text[low:high]] * _power("up", high - low), out=total[1:])
+        a, b = start[i:j] - low, stop[i:j] - low
+        out[i:j] = mix((total[b] - total[a]) * _power("down", high - low)[a] + (b - a).astype(U))
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        word = bytes(data[start[k] : end[k]])
+        out[k] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+    return out
 
 
 def one_hash(words_: list[str]) -> np.ndarray:

@@ -206,6 +206,33 @@ def test_a_large_family_of_edits(spark):
     assert {r["doc_id"]: r["component_id"] for r in neardup.link(df).collect()} == parent
 
 
+def test_families_around_the_bound_of_small_keys(spark):
+    """Families of 2 to 20 edits of a text each, where some are linked and some only share keys."""
+    import random
+
+    r, rows = random.Random(8), []
+    for family, size in enumerate((2, neardup.SMALL - 1, neardup.SMALL, neardup.SMALL + 1, neardup.SMALL + 2, 20)):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for k in range(size):
+            w = list(base)
+            for at in r.sample(range(120), r.randrange(8)):
+                w[at] = f"e{family}x{k}y{at}"
+            rows.append((100 * family + k, " ".join(w), None, None))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for length, percent in ((3, 85), (5, 80)):
+        _, parent = naive_links(rows, length, percent)
+        assert 6 < len(set(parent.values())) < len(rows)
+        assert {r["doc_id"]: r["component_id"] for r in neardup.link(df, length, percent).collect()} == parent
+
+
+def test_rows_that_share_an_id_give_one_answer(spark):
+    rows = [(1, "a b c d e"), (1, "v w x y z"), (2, "v w x y z"), (3, "a b c d e"), (4, "q r s t u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [Counter(tuple(r) for r in neardup.link(df.repartition(n)).collect()) for n in (1, 3, 5)]
+    assert got[0] == got[1] == got[2] and sum(got[0].values()) == 5
+
+
 def test_licences(docs):
     found = {r["doc_id"]: r for r in licences.scan(docs).collect()}
     assert (found[10]["n_base"], found[10]["first_word"], found[10]["last_word"], found[10]["base_labels"], found[10]["score"]) == (2, 3, 5, "mit", 1.0)

@@ -3,7 +3,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinforge.llm.words import NON_ALNUM, one_hash, row_windows, sliding_min, window_hashes, words
+from kinforge.llm.words import CHUNK, LONG_WORD, NON_ALNUM, one_hash, row_windows, sliding_min, window_hashes, words
 
 
 @settings(max_examples=100, deadline=None)
@@ -29,3 +29,22 @@ def test_windows():
     h = window_hashes(w.hashes, 3)[at]
     assert rows.tolist() == [0, 0, 1] and h[1] == h[2] != h[0]
     assert sliding_min(np.array([5, 3, 4, 1, 2, 9]), 3).tolist() == [3, 1, 1, 1]
+
+
+def test_long_words_that_collide_as_polynomials():
+    for n in (8, 9, 10, 11, 12):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+        b = a.translate(str.maketrans("ab", "ba"))
+        w = words(pa.array([f"x {a} y", f"{b}", f"{a.upper()}"]), lower=True)
+        assert w.hashes[1] != w.hashes[3] and w.hashes[1] == w.hashes[4]
+
+
+def test_one_very_long_text_across_chunks():
+    each = [f"w{i}" for i in range(1000)]
+    text = " ".join(each * 1300)  # several chunks
+    assert len(text) > 5 * CHUNK
+    w = words(pa.array(["first", text, "x" * (3 * CHUNK), "last"]))
+    hashes = one_hash(each)
+    assert w.counts.tolist() == [1, 1_300_000, 1, 1]
+    assert (w.hashes[1:1_300_001].reshape(-1, 1000) == hashes).all()
+    assert w.hashes[-1] == one_hash(["last"])[0] and w.end[-2] - w.start[-2] == 3 * CHUNK > LONG_WORD
