@@ -76,10 +76,69 @@ def test_packing_is_whole_and_fits(docs):
         assert items[0]["bin_capacity"] == min(c for c in (64, 128, 200) if c >= at)
 
 
-def test_packing_opens_and_downsizes():
-    plan = packing.pack_shard([6, 5, 4, 3, 2], (4, 10), 0)
-    assert sum(c for c, _ in plan) == 20
+def plan_cost(plan, overhead, attention):
+    return sum(packing.cost_of(c, overhead, attention) for c, _ in plan)
+
+
+def cheapest(lengths, capacities, overhead, attention):
+    """The least cost of any way to put the pieces into bins."""
+    fit = lambda n: next((packing.cost_of(c, overhead, attention) for c in capacities if c >= n), None)
+    best = [float("inf")]
+
+    def place(k, bins):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(map(fit, bins)))
+            return
+        for i, used in enumerate(bins):
+            if fit(used + lengths[k]) is not None:
+                place(k + 1, [*bins[:i], used + lengths[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_against_the_cheapest_of_all_plans():
+    import random
+
+    r, over, several, exact = random.Random(4), [], 0, 0
+    for _ in range(150):
+        capacities = tuple(sorted(r.sample(range(4, 40), 3)))
+        lengths = sorted((r.randint(1, capacities[-1]) for _ in range(r.randint(1, 7))), reverse=True)
+        overhead, attention = r.choice((0, 2, 8)), r.choice((8, 30, 1000))
+        plan = packing.pack_shard(lengths, capacities, overhead, attention)
+        assert sorted(i for _, items in plan for i in items) == list(range(len(lengths)))
+        assert all(c == min(x for x in capacities if x >= sum(lengths[i] for i in items)) for c, items in plan)
+        best = cheapest(lengths, capacities, overhead, attention)
+        over.append(plan_cost(plan, overhead, attention) / best)
+        exact += over[-1] < 1 + 1e-9
+        several += len({c for c, _ in plan}) > 1
+    assert min(over) > 1 - 1e-9 and max(over) < 1.6 and sum(over) / len(over) < 1.03 and exact > 105 and several > 40
+
+
+def test_packing_is_never_dearer_than_one_length_at_a_time():
+    import random
+
+    r = random.Random(6)
+    for _ in range(10):
+        lengths = sorted((min(2048, int(r.lognormvariate(5.5, 1.2)) + 1) for _ in range(400)), reverse=True)
+        cost = {c: packing.cost_of(c) for c in packing.CAPACITIES}
+        own = plan_cost(packing.pack_shard(lengths), packing.OVERHEAD, packing.ATTENTION)
+        for c in packing.CAPACITIES:
+            single = packing.best_fit(lengths, packing.CAPACITIES, (c,), cost)
+            assert own <= sum(cost[min(x for x in packing.CAPACITIES if x >= sum(lengths[i] for i in b))] for b in single) + 1e-6
+        assert len({c for c, _ in packing.pack_shard(lengths)}) > 1
     assert packing.pack_shard([3], (4, 10), 0) == [(4, [0])]
+    assert sum(1 for _ in packing.sets_to_open(tuple(range(1, 10)))) == 45
+
+
+def test_packing_spreads_null_ids_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 16)
+    rows = [(None, f"text {i} " * (i % 7 + 1)) for i in range(150)] + [(5, "the same row")] * 150
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes = Counter(r["bin_id"] >> 32 for r in got)
+    assert len(got) == 300 and len(sizes) > 12 and max(sizes.values()) < 45
+    assert Counter((r["doc_id"], r["n_words"]) for r in got) == Counter((i, len(t.split())) for i, t in rows)
 
 
 def test_language_id(spark, docs):
