@@ -1,13 +1,15 @@
 """Removal of word sequences that an earlier document has, by level-wise doubling.
 
-Level 1 looks at windows of half the length. Of those inside a window of the full
-length only the one with the least hash is looked at (an anchor): equal windows
-choose equal anchors, so no repeat is missed, and about one position in thirteen
-is counted. Anchors that stand in one document only are dropped. Level 2 extends
-the survivors to twice the length: full windows are hashed and counted only where
-their anchor survived. Longer levels cannot remove a further word, so the doubling
-ends at the length asked for. Windows that also stand in a document with a smaller
-doc_id are removed; all windows are judged on the input.
+The lengths are the one asked for and its halves, down to SHORTEST words or more.
+At the least length every window could be counted; but equal longer windows have the
+same least hash among their windows of that length, so only these (anchors) are, which
+misses no repeat and counts about one position in thirteen. Anchors that stand in one
+document only are dropped. Windows of twice the length are looked at only where their
+own anchor survived, and so on, until no candidates survive or the length asked for is
+reached, where all windows that are left are counted; longer ones cannot remove a
+further word. There a window is told by two 64-bit hashes, so that windows that differ
+do not meet by chance in a large corpus. Windows that also stand in a document with a
+smaller doc_id are removed; all windows are judged on the input.
 
 Counts are sums over (hash, doc_id) with map-side combining, and survivors return
 to documents by joins that Spark splits if skewed; a passage that a third of all
@@ -15,8 +17,9 @@ documents have never meets in one task.
 
 Defined cases: a null text is empty; texts shorter than a window, and texts that
 repeat nothing, keep all words; rows with a null id keep all words and count for
-nothing; rows that share an id do not remove each other's words; an empty table
-gives an empty result; other columns are carried along, whatever their names.
+nothing; rows that share an id do not remove each other's words; texts of any length
+are taken whole; an empty table gives an empty result; other columns are carried along,
+whatever their names (names that begin with __ and a word used here apart).
 """
 
 from __future__ import annotations
@@ -30,23 +33,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import U, blocks, mix, row_windows, sliding_min, window_hashes, words
+from .words import U, Words, blocks, mix, row_windows, sliding_min, window_hashes, words
 
-LENGTH = 50
+LENGTH, SHORTEST = 50, 20
+_CHECK = U(0x5EC0DD0FA11C0DE5)
 
 
-def _anchors(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Window positions, their rows, word hashes, and for each run of windows with one anchor: its number, the anchor."""
-    w = words(column)
-    half = -(-length // 2)
-    at, rows = row_windows(w.counts, w.at, length)
+def lengths(length: int) -> list[int]:
+    """The length asked for and its halves, shortest first; at least one half."""
+    out = [length]
+    while out[0] > 1 and (len(out) == 1 or out[0] > 2 * SHORTEST):
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def _anchors(hashes: np.ndarray, short: int, long: int) -> np.ndarray:
+    """The least hash of the short windows of each long window."""
+    return sliding_min(window_hashes(hashes, short), long - short + 1)
+
+
+def candidates(w: Words, steps: list[int], k: int, given: np.ndarray, of_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, second hashes and rows of what is counted at the k-th length; given: each row's survivors of the one before."""
+    at, rows = row_windows(w.counts, w.at, steps[k])
     if not len(at):
-        none = np.zeros(0, np.int64)
-        return at, rows, w.hashes, none, np.zeros(0, U)
-    least = sliding_min(window_hashes(w.hashes, half), length - half + 1)[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])
-    return at, rows, w.hashes, np.cumsum(new) - 1, least[new]
+        return np.zeros(0, U), np.zeros(0, U), rows
+    if k:
+        ok = _in_row(_anchors(w.hashes, steps[k - 1], steps[k])[at], rows, given, of_rows)
+        at, rows = at[ok], rows[ok]
+    own = window_hashes(w.hashes, steps[k])[at]
+    if k == len(steps) - 1:
+        return own, window_hashes(mix(w.hashes ^ _CHECK), steps[k])[at], rows
+    longer, of_longer = row_windows(w.counts, w.at, steps[k + 1])
+    if not len(longer):
+        return np.zeros(0, U), np.zeros(0, U), of_longer
+    anchor = _anchors(w.hashes, steps[k], steps[k + 1])[longer]
+    new = np.ones(len(anchor), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (of_longer[1:] != of_longer[:-1])
+    anchor, of_longer = anchor[new], of_longer[new]
+    if k:
+        ok = _in_row(anchor, of_longer, own, rows)
+        anchor, of_longer = anchor[ok], of_longer[ok]
+    return anchor, anchor, of_longer
 
 
 def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
@@ -67,60 +94,57 @@ def _in_row(values: np.ndarray, rows: np.ndarray, of: np.ndarray, of_rows: np.nd
     return np.isin(values ^ mix(rows.astype(U)), of ^ mix(of_rows.astype(U)))
 
 
-def _distinct(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((values, rows))
-    values, rows = values[order], rows[order]
+def _distinct(values: np.ndarray, checks: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((checks, values, rows))
+    values, checks, rows = values[order], checks[order], rows[order]
     keep = np.ones(len(values), bool)
-    keep[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
-    return values[keep], rows[keep]
+    keep[1:] = (values[1:] != values[:-1]) | (checks[1:] != checks[:-1]) | (rows[1:] != rows[:-1])
+    return values[keep], checks[keep], rows[keep]
 
 
-def _level(length: int, of_survivors: bool):
-    """Rows with the hashes to be counted: anchors, or full windows whose anchors are among survivors."""
+def _level(steps: list[int], k: int):
+    """Rows with the hashes to be counted at the k-th length; at the last one with second hashes."""
+    last = k == len(steps) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
             for low, high in blocks(column):
                 n = high - low
-                at, rows, hashes, group, anchor = _anchors(column.slice(low, n), length)
-                first = np.searchsorted(group, np.arange(len(anchor)))
-                if of_survivors:
-                    given, of_rows = _flat(batch.column("survivors").slice(low, n))
-                    ok = _in_row(anchor, rows[first] if len(anchor) else rows, given, of_rows)[group] if len(group) else np.zeros(0, bool)
-                    values, rows = window_hashes(hashes, length)[at[ok]] if ok.any() else np.zeros(0, U), rows[ok]
-                else:
-                    values, rows = anchor, rows[first] if len(anchor) else rows
-                values, rows = _distinct(values, rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), _lists(values, rows, n)], ["doc_id", "hashes"])
+                given = _flat(batch.column("survivors").slice(low, n)) if k else (np.zeros(0, U), np.zeros(0, np.int64))
+                values, checks, rows = _distinct(*candidates(words(column.slice(low, n)), steps, k, *given))
+                arrays = [batch.column("doc_id").slice(low, n), _lists(values, rows, n)]
+                yield pa.RecordBatch.from_arrays([*arrays, _lists(checks, rows, n)] if last else arrays, ["doc_id", "hashes", "checks"][: 2 + last])
 
     return run
 
 
-def _repeated(level: DataFrame, later_only: bool) -> DataFrame:
-    """doc_id -> the hashes that stand in two documents or more; later_only: not in the first of them."""
-    each = level.select("doc_id", F.explode("hashes").alias("h"))
-    shared = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    found = each.join(shared.select("h", "first"), "h")
-    return (found.where("doc_id > first") if later_only else found).groupBy("doc_id").agg(F.collect_list("h").alias("survivors"))
+def _repeated(level: DataFrame) -> DataFrame:
+    """doc_id -> the hashes that stand in two documents or more; if they have second hashes, not in the first of them."""
+    last = "checks" in level.columns
+    key = ["h", "g"] if last else ["h"]
+    each = level.select("doc_id", F.explode(F.arrays_zip("hashes", "checks")).alias("z")).select("doc_id", F.col("z.hashes").alias("h"), F.col("z.checks").alias("g")) if last else level.select("doc_id", F.explode("hashes").alias("h"))
+    shared = each.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    found = each.join(shared.select(*key, "first"), key)
+    return (found.where("doc_id > first") if last else found).groupBy("doc_id").agg(F.collect_list("h").alias("survivors"))
 
 
 def survivors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id -> hashes of its windows that an earlier document has too (documents with none are left out)."""
     scratch = Scratch(docs.sparkSession, "substrings")
     known = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    schema = "doc_id long, hashes array<long>"
-    one = scratch.keep(known.mapInArrow(_level(length, False), schema), "anchors")
-    half = scratch.keep(_repeated(one, False), "half")
-    scratch.drop("anchors")
-    scratch.release()
-    two = scratch.keep(known.join(half, "doc_id").mapInArrow(_level(length, True), schema), "windows")
-    scratch.drop("half")
-    scratch.release()
-    full = scratch.keep(_repeated(two, True), "full")
-    scratch.drop("windows")
-    scratch.release()
-    return full
+    steps = lengths(length)
+    found = None
+    for k in range(len(steps)):
+        source = known if found is None else known.join(found, "doc_id")
+        last = k == len(steps) - 1
+        counted = scratch.keep(source.mapInArrow(_level(steps, k), "doc_id long, hashes array<long>" + ", checks array<long>" * last), f"level{k}")
+        found = scratch.keep(_repeated(counted), f"survivors{k}")
+        scratch.drop(f"level{k}", f"survivors{k - 1}")
+        scratch.release()
+        if not last and found.isEmpty():
+            break
+    return found
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:

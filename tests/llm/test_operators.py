@@ -215,6 +215,32 @@ def test_substrings_against_brute_force(docs):
     assert got == want
 
 
+def test_substrings_by_several_doublings(spark):
+    import random
+
+    r = random.Random(9)
+    shared = [[f"s{k}w{i}" for i in range(n)] for k, n in enumerate((30, 60, 119, 120, 121, 300))]
+    rows = []
+    for d in range(40):
+        w = []
+        for _ in range(r.randrange(4)):
+            w += [f"o{d}x{r.randrange(50)}" for _ in range(r.randrange(60))] + r.choice(shared)
+        rows.append((d, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (2, 50, 120):
+        first, gone = {}, Counter()
+        for d, t in rows:
+            w = t.split()
+            for p in range(len(w) - length + 1):
+                first.setdefault(tuple(w[p : p + length]), d)
+        for d, t in rows:
+            w = t.split()
+            gone[d] = len({p + i for p in range(len(w) - length + 1) if first[tuple(w[p : p + length])] < d for i in range(length)})
+        assert {x["doc_id"]: x["__n_removed"] for x in substrings.dedup(df, length).collect()} == gone
+    assert substrings.lengths(50) == [25, 50] and substrings.lengths(120) == [30, 60, 120] and substrings.lengths(1) == [1]
+    assert substrings.dedup(df.where("doc_id = 3")).first()["__n_removed"] == 0
+
+
 def test_substring_texts(docs):
     got = {r["doc_id"]: r["text"] for r in substrings.dedup(docs).collect()}
     assert got[2] == "" and got[5] == "other tail" and got[1] == LONG and got[7] is None
