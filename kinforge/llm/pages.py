@@ -19,7 +19,9 @@ pages is spread. Pages are then read a second time from the input, beside what i
 deleted of each; only hashes are written in between.
 
 Defined cases: a null or empty page gives an empty text; broken markup is read as
-far as it goes (unclosed elements end with their parent, a stray "<" is text); rows
+far as it goes (unclosed elements end with their parent, a stray "<" is text); a line
+break inside a block is white space like any other, so it becomes one space; pages of
+any length and depth are read whole, in time that follows their length; rows
 with a null page_id lose no templates; rows that share a page_id share what is
 deleted; an empty table gives an empty result; other columns are ignored.
 """
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 MIN_PAGES, MIN_SHARE, INSIDE_SHARE = 5, 0.01, 0.5
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -47,7 +49,7 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none|aria-hidde
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp template svg math".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img nobr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img nobr".split()
 )
 NEVER = set("head nav footer aside form button select option input dialog menu object embed canvas audio video fieldset".split()) | RAW
 ARTICLE = {"article", "main"}
@@ -97,50 +99,96 @@ def is_noise(tag: str, attributes: str, in_article: bool) -> int:
     return 0 if tag in ARTICLE and found == BY_WORD else found
 
 
+class Open:
+    """The open elements, with what makes each step of parse() cheap however deep they stand."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.counts: dict[str, int] = {}  # open elements by tag
+        self.blocks = [0]  # places in the stack of all but inline elements
+        self.inline: list[dict[str, int]] = [{}]  # inline elements above each of these, by tag
+        self.articles = 0
+        self.seen: dict[tuple[bool, bool], int] = {}  # how far up articles of a kind have looked already
+
+    def push(self, node: Node) -> None:
+        if node.tag in INLINE:
+            self.inline[-1][node.tag] = self.inline[-1].get(node.tag, 0) + 1
+        else:
+            self.blocks.append(len(self.stack))
+            self.inline.append({})
+        self.counts[node.tag] = self.counts.get(node.tag, 0) + 1
+        self.articles += node.tag in ARTICLE
+        self.stack.append(node)
+
+    def cut(self, size: int) -> None:
+        """Close all elements from a place in the stack on."""
+        while len(self.stack) > size:
+            node = self.stack.pop()
+            self.counts[node.tag] -= 1
+            self.articles -= node.tag in ARTICLE
+            if node.tag in INLINE:
+                self.inline[-1][node.tag] -= 1
+            else:
+                self.blocks.pop()
+                self.inline.pop()
+        for kind, depth in self.seen.items():
+            self.seen[kind] = min(depth, size)
+
+    def close(self, tag: str) -> None:
+        """An end tag: it closes its element; an inline one does so only within its block."""
+        if not (self.inline[-1] if tag in INLINE else self.counts).get(tag):
+            return
+        at = len(self.stack) - 1
+        while self.stack[at].tag != tag:
+            at -= 1
+        self.cut(at)
+
+    def make_way(self, tag: str) -> None:
+        """A start tag closes the elements before it that cannot hold it."""
+        closes = CLOSES.get(tag, ())
+        while self.stack[self.blocks[-1]].tag in closes:
+            self.cut(self.blocks[-1])
+
+
 def parse(page: str) -> Node:
     root = Node("", False)
-    stack, at, size = [root], 0, len(page)
+    open_, at, size, last = Open(root), 0, len(page), page.rfind(">")
     around: list[tuple[Node, bool]] = []  # elements that hide an article by name, and whether its own name is free of noise
     while at < size:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
+        top = open_.stack[-1]
         if not m:
-            stack[-1].parts.append(page[at:])
+            top.parts.append(page[at:])
             break
         if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
+            top.parts.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
+            open_.close(tag)
             continue
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in CLOSES.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i].tag not in INLINE and not (tag in ("tr", "td", "th") and stack[i].tag in ("td", "th")):
-                break
-        node = Node(tag, is_noise(tag, m[3], any(n.tag in ARTICLE for n in stack)))
+        open_.make_way(tag)
+        stack = open_.stack
+        node = Node(tag, is_noise(tag, m[3], open_.articles > 0))
         stack[-1].parts.append(node)
         if tag in ARTICLE and not node.noise:
-            for n in reversed(stack):
+            free = not named_noise(m[3], False)
+            kind = tag == "main", free
+            for n in reversed(stack[open_.seen.get(kind, 0) :]):
                 if n.tag == "article" and not n.noise:
                     break
                 if n.noise == BY_WORD or n.noise == BY_NAME and tag == "main":
                     n.noise = 0
                 elif n.noise == BY_NAME:
-                    around.append((n, not named_noise(m[3], False)))
+                    around.append((n, free))
+            open_.seen[kind] = len(stack)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
         elif tag not in VOID and not m[0].endswith("/>"):
-            stack.append(node)
+            open_.push(node)
     if around and not articles(root):
         for n, free in around:
             n.noise = 0 if free else n.noise
@@ -244,7 +292,7 @@ def blocks_of(nodes: list[Node], deleted: set[int]) -> list[str]:
             close()
         elif isinstance(p, str):
             held.append(p)
-        elif p.noise or p.key is not None and p.key in deleted:
+        elif p.noise or p.tag == "br" or p.key is not None and p.key in deleted:
             held.append(" ")
         elif p.tag in INLINE:
             stack.extend(reversed(p.parts))

@@ -503,6 +503,42 @@ def test_recurring_containers_inside_articles_go(spark):
     assert all(found[40 + i] == f"{own(1)}Get our letter\nShared line\nKept 1" for i in range(8))
 
 
+def test_templates_against_a_brute_force_counter(spark):
+    """Pages without article tags: what stands on five pages of a host goes, whatever it is called."""
+    import random
+
+    r, rows = random.Random(3), []
+    shared = [(f"<section><h3>Box {k}</h3><ul><li>Item {k}</li><li>More <b>{k}</b></li></ul></section>", f"Box {k}\nItem {k}\nMore {k}") for k in range(40)]
+    for i in range(160):
+        parts = [r.choice(shared[(i % 3) * 10 : (i % 3) * 10 + 20]) for _ in range(r.randrange(5))]
+        parts += [(f"<div><p>Own {i} {k}</p></div>", f"Own {i} {k}") for k in range(3)]
+        r.shuffle(parts)
+        rows.append((i, f"https://h{i % 3}.org/{i}", "<body>" + "".join(h for h, _ in parts) + "</body>", parts))
+    count = Counter((u.split("/")[2], p) for _, u, _, parts in rows for p in set(parts))
+    df = spark.createDataFrame([x[:3] for x in rows], "page_id long, url string, html string")
+    found = {x["page_id"]: x["text"] for x in pages.extract(df).collect()}
+    kept = 0
+    for i, u, _, parts in rows:
+        stay = [p for p in parts if count[u.split("/")[2], p] < pages.MIN_PAGES]
+        kept += len(stay) - 3
+        assert found[i] == "\n".join(t for _, t in stay)
+    assert kept > 0 and any(n >= pages.MIN_PAGES for n in count.values())
+
+
+def test_deep_and_broken_pages_take_time_by_their_length():
+    import time
+
+    began = time.time()
+    cases = ["<div>" * 16000 + "x", "<b>" * 8000 + "</i>" * 8000, "<i><div>" + "<b>" * 8000 + "</i>" * 8000, "<b>" * 8000 + "<hr>" * 8000, "<main>" * 16000 + "x", "<div class=sidebar>" * 4000 + "<main></main>" * 8000, '<a "x' * 12001 + ">", "<!" * 30000]
+    for page in cases:
+        pages.main_text(page, {1})
+    assert time.time() - began < 4
+    assert pages.main_text("<div>" * 3000 + "x") == "x"
+    assert pages.main_text("<p>one<br>two <br/> three</p><br><p>four") == "one two three\nfour"
+    assert pages.main_text("<table><tr><td>a<td>b<tr><td>c</table><p>d<p>e") == "a\nb\nc\nd\ne"
+    assert pages.main_text("<article><p>" + "long text " * 200_000 + "</p></article>") == ("long text " * 200_000).strip()
+
+
 def test_held_out_is_crc(docs):
     for r in docs.select("doc_id", langid.held_out().alias("h")).collect():
         assert r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
