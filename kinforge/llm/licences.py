@@ -1,19 +1,32 @@
 """License scans with a generalised suffix automaton of licence tokens.
 
-All templates are put into one automaton over words. A text's words are looked up
-among the templates' words; runs of known words are streamed through the automaton,
-which gives at each word the longest match that ends there. Matches of at least
-MIN_MATCH words (whole templates may be shorter) are chained per template while
-they advance in text and template with gaps of at most GAP words. A chain covers a
-share of its template; from COVER, or from LONG words on, its label is found.
-
-Defined cases: a null or wordless text has no words, no labels and score 0;
-repeated rows give repeated results; null ids pass through; an empty table gives
+All templates are put into one automaton over words; each of its states knows every
+place in every template where its words end. A text's words are looked up among the
+templates' words; runs of known words are streamed through the automaton, which gives
+at each word the longest match that ends there. Matches of at least MIN_MATCH words
+are chained per template while they advance in text and template with gaps of at most
+GAP words, by dynamic programming; where two matches overlap, words count once. A chain
+covers a span of its template. Its label is found if
+
+* the chain covers COVER of the template's words, and
+* it covers OWN of the template's own phrases (runs of MIN_MATCH words that no template
+  of another label has), if there are any, and
+* no longer chain of another label holds more than half of the same words of the text.
+
+So a licence is told from others that quote it, and a common sentence has no label.
+Labels of phrases that the caller names (the base) are found wherever a phrase stands,
+within longer names too: a notice of the GNU Lesser General Public License holds
+"general public license", so it has both labels.
+
+Defined cases: a null or wordless text has no words, no labels and score 0; chains of
+equal length are taken by the smaller label first; texts of any length are streamed
+whole; repeated rows give repeated results; null ids pass through; an empty table gives
 an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +36,22 @@ from pyspark.sql import functions as F
 
 from .words import NON_ALNUM, Words, blocks, one_hash, words
 
-MIN_MATCH, GAP, COVER, LONG = 5, 40, 0.6, 14
+MIN_MATCH, GAP, COVER, OWN = 5, 40, 0.6, 0.5
 
 # Phrases whose places are counted, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Opening and notice texts of public licences, by label.
+# Whole texts of short public licences, and the notices by which longer ones are applied, by label.
 TEMPLATES = {
     "mit": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
         documentation files the software to deal in the software without restriction including without limitation the rights to
         use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the
         software is furnished to do so subject to the following conditions the above copyright notice and this permission notice
-        shall be included in all copies or substantial portions of the software""",
+        shall be included in all copies or substantial portions of the software the software is provided as is without warranty
+        of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular
+        purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other
+        liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or
+        the use or other dealings in the software""",
     "apache": """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the
         license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law
         or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or
@@ -44,30 +61,72 @@ TEMPLATES = {
         license as published by the free software foundation either version 3 of the license or at your option any later version
         this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty
         of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have
-        received a copy of the gnu general public license along with this program""",
+        received a copy of the gnu general public license along with this program if not see http www gnu org licenses""",
     "lgpl": """this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general
         public license as published by the free software foundation either version 2 1 of the license or at your option any later
-        version""",
-    "bsd": """redistribution and use in source and binary forms with or without modification are permitted provided that the
-        following conditions are met redistributions of source code must retain the above copyright notice this list of conditions
-        and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of
-        conditions and the following disclaimer in the documentation and or other materials provided with the distribution""",
+        version this library is distributed in the hope that it will be useful but without any warranty without even the implied
+        warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details
+        you should have received a copy of the gnu lesser general public license along with this library if not see http www gnu
+        org licenses""",
+    "agpl": """this program is free software you can redistribute it and or modify it under the terms of the gnu affero general
+        public license as published by the free software foundation either version 3 of the license or at your option any later
+        version this program is distributed in the hope that it will be useful but without any warranty without even the implied
+        warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details
+        you should have received a copy of the gnu affero general public license along with this program if not see http www gnu
+        org licenses""",
+    "bsd-2-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that the
+        following conditions are met 1 redistributions of source code must retain the above copyright notice this list of
+        conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this
+        list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+        this software is provided by the copyright holders and contributors as is and any express or implied warranties including
+        but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no
+        event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or
+        consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits
+        or business interruption however caused and on any theory of liability whether in contract strict liability or tort
+        including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of
+        such damage""",
+    "bsd-3-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that the
+        following conditions are met 1 redistributions of source code must retain the above copyright notice this list of
+        conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this
+        list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+        3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission this software is provided by the copyright holders
+        and contributors as is and any express or implied warranties including but not limited to the implied warranties of
+        merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors
+        be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to
+        procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any
+        theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out
+        of the use of this software even if advised of the possibility of such damage""",
     "isc": """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-        provided that the above copyright notice and this permission notice appear in all copies""",
+        provided that the above copyright notice and this permission notice appear in all copies the software is provided as is
+        and the author disclaims all warranties with regard to this software including all implied warranties of merchantability
+        and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages
+        whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action
+        arising out of or in connection with the use or performance of this software""",
+    "zlib": """this software is provided as is without any express or implied warranty in no event will the authors be held liable for
+        any damages arising from the use of this software permission is granted to anyone to use this software for any purpose
+        including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the
+        origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this
+        software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered
+        source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice
+        may not be removed or altered from any source distribution""",
     "mpl": """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not
         distributed with this file you can obtain one at http mozilla org mpl 2 0""",
     "unlicense": """this is free and unencumbered software released into the public domain anyone is free to copy modify publish
         use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial
-        or non commercial and by any means""",
+        or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software
+        dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of
+        the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of
+        relinquishment in perpetuity of all present and future rights to this software under copyright law""",
     "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
-    "cc-by-sa": "licensed under cc by sa 4 0",
+    "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "cc-by-nc": "licensed under cc by nc 4 0",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
 }
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; ends[state]: template -> the first place where the state's words end."""
+    """Suffix automaton of several word sequences; ends[state]: each (sequence, place) where the state's words end."""
 
     def __init__(self, sequences: list[list[int]]):
         self.step: list[dict[int, int]] = [{}]
@@ -76,14 +135,14 @@ class Automaton:
             last = 0
             for c in s:
                 last = self._extend(last, c)
-        self.ends: list[dict[int, int]] = [{} for _ in self.step]
+        self.ends: list[list[tuple[int, int]]] = [[] for _ in self.step]
         for t, s in enumerate(sequences):
             state = 0
             for i, c in enumerate(s):
                 state = self.step[state][c]
                 up = state
-                while up > 0 and t not in self.ends[up]:
-                    self.ends[up][t] = i
+                while up > 0:
+                    self.ends[up].append((t, i))
                     up = self.link[up]
 
     def _split(self, p: int, c: int) -> int:
@@ -134,7 +193,7 @@ class Automaton:
 
 class Scanner:
     def __init__(self, templates: dict[str, str], phrases: dict[str, str]):
-        named = [(label, t.split()) for label, t in templates.items()] + [(label, p.split()) for p, label in phrases.items()]
+        named = [(label, t.split()) for label, t in sorted(templates.items())]
         vocabulary = sorted({w for _, t in named for w in t})
         ids = {w: i for i, w in enumerate(vocabulary)}
         hashes = one_hash(vocabulary)
@@ -143,10 +202,17 @@ class Scanner:
         self.labels, self.sizes = [x for x, _ in named], [len(t) for _, t in named]
         self.automaton = Automaton([[ids[w] for w in t] for _, t in named])
         self.phrases = [(one_hash(p.split()), label) for p, label in phrases.items()]
-        self.shortest = min(self.sizes)
+        self.shortest = min(MIN_MATCH, *self.sizes) if named else 0
+        runs: dict[tuple, set[str]] = defaultdict(set)
+        for label, t in named:
+            for i in range(len(t) - MIN_MATCH + 1):
+                runs[tuple(t[i : i + MIN_MATCH])].add(label)
+        self.own = [{i for i in range(len(t) - MIN_MATCH + 1) if len(runs[tuple(t[i : i + MIN_MATCH])]) == 1} for _, t in named]
 
     def known(self, w: Words) -> np.ndarray:
         """The vocabulary's number of each word, or -1."""
+        if not len(self.hashes):
+            return np.full(len(w.hashes), -1)
         at = np.minimum(np.searchsorted(self.hashes, w.hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == w.hashes, self.ids[at], -1)
 
@@ -165,23 +231,56 @@ class Scanner:
         """(template, first word, words, place in the template) of the long matches of a run."""
         for end, length, state in self.automaton.matches(run):
             if length >= self.shortest:
-                for t, last in self.automaton.ends[state].items():
+                for t, last in self.automaton.ends[state]:
                     if length >= min(MIN_MATCH, self.sizes[t]):
                         yield t, first + end - length, length, last - length + 1
 
-    def chains(self, spans: list[tuple[int, int, int, int]]) -> dict[int, int]:
-        """Most words of each template that one chain covers."""
-        best: dict[int, int] = {}
-        for t in {s[0] for s in spans}:
-            end = place = covered = None
-            for _, first, n, at in sorted(s for s in spans if s[0] == t):
-                if end is not None and 0 <= first - end <= GAP and 0 <= at - place <= GAP:
-                    covered += n
-                else:
-                    covered = n
-                end, place = first + n, at + n
-                best[t] = max(best.get(t, 0), covered)
-        return best
+    def chains(self, spans: list[tuple[int, int, int]], size: int) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """(words covered, spans) of chains of one template's spans (first word, words, place), best first; none shares a span with a better one."""
+        spans = sorted(spans)
+        best, back = [], []
+        low = 0
+        for k, (first, n, at) in enumerate(spans):
+            while first - spans[low][0] > GAP + size:
+                low += 1
+            most, came = n, -1
+            for i in range(low, k):
+                f, m, a = spans[i]
+                over = max(f + m - first, a + m - at, 0)  # words that both hold
+                if f < first and a < at and over < n and first - f - m <= GAP and at - a - m <= GAP and best[i] + n - over > most:
+                    most, came = best[i] + n - over, i
+            best.append(most)
+            back.append(came)
+        used: set[int] = set()
+        for k in sorted(range(len(spans)), key=lambda k: (-best[k], spans[k])):
+            chain, i = [], k
+            while i >= 0 and i not in used:
+                chain.append(i)
+                i = back[i]
+            used.update(chain)
+            if i < 0:
+                yield best[k], [spans[x] for x in reversed(chain)]
+
+    def found(self, spans: list[tuple[int, int, int, int]]) -> list[tuple[str, float, int, int]]:
+        """(label, share of the template, first word, end) of the licences in a text."""
+        by: dict[int, list] = defaultdict(list)
+        for t, *span in spans:
+            by[t].append(tuple(span))
+        whole = []
+        for t, own in by.items():
+            if sum(n for _, n, _ in own) < COVER * self.sizes[t]:
+                continue
+            for covered, chain in self.chains(own, self.sizes[t]):
+                if covered < COVER * self.sizes[t]:
+                    break
+                held = sum(any(at <= i and i + MIN_MATCH <= at + n for _, n, at in chain) for i in self.own[t])
+                if held >= OWN * len(self.own[t]):
+                    whole.append((-covered, self.labels[t], covered / self.sizes[t], chain[0][0], chain[-1][0] + chain[-1][1]))
+        out: list[tuple[str, float, int, int]] = []
+        for _, label, share, a, b in sorted(whole):
+            if not any(x != label and 2 * (min(b, e) - max(a, s)) > b - a for x, _, s, e in out):
+                out.append((label, share, a, b))
+        return out
 
     def scan(self, column: pa.Array) -> dict[str, list]:
         w = words(column, lower=True, seps=NON_ALNUM)
@@ -203,20 +302,15 @@ class Scanner:
         edge[w.at] = True  # a run ends with its row
         start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
         stop = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-        long_ = stop - start >= self.shortest
+        long_ = stop - start >= max(self.shortest, 1)
         for a, b in zip(start[long_].tolist(), stop[long_].tolist()):
             r = int(np.searchsorted(w.at, a, "right")) - 1
             spans[r].extend(self.spans(ids[a:b].tolist(), a - int(w.at[r])))
         labels, scores = [], []
         for r in range(n):
-            found, score = set(base[r]), 0.0
-            for t, covered in self.chains(spans[r]).items() if spans[r] else ():
-                share = min(1.0, covered / self.sizes[t])
-                if share >= COVER or covered >= LONG:
-                    found.add(self.labels[t])
-                    score = max(score, share)
-            labels.append(",".join(sorted(found)))
-            scores.append(1.0 if base[r] else score)
+            found = self.found(spans[r]) if spans[r] else []
+            labels.append(",".join(sorted(base[r] | {x[0] for x in found})))
+            scores.append(1.0 if base[r] else max((x[1] for x in found), default=0.0))
         none = lambda x: [int(v) if v >= 0 else None for v in x]
         return {"n_words": w.counts.tolist(), "n_base": count.tolist(), "first_word": none(first), "last_word": none(last), "base_labels": [",".join(sorted(b)) for b in base], "labels": labels, "score": scores}
 

@@ -333,6 +333,66 @@ def test_licence_spans(spark):
     assert found[3]["labels"] == found[4]["labels"] == found[5]["labels"] == ""
 
 
+def test_each_notice_has_its_own_label_only():
+    import pyarrow as pa
+
+    scanner = licences.Scanner(licences.TEMPLATES, {})
+    labels = lambda texts: scanner.scan(pa.array(texts))["labels"]
+    names = list(licences.TEMPLATES)
+    assert labels(list(licences.TEMPLATES.values())) == names
+    notes = ["(c) 2020 someone, " + t.replace(" the ", " the, ", 2) + " and other words of the program" for t in licences.TEMPLATES.values()]
+    assert labels(notes) == names
+    bsd3, bsd2 = licences.TEMPLATES["bsd-3-clause"], licences.TEMPLATES["bsd-2-clause"]
+    assert labels([bsd3 + " filler" * 60 + " " + bsd2, licences.TEMPLATES["gpl"] + " x " + licences.TEMPLATES["isc"]]) == ["bsd-2-clause,bsd-3-clause", "gpl,isc"]
+    sentence = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability"
+    assert labels([sentence, "in no event shall the author be liable", " ".join(bsd2.split()[:60])]) == ["", "", ""]
+    lgpl = licences.Scanner(licences.TEMPLATES, licences.PHRASES).scan(pa.array([licences.TEMPLATES["lgpl"]]))
+    assert lgpl["labels"] == ["gpl,lgpl"] and lgpl["base_labels"] == ["gpl"]  # the contract's phrase stands in the notice
+
+
+def test_matching_statistics_and_chains_against_brute_force():
+    import random
+
+    r = random.Random(2)
+    for _ in range(60):
+        templates = [[r.randrange(4) for _ in range(r.randint(3, 14))] for _ in range(3)]
+        text = [r.randrange(5) for _ in range(30)]
+        text[5:9] = templates[0][:4]
+        held = {(tuple(t[i:j])) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+        longest = [max((n for n in range(i + 1) if tuple(text[i - n : i]) in held), default=0) for i in range(len(text) + 1)]
+        want = {(i, longest[i]) for i in range(len(text) + 1) if longest[i] and (i == len(text) or longest[i + 1] <= longest[i])}
+        automaton = licences.Automaton(templates)
+        got = set()
+        for end, n, state in automaton.matches([c if c < 4 else -1 for c in text]):
+            if n:
+                got.add((end, n))
+                places = [(t, i + n - 1) for t, s in enumerate(templates) for i in range(len(s) - n + 1) if s[i : i + n] == text[end - n : end]]
+                assert sorted(automaton.ends[state]) == places
+        assert got == want
+
+    scanner = licences.Scanner({"x": "a b c d e f"}, {})
+
+    def most(spans):
+        """The best chain by trying all subsets."""
+        best = 0
+        for mask in range(1, 1 << len(spans)):
+            chain = [s for k, s in enumerate(sorted(spans)) if mask >> k & 1]
+            total, ok = chain[0][1], True
+            for (f, m, a), (g, n, b) in zip(chain, chain[1:]):
+                over = max(f + m - g, a + m - b, 0)
+                ok &= f < g and a < b and over < n and g - f - m <= licences.GAP and b - a - m <= licences.GAP
+                total += n - over
+            best = max(best, total * ok)
+        return best
+
+    for _ in range(100):
+        spans = list({(r.randrange(120), r.randint(5, 20), r.randrange(100)) for _ in range(r.randint(1, 7))})
+        chains = list(scanner.chains(spans, 120))
+        assert chains[0][0] == most(spans)
+        used = [s for _, c in chains for s in c]
+        assert len(used) == len(set(used))
+
+
 def test_ngrams_against_brute_force(docs):
     learn = [(i, t) for i, t, *_ in ROWS if i is None or i % 3]
     got = ngrams.score(docs, docs.where("doc_id is null or doc_id % 3 <> 0")).collect()
