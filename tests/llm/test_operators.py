@@ -447,6 +447,27 @@ def test_top_k_against_brute_force(spark):
     assert topk.search(few, F.col("vec_id") % 20 == 0).count() == 1
 
 
+def test_top_k_prunes_before_rows_are_shuffled(spark):
+    import numpy as np
+
+    g = np.random.default_rng(7)
+    centres = g.normal(0, 20, (24, 6))
+    x = centres[g.integers(0, 24, 2400)] + g.normal(0, 0.3, (2400, 6))
+    x[2000:2200] = x[2000]  # a common vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2400 + i, [float(i), 1.0]) for i in range(30)] + [(2440, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made = topk.Search(df, F.col("vec_id") % 20 == 0, 20, row_block=128, query_block=16, cell_rows=64)
+    got = {}
+    for r in made.result.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ints = [np.floor(64 * np.array(v)) for _, v in rows]
+    for q in range(0, len(rows), 20):
+        same = [(i, int(ints[q] @ ints[k])) for k, (i, v) in enumerate(rows) if i != rows[q][0] and len(v) == len(ints[q])]
+        best = sorted(same, key=lambda t: (-t[1], t[0]))[:20]
+        assert sorted(got.get(rows[q][0], [])) == [(n + 1, i, s) for n, (i, s) in enumerate(best)]
+    assert made.share < 0.5
+
+
 def test_dual_tree_prunes_and_is_exact():
     import numpy as np
 
