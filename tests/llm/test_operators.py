@@ -422,6 +422,30 @@ def test_ngrams_against_brute_force(docs):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
 
 
+def test_frequent_words_are_spread_and_missing_files_are_an_error(spark, tmp_path):
+    import glob
+    import os
+
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(i, " ".join(f"the n{i * 40 + k}" for k in range(40))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    buckets = ngrams.dealt(df, 50)
+    the = ngrams.words(pa.array(["the"])).hashes[0]
+    spread = dict(zip(buckets.frequent.tolist(), buckets.spread.tolist()))
+    assert spread[int(the)] == 50 and len(spread) < 5
+    now = np.arange(5000, dtype=np.uint64)
+    counts = np.bincount(buckets.of(np.full(5000, the), now), minlength=50)
+    assert counts.min() > 50 and counts.max() < 160
+    assert len(set(buckets.of(now[:1].repeat(100), now[:100]).tolist())) == 1
+    folder, *made = ngrams.train(df, Scratch(spark, "ngrams"))
+    assert len(ngrams.Model(folder, *made).score(pa.array(["the n1"]))) == 4
+    os.remove(glob.glob(f"{folder}/pairs-*.0.npy")[0])
+    with pytest.raises(FileNotFoundError):
+        ngrams.Model(folder, *made)
+
+
 def test_nothing_to_learn_from(docs, empty):
     assert all(abs(r["score"]) < 1e-9 for r in ngrams.score(docs, empty).collect())
 
