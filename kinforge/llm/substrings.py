@@ -7,7 +7,7 @@ misses no repeat and counts about one position in thirteen. Anchors that stand i
 document only are dropped. Windows of twice the length are looked at only where their
 own anchor survived, and so on, until no candidates survive or the length asked for is
 reached, where all windows that are left are counted; longer ones cannot remove a
-further word. There a window is told by two 64-bit hashes, so that windows that differ
+further word. There a window is told by hashes of 64 and 32 bits, so that windows that differ
 do not meet by chance in a large corpus. Windows that also stand in a document with a
 smaller doc_id are removed; all windows are judged on the input.
 
@@ -56,16 +56,16 @@ def candidates(w: Words, steps: list[int], k: int, given: np.ndarray, of_rows: n
     """Hashes, second hashes and rows of what is counted at the k-th length; given: each row's survivors of the one before."""
     at, rows = row_windows(w.counts, w.at, steps[k])
     if not len(at):
-        return np.zeros(0, U), np.zeros(0, U), rows
+        return np.zeros(0, U), np.zeros(0, np.int32), rows
     if k:
         ok = _in_row(_anchors(w.hashes, steps[k - 1], steps[k])[at], rows, given, of_rows)
         at, rows = at[ok], rows[ok]
     own = window_hashes(w.hashes, steps[k])[at]
     if k == len(steps) - 1:
-        return own, window_hashes(mix(w.hashes ^ _CHECK), steps[k])[at], rows
+        return own, (window_hashes(mix(w.hashes ^ _CHECK), steps[k])[at] >> U(32)).astype(np.uint32).view(np.int32), rows
     longer, of_longer = row_windows(w.counts, w.at, steps[k + 1])
     if not len(longer):
-        return np.zeros(0, U), np.zeros(0, U), of_longer
+        return np.zeros(0, U), np.zeros(0, np.int32), of_longer
     anchor = _anchors(w.hashes, steps[k], steps[k + 1])[longer]
     new = np.ones(len(anchor), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (of_longer[1:] != of_longer[:-1])
@@ -73,13 +73,13 @@ def candidates(w: Words, steps: list[int], k: int, given: np.ndarray, of_rows: n
     if k:
         ok = _in_row(anchor, of_longer, own, rows)
         anchor, of_longer = anchor[ok], of_longer[ok]
-    return anchor, anchor, of_longer
+    return anchor, np.zeros(len(anchor), np.int32), of_longer
 
 
 def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     """Values of each row (rows ascend) as lists of longs."""
     offsets = np.searchsorted(rows, np.arange(n + 1))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64) if values.dtype == U else values))
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +138,11 @@ def survivors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     for k in range(len(steps)):
         source = known if found is None else known.join(found, "doc_id")
         last = k == len(steps) - 1
-        counted = scratch.keep(source.mapInArrow(_level(steps, k), "doc_id long, hashes array<long>" + ", checks array<long>" * last), f"level{k}")
+        counted = scratch.keep(source.mapInArrow(_level(steps, k), "doc_id long, hashes array<long>" + ", checks array<int>" * last), f"level{k}")
+        scratch.drop(f"survivors{k - 1}")
+        scratch.release()
         found = scratch.keep(_repeated(counted), f"survivors{k}")
-        scratch.drop(f"level{k}", f"survivors{k - 1}")
+        scratch.drop(f"level{k}")
         scratch.release()
         if not last and found.isEmpty():
             break
