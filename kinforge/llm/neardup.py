@@ -210,11 +210,12 @@ class Search:
         """(u, v, n, both, linked, beside) of each class u and the centres v of its entries: shingles in common, and those of u alone."""
         placed = self.scratch.keep(large.groupBy("l", "id").agg(F.first("n").alias("n"), F.sum("c").alias("part")), "placed")
         scored = placed.join(placed.groupBy("id").agg(F.sum("part").alias("score")), "id")
-        centre = scored.groupBy("l").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top"))
+        # written tables on both sides: a join that reads an aggregate directly can't be split for a frequent entry
+        centre = self.scratch.keep(scored.groupBy("l").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")), "centre")
         # any class can be a centre; the best one that a member knows from its entries serves many entries at once
         met = scored.select("l", "id", "n").join(centre, "l")
         best = met.groupBy("id").agg(F.max("top").alias("best"))
-        chosen = met.select("l", "id").join(best, "id").groupBy("l").agg(F.max("best").alias("best")).select("l", (-F.col("best.minus")).alias("v"))
+        chosen = self.scratch.keep(met.select("l", "id").join(best, "id").groupBy("l").agg(F.max("best").alias("best")).select("l", (-F.col("best.minus")).alias("v")), "chosen")
         pairs = placed.select("l", "id", "n").join(chosen, "l").where("id <> v").select(F.col("id").alias("u"), "v", "n").distinct()
         a = self.sets.select(F.col("id").alias("u"), F.col("shingles").alias("sa"))
         b = self.sets.select(F.col("id").alias("v"), F.col("shingles").alias("sb"))
