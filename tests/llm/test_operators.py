@@ -440,10 +440,14 @@ def test_frequent_words_are_spread_and_missing_files_are_an_error(spark, tmp_pat
     assert counts.min() > 50 and counts.max() < 160
     assert len(set(buckets.of(now[:1].repeat(100), now[:100]).tolist())) == 1
     folder, *made = ngrams.train(df, Scratch(spark, "ngrams"))
-    assert len(ngrams.Model(folder, *made).score(pa.array(["the n1"]))) == 4
+    some = pa.array([" ".join(f"the n{k}" for k in range(2000))])
+    want = [x.tolist() for x in ngrams.Model(folder, *made).score(some)]
+    few = ngrams.Model(folder, *made)
+    few.MAPS = 2
+    assert [x.tolist() for x in few.score(some)] == want
     os.remove(glob.glob(f"{folder}/pairs-*.0.npy")[0])
     with pytest.raises(FileNotFoundError):
-        ngrams.Model(folder, *made)
+        ngrams.Model(folder, *made).score(some)
 
 
 def test_nothing_to_learn_from(docs, empty):
