@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +48,14 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of finished jobs."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner delete the shuffle files of finished jobs.
+
+        The JVM learns a moment later that Python has dropped an object, so it is asked twice.
+        """
+        for _ in range(2):
+            gc.collect()
+            time.sleep(0.25)
+            self.spark.sparkContext._jvm.System.gc()
 
 
 def partitions_for(df: DataFrame, rows_each: int, rows: int) -> int:
