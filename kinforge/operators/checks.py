@@ -121,6 +121,14 @@ def within_tolerance(report: DataFrame, most: float) -> DataFrame:
     return report.select("child_table", "fk_cols", "parent_table", "distinct_keys", "matched_keys", "orphan_keys", ratio(F.col("matched_keys")).alias("match_rate"), ratio(F.col("orphan_keys")).alias("orphan_ratio"), valid.alias("is_valid"))
 
 
+def reference_problems(report: DataFrame, most: float = 0.0) -> DataFrame:
+    """Why a foreign key cannot be used: a missing table or column, no match at all, or more orphan keys than allowed.
+    A key without any value to check is fine."""
+    of = F.col("distinct_keys")
+    reason = F.when(F.col("child_rows") < 0, "missing").when(of == 0, "ok").when(F.col("matched_keys") == 0, "no match").when(F.col("orphan_keys") > most * of, "orphans").otherwise("ok")
+    return report.select("child_table", "fk_cols", "parent_table", "parent_cols", "distinct_keys", "orphan_keys", reason.alias("reason"))
+
+
 def orphans(child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str], policy: str = "allow_any_null") -> DataFrame:
     """Child rows whose key the parent lacks."""
     to = parent.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(parent_columns)]).distinct()
@@ -184,5 +192,11 @@ def colliding_keys(made: DataFrame, made_key: list[str], existing: DataFrame, ke
     return made.select(*made_key).join(to, on, "left_semi").distinct()
 
 
+def existing_keys(name: str, made: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
+    """Keys of new rows that the table they are meant for already has, as a row of the gate."""
+    n = colliding_keys(made, key, existing, key).agg(F.count("*").alias("violations"))
+    return n.select(F.lit("existing_key").alias("check"), F.lit(f"{name}({','.join(key)})").alias("object"), "violations")
+
+
 def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,14 +13,22 @@ from ..functions.draws import draw
 _LOCAL = (1 << 33) - 1
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one in local sessions only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or tempfile.mkdtemp(prefix="kinforge-")
+
+
 def freeze(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and cut off from its lineage."""
+    """df, written to the shared checkpoint folder and cut off from its lineage.
+
+    Spark deletes the files with the last reference if spark.cleaner.referenceTracking.cleanCheckpoints is true.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="kinforge-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

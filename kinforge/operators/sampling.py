@@ -11,8 +11,6 @@ from ..functions.draws import draw, unit
 from ..functions.values import any_null
 from .rows import freeze, number_rows
 
-MAX_ROUNDS = 20
-
 
 def _keys(parent: DataFrame, columns: list[str]) -> DataFrame:
     return parent.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(columns)]).dropna().distinct()
@@ -58,13 +56,14 @@ def close_over_parents(child: DataFrame, columns: list[str], sample: DataFrame,
     return sample.unionByName(missing_parents(child, columns, sample, full, parent_columns).select(*sample.columns))
 
 
-def close_over_self(sample: DataFrame, columns: list[str], full: DataFrame, parent_columns: list[str], rounds: int = MAX_ROUNDS) -> DataFrame:
-    """sample and all the rows of its own table that it refers to, directly or not."""
+def close_over_self(sample: DataFrame, columns: list[str], full: DataFrame, parent_columns: list[str]) -> DataFrame:
+    """sample and all the rows of its own table that it refers to, directly or not, however long the chain.
+
+    Every round adds rows of full that were not there, so it ends when nothing that exists is missing.
+    """
     new = have = freeze(sample)
-    for _ in range(rounds):
+    while not new.isEmpty():
         new = freeze(missing_parents(new, columns, have, full, parent_columns).select(*sample.columns))
-        if new.isEmpty():
-            break
         have = freeze(have.unionByName(new))
     return have
 

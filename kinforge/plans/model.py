@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from ..functions.values import yes_or_no
 
 log = logging.getLogger("kinforge")
-Hook = Callable[[DataFrame, DataFrame], DataFrame]
+#: A table's new rows and the tables made before it, by name -> its rows as they should be.
+Hook = Callable[[DataFrame, Mapping[str, DataFrame]], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -148,7 +149,8 @@ def compile_specs(config: Mapping[str, dict], hooks: Mapping[str, Hook] | None =
 
 def sanitise(specs: Specs, problems: Problems, schemas: Mapping[str, Iterable[str]] | None = None) -> Specs:
     """Specs without foreign keys that cannot work: unknown parent, unequal lengths, columns that are their own
-    parent's, static child of a table that changes; given schemas, also missing columns and columns in two keys."""
+    parent's, static child of a table that changes; given schemas (of all tables or some), also missing columns and
+    columns in two keys."""
     out: Specs = {}
     for name, table in specs.items():
         kept, used = [], set()
@@ -162,7 +164,7 @@ def sanitise(specs: Specs, problems: Problems, schemas: Mapping[str, Iterable[st
                 why = "columns refer to themselves"
             elif table.static and not specs[fk.parent].static:
                 why = "a static table cannot follow a parent that changes"
-            elif schemas is not None and (missing := [c for c in fk.columns if c not in set(schemas[name])] + [c for c in fk.parent_columns if c not in set(schemas[fk.parent])]):
+            elif schemas is not None and (missing := [c for t, names in ((name, fk.columns), (fk.parent, fk.parent_columns)) if t in schemas for c in names if c not in set(schemas[t])]):
                 why = f"missing columns {missing}"
             elif schemas is not None and used & set(fk.columns):
                 why = "a column is in two foreign keys"

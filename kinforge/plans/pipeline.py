@@ -10,17 +10,18 @@ import time
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.values import key_capacity
-from ..operators.checks import gate, never_null, require
+from ..operators.checks import existing_keys, gate, never_null, require, stack
 from ..operators.dates import DEFAULT_DAYS
-from ..operators.keys import key_start
+from ..operators.keys import key_start, largest_key
 from ..operators.rows import freeze
 from ..operators.sampling import capped, close_over_parents, close_over_self, keep_referenced, repair, root_filter, top_up
 from ..sources.readers import join_path, largest_from_footers, read_specs, read_table
 from ..sources.writers import save_together
-from .model import Specs, compile_specs, components, normalise, order, target_rows
+from .model import Problems, Specs, compile_specs, components, normalise, order, sanitise, target_rows
 from .synthesis import Synthesis
 
 log = logging.getLogger("kinforge")
@@ -97,8 +98,11 @@ class Group:
         out = {}
         for t, table in self.specs.items():
             kind = self.full[t].schema[table.key[-1]].dataType
-            if not table.static and kind.typeName() != "string":
-                largest = largest_from_footers(self.spark, self.layout.source(t), table.key[-1])
+            if not table.static:
+                if kind.typeName() == "string":
+                    largest = largest_key(self.full[t], table.key[-1])
+                else:
+                    largest = largest_from_footers(self.spark, self.layout.source(t), table.key[-1])
                 start = key_start(None if largest is None else int(largest // 1), rows[t], kind, band=band, floor=floor)
                 if start is not None:
                     limit = key_capacity(kind)
@@ -107,6 +111,11 @@ class Group:
                     out[t] = start
         return out
 
+    def collisions(self, made: Mapping[str, DataFrame]) -> list[DataFrame]:
+        """Generated keys of text that the unfiltered table already has; numbers start above its largest key."""
+        own = [t for t in self.specs.values() if not t.static and not any(t.shares_key(fk) for fk in t.foreign_keys)]
+        return [existing_keys(t.name, made[t.name], self.full[t.name], list(t.key)) for t in own if self.full[t.name].schema[t.key[-1]].dataType.typeName() == "string"]
+
     def run(self, scale: float = SCALE, limit: int | None = None, min_rows: int = MIN_ROWS, band: int = BAND, floor: int = 0, days: int = DEFAULT_DAYS, check: bool = True) -> dict[str, str]:
         tables = self.close(self.sample(limit, min_rows))
         not_null = self.not_null(tables)
@@ -116,13 +125,27 @@ class Group:
         made = Synthesis(tables, self.specs, rows, seed=self.seed, starts=self.key_starts(rows, band, floor), default_days=days).run()
         made = self.repaired({t: freeze(df) for t, df in made.items()}, not_null)
         if check:
-            require(gate(made, self.specs, not_null, [t for t in self.specs if counts[t]]))
+            require(stack([gate(made, self.specs, not_null, [t for t in self.specs if counts[t]]), *self.collisions(made)]))
         return save_together(made, self.layout.target())
 
 
+def columns_at(spark: SparkSession, layout: Layout, specs: Specs) -> dict[str, list[str]]:
+    """Columns of the tables that can be read; the others fail with their group."""
+    out = {}
+    for t in specs:
+        try:
+            out[t] = read_table(spark, layout.source(t)).columns
+        except AnalysisException as e:
+            log.warning("%s: %s", t, str(e).splitlines()[0])
+    return out
+
+
 def run(spark: SparkSession, layout: Layout, config: Mapping[str, dict], *, seed: int = SEED, continue_on_error: bool = False, **options) -> dict[str, str]:
-    """All groups; one that fails writes nothing, and stops the rest unless told to go on. Raises at the end if any failed."""
-    specs = compile_specs(normalise(config))
+    """All groups; one that fails writes nothing, and stops the rest unless told to go on. Raises at the end if any failed.
+    Foreign keys that the tables' columns rule out are left out with a warning."""
+    problems = Problems()
+    specs = compile_specs(normalise(config), problems=problems)
+    specs = sanitise(specs, problems, columns_at(spark, layout, specs))
     written, failed = {}, []
     for names in components(specs):
         began = time.time()
@@ -171,8 +194,9 @@ def environment(env: Mapping[str, str] = os.environ) -> dict[str, str]:
 
 
 def session(name: str = "kinforge", conf: Mapping[str, str] | None = None) -> SparkSession:
-    """A session with adaptive execution and UTC; object store settings and sizes come in through conf."""
-    builder = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
+    """A session with adaptive execution and UTC, which deletes checkpoints that nothing refers to any more; object
+    store settings and sizes come in through conf."""
+    builder = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.sql.session.timeZone", "UTC")
     for k, v in (conf or {}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.checks import gate, require
+from ..operators.checks import gate, reference_problems, reference_report, references, require
 from ..operators.dates import DEFAULT_DAYS, rewrite_dates, run_time
 from ..operators.keys import key_map, key_start, largest_key, new_key, remap, remap_self
 from ..operators.rows import bootstrap, freeze, number_rows
@@ -31,6 +32,11 @@ class Synthesis:
         self.maps: dict[tuple[str, tuple[str, ...]], DataFrame] = {}
         self.wide: dict[tuple[str, tuple[str, ...]], bool] = {}
         self.made: dict[str, DataFrame] = {}
+        self.users: dict[tuple[str, tuple[str, ...]], set[str]] = {}
+        for t in specs.values():
+            for fk in t.foreign_keys:
+                if fk.parent != t.name:
+                    self.users.setdefault((fk.parent, fk.parent_columns), set()).add(t.name)
 
     def run(self) -> dict[str, DataFrame]:
         """Tables that do not depend on each other are made at the same time."""
@@ -42,11 +48,23 @@ class Synthesis:
             for level in levels(self.specs):
                 made = pool.map(lambda t: self.make(self.specs[t], late[t], wanted.get(t, set())), level)
                 work |= dict(zip(level, made))
+                self.made |= {t: work[t].select(*self.tables[t].columns) for t in level}
+                for t in level:
+                    if not late[t]:
+                        self.release(t)
         for name in names:
             for fk in late[name]:
                 work[name] = freeze(self.rewrite_key(work[name], name, fk))
+            self.release(name)
         return {t: work[t].select(*self.tables[t].columns) for t in names}
 
+    def release(self, name: str) -> None:
+        """Maps that no table needs any more are let go, and their files with them (see freeze)."""
+        for key, users in self.users.items():
+            users.discard(name)
+            if not users:
+                self.maps.pop(key, None)
+
     def make(self, table: Table, late: list[ForeignKey], wanted: set[tuple[str, ...]]) -> DataFrame:
         """A table's new rows, still with their positions and old keys; the maps that its children need are kept."""
         work = freeze(self.static(table) if table.static else self.multiply(table, late, wanted))
@@ -61,7 +79,7 @@ class Synthesis:
         return rewrite_dates(df, self.at, days=days, default_days=self.default_days) if self.rewrite else df
 
     def hooked(self, df: DataFrame, table: Table) -> DataFrame:
-        return table.hook(df, df) if table.hook else df
+        return table.hook(df, dict(self.made)) if table.hook else df
 
     def static(self, table: Table) -> DataFrame:
         """Rows as they are; each is its own only candidate."""
@@ -112,12 +130,34 @@ class Synthesis:
         return joined.withColumns({c: F.col(f"__key_{i}").cast(work.schema[c].dataType) for i, c in enumerate(fk.columns)}).drop("__at", *[f"__key_{i}" for i in range(len(fk.columns))])
 
 
-def synthesise(tables: Mapping[str, DataFrame], config: Mapping[str, dict] | Specs, *, scale: float = 2.0, rows: Mapping[str, int] | None = None, hooks: Mapping[str, Hook] | None = None, policy: str = "warn", check: bool = True, save_to: str | None = None, save_format: str = "parquet", save_mode: str = "overwrite", **options) -> dict[str, DataFrame]:
-    """From tables and a spec to new tables, checked, and saved if asked."""
+def sanitise_by_data(specs: Specs, tables: Mapping[str, DataFrame], problems: Problems, most: float = 0.0, policy: str = "allow_any_null") -> Specs:
+    """Specs without foreign keys that the data contradict: none of their keys has a parent, or more than a share lack one."""
+    if not references(specs):
+        return specs
+    found = reference_problems(reference_report(tables, references(specs), policy), most).where("reason <> 'ok'").collect()  # one row a foreign key
+    bad = {(r["child_table"], r["fk_cols"], r["parent_table"], r["parent_cols"]): f"{r['reason']} ({r['orphan_keys']} of {r['distinct_keys']} keys are orphans)" for r in found}
+    out: Specs = {}
+    for name, table in specs.items():
+        kept = []
+        for fk in table.foreign_keys:
+            why = bad.get((name, ",".join(fk.columns), fk.parent, ",".join(fk.parent_columns)))
+            if why:
+                problems.add(f"{name} {fk}: {why}")
+            else:
+                kept.append(fk)
+        out[name] = replace(table, foreign_keys=tuple(kept))
+    return out
+
+
+def synthesise(tables: Mapping[str, DataFrame], config: Mapping[str, dict] | Specs, *, scale: float = 2.0, rows: Mapping[str, int] | None = None, hooks: Mapping[str, Hook] | None = None, policy: str = "warn", check_references: bool = False, check: bool = True, save_to: str | None = None, save_format: str = "parquet", save_mode: str = "overwrite", **options) -> dict[str, DataFrame]:
+    """From tables and a spec to new tables, checked, and saved if asked. check_references: foreign keys that the data
+    contradict are left out (or raise, as the policy says)."""
     problems = Problems(policy)
     specs = dict(config) if all(isinstance(t, Table) for t in config.values()) else compile_specs(config, hooks, problems)
     specs = sanitise(specs, problems, {t: df.columns for t, df in tables.items()})
     validate(specs, tables)
+    if check_references:
+        specs = sanitise_by_data(specs, tables, problems)
     counts = {t: tables[t].count() for t in specs}
     made = Synthesis(tables, specs, {**target_rows(specs, counts, scale), **(rows or {})}, **options).run()
     if check:

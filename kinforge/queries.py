@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,8 +121,7 @@ def _round_trip(t: Load, fmt: str, name: str = "nation") -> DataFrame:
     """A table written and read in a format, below the session's shared folder."""
     df = t(name)
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinforge-")
-    path = readers.join_path(base, f"round-trip-{fmt}-{spark.sparkContext.applicationId}", name)
+    path = readers.join_path(rows.shared_folder(spark), f"round-trip-{fmt}-{spark.sparkContext.applicationId}", name)
     writers.save_table(df, path, fmt)
     return readers.read_table(spark, path, fmt)
 
@@ -267,14 +265,8 @@ def declared_inclusion(t):
     return discovery.inclusion_of(t("events"), ["user_id"], t("customer"), ["c_custkey"])
 
 
-@query("(SELECT DISTINCT c_nationkey::BIGINT AS k, 'left' AS side FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 40)) UNION ALL (SELECT DISTINCT s_nationkey, 'right' FROM supplier WHERE s_suppkey < 40 AND s_nationkey NOT IN (SELECT c_nationkey FROM customer))")
-def value_set_difference(t):
-    key = lambda n, c, only="true": t(n).where(only).select(F.col(c).cast("long").alias("k"))
-    return discovery.value_differences(key("customer", "c_nationkey"), key("supplier", "s_nationkey", "s_suppkey < 40"), "k")
-
-
 @query("(SELECT DISTINCT c_nationkey::BIGINT AS k, 'left' AS side FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)) UNION ALL (SELECT DISTINCT s_nationkey, 'right' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer))")
-def value_set_difference_all(t):
+def value_set_difference(t):
     key = lambda n, c: t(n).select(F.col(c).cast("long").alias("k"))
     return discovery.value_differences(key("customer", "c_nationkey"), key("supplier", "s_nationkey"), "k")
 
@@ -333,15 +325,15 @@ def bootstrap_parent(t):
     return _boot(t, "customer", "c_custkey", True).select("pos", "c_custkey", "c_nationkey")
 
 
-def _generated(t: Load, kind: str, only: str = "p_partkey < 200") -> DataFrame:
-    source = rows.number_rows(t("part").where(only).select(F.col("p_partkey").cast(kind).alias("p_partkey")), ["p_partkey"], "pos")
+def _generated(t: Load, kind: str) -> DataFrame:
+    source = rows.number_rows(t("part").select(F.col("p_partkey").cast(kind).alias("p_partkey")), ["p_partkey"], "pos")
     dtype, n = source.schema["p_partkey"].dataType, source.count()
     start = keys.key_start(keys.largest_key(source, "p_partkey"), n, dtype) or 0
     made = source.select("pos", keys.new_key(F.col("pos"), "p_partkey", dtype, start + 1, n).alias("new_key"))
     return made if kind == "string" else made.withColumn("new_key", F.col("new_key").cast("double"))
 
 
-GENERATED = "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, (SELECT max(p_partkey) FROM part WHERE p_partkey < 200) + row_number() OVER (ORDER BY p_partkey) AS k FROM part WHERE p_partkey < 200"
+GENERATED = "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY p_partkey) AS k FROM part"
 
 
 @query(f"SELECT pos, k::DOUBLE AS new_key FROM ({GENERATED})")
@@ -351,42 +343,19 @@ def pk_generate_int(t):
 
 @query(f"SELECT pos, k::DOUBLE AS new_key FROM ({GENERATED})")
 def pk_generate_decimal(t):
-    return _generated(t, "decimal(6,0)")
+    return _generated(t, "decimal(18,0)")
 
 
 @query(f"SELECT pos, k::DOUBLE AS new_key FROM ({GENERATED})")
 def pk_generate_float(t):
-    return _generated(t, "float")
+    return _generated(t, "double")
 
 
-@query("SELECT row_number() OVER (ORDER BY p_partkey::VARCHAR) - 1 AS pos, 'SYN_p_partkey_' || lpad((row_number() OVER (ORDER BY p_partkey::VARCHAR))::VARCHAR, 14, '0') AS new_key FROM part WHERE p_partkey < 200")
+@query("SELECT row_number() OVER (ORDER BY p_partkey::VARCHAR) - 1 AS pos, 'SYN_p_partkey_' || lpad((row_number() OVER (ORDER BY p_partkey::VARCHAR))::VARCHAR, 14, '0') AS new_key FROM part")
 def pk_generate_string(t):
     return _generated(t, "string")
 
 
-GENERATED_ALL = "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY p_partkey) AS k FROM part"
-
-
-@query(f"SELECT pos, k::DOUBLE AS new_key FROM ({GENERATED_ALL})")
-def pk_generate_int_all(t):
-    return _generated(t, "int", "true")
-
-
-@query(f"SELECT pos, k::DOUBLE AS new_key FROM ({GENERATED_ALL})")
-def pk_generate_decimal_all(t):
-    return _generated(t, "decimal(18,0)", "true")
-
-
-@query(f"SELECT pos, k::DOUBLE AS new_key FROM ({GENERATED_ALL})")
-def pk_generate_float_all(t):
-    return _generated(t, "double", "true")
-
-
-@query("SELECT row_number() OVER (ORDER BY p_partkey::VARCHAR) - 1 AS pos, 'SYN_p_partkey_' || lpad((row_number() OVER (ORDER BY p_partkey::VARCHAR))::VARCHAR, 14, '0') AS new_key FROM part")
-def pk_generate_string_all(t):
-    return _generated(t, "string", "true")
-
-
 @query("SELECT 'customer' AS table_name, max(c_custkey) + 1000 AS start FROM customer UNION ALL SELECT 'nation', 2147483647 - 50 UNION ALL SELECT 'orders', greatest(max(o_orderkey), 5000000) FROM orders")
 def pk_start_plan(t):
     c, o = keys.largest_key(t("customer"), "c_custkey"), keys.largest_key(t("orders"), "o_orderkey")
@@ -394,6 +363,14 @@ def pk_start_plan(t):
     return t("region").sparkSession.createDataFrame(plan, "table_name string, start long")
 
 
+@query("SELECT 'part' AS table_name, max(p_partkey) AS start FROM part")
+def pk_start_string(t):
+    """Text keys go on above the highest generated one of the whole table."""
+    named = t("part").select(F.concat(F.lit("SYN_p_partkey_"), F.lpad(F.col("p_partkey").cast("string"), keys.PAD, "0")).alias("p_partkey"))
+    start = keys.key_start(keys.largest_key(named, "p_partkey"), 10, T.StringType())
+    return t("region").sparkSession.createDataFrame([("part", start)], "table_name string, start long")
+
+
 CUSTOMER_MAP = f"(SELECT c_custkey AS old_0, (SELECT max(c_custkey) FROM customer) + 1 + pos AS new_0, row_number() OVER (PARTITION BY c_custkey ORDER BY pos) AS rank, count(*) OVER (PARTITION BY c_custkey) AS count FROM {multiplied_sql('customer', 'c_custkey', True)})"
 
 
@@ -522,13 +499,8 @@ def floor_topup(t):
     return sampling.top_up(t("customer").where("c_custkey % 40 = 0"), t("customer"), ["c_custkey"], 100).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey < 50 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey < 500)")
-def parent_closure(t):
-    return sampling.close_over_parents(t("orders").where("o_orderkey < 500"), ["o_custkey"], t("customer").where("c_custkey < 50"), t("customer"), ["c_custkey"]).select("c_custkey")
-
-
 @query(f"SELECT c_custkey FROM customer WHERE {unit_sql('sample|customer', 'c_custkey')} < 0.1 OR c_custkey IN (SELECT o_custkey FROM orders WHERE {unit_sql('sample|orders', 'o_orderkey')} < 0.1)")
-def parent_closure_all(t):
+def parent_closure(t):
     orders, customers = sampling.drawn(t("orders"), "o_orderkey", 0.1, "sample|orders"), sampling.drawn(t("customer"), "c_custkey", 0.1, "sample|customer")
     return sampling.close_over_parents(orders, ["o_custkey"], customers, t("customer"), ["c_custkey"]).select("c_custkey")
 
@@ -539,6 +511,18 @@ def self_closure(t):
     return sampling.close_over_self(tree.where("p_partkey % 37 = 5"), ["parent_key"], tree, ["p_partkey"])
 
 
+LOST = "(SELECT o_orderkey, o_custkey + 1000000000 AS o_custkey FROM orders)"
+SUSPECT = [("events", ForeignKey(("user_id",), "customer", ("c_custkey",)), "events"), ("dirty", ForeignKey(("o_custkey",), "customer", ("c_custkey",)), DIRTY), ("lost", ForeignKey(("o_custkey",), "customer", ("c_custkey",)), LOST)]
+
+
+@query("SELECT child_table, fk_cols, parent_table, parent_cols, distinct_keys, orphan_keys, CASE WHEN distinct_keys = 0 THEN 'ok' WHEN matched_keys = 0 THEN 'no match' WHEN orphan_keys > 0 THEN 'orphans' ELSE 'ok' END AS reason FROM (" + union_sql([labelled_sql(n, fk, "allow_any_null", source) for n, fk, source in SUSPECT]) + ")")
+def fk_sanitise_report(t):
+    """Why foreign keys would be left out: of real, dirty and unrelated references."""
+    lost = t("orders").select("o_orderkey", (F.col("o_custkey") + 1_000_000_000).alias("o_custkey"))
+    tables = {"events": t("events"), "dirty": dirty_orders(t), "lost": lost, "customer": t("customer")}
+    return checks.reference_problems(checks.reference_report(tables, [(n, fk) for n, fk, _ in SUSPECT]))
+
+
 @query(f"SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN o_custkey END AS o_custkey FROM {DIRTY}")
 def orphan_null(t):
     return sampling.null_orphans(dirty_orders(t), ["o_custkey"], t("customer"), ["c_custkey"], ["o_custkey"]).select("o_orderkey", "o_custkey")
@@ -786,14 +770,52 @@ def row_count_plan(t):
     return t("region").sparkSession.createDataFrame(sorted(plan.items()), "table_name string, n_rows long")
 
 
-@query("SELECT * FROM (VALUES ('inconsistent_pair', 0::BIGINT), ('instrument_without_kind', 0), ('operation_before_instrument', 0), ('operation_without_instrument', 0), ('value_is_not_quantity_times_price', 0)) AS x(\"check\", n)")
-def demo_integrity(t):
-    return demo.demo_report(demo.demo(t("region").sparkSession, 300, 5000))
+PLAN_SQL = "(SELECT i::INTEGER AS plan_id, 'P' || i AS plan_code, (250 + 500 * i * i)::BIGINT AS seat_cents FROM range(1, 7) r(i))"
 
 
-@query()
-def demo_tables(t):
-    return demo.operations(demo.instruments(t("region").sparkSession))
+def contract_sql(n: int) -> str:
+    pick = lambda what, of: draw_sql(f"demo|contract|{what}", "contract_id", of)
+    base = f"(SELECT i AS contract_id, (1 + least({pick('plan', '6')}, {pick('other plan', '6')}))::INTEGER AS plan_id FROM (SELECT i, i AS contract_id FROM range(1, {n + 1}) r(i)))"
+    return f"(SELECT contract_id, plan_code || '-' || lpad(contract_id::VARCHAR, 9, '0') AS contract_code, plan_id, DATE '2021-03-01' + ({pick('start', '1460')})::INTEGER AS started, (1 + {pick('seats', '50')}) * seat_cents AS monthly_cents FROM {base} JOIN {PLAN_SQL} p USING (plan_id))"
+
+
+def payment_sql(contracts: int, n: int) -> str:
+    pick = lambda what, of: draw_sql(f"demo|payment|{what}", "payment_id", of)
+    base = f"(SELECT i AS payment_id, 1 + least({pick('contract', str(contracts))}, {pick('other contract', str(contracts))}) AS contract_id FROM (SELECT i, i AS payment_id FROM range(1, {n + 1}) r(i)))"
+    state = pick("state", "100")
+    return f"""(SELECT payment_id, contract_id, contract_code, started + ({pick('day', '730')})::INTEGER AS paid_on, 1 + {pick('months', '12')} AS months, monthly_cents,
+        (1 + {pick('months', '12')}) * monthly_cents AS cents, CASE WHEN {state} < 80 THEN 'paid' WHEN {state} < 95 THEN 'open' ELSE 'void' END AS state
+        FROM {base} JOIN {contract_sql(contracts)} c USING (contract_id))"""
+
+
+@query(f"SELECT * FROM {PLAN_SQL}")
+def demo_plans(t):
+    return demo.plans(t("region").sparkSession)
+
+
+@query(f"SELECT * FROM {contract_sql(1000)}")
+def demo_contracts(t):
+    return demo.contracts(t("region").sparkSession)
+
+
+@query(f"SELECT * FROM {payment_sql(1000, 50_000)}")
+def demo_payments(t):
+    return demo.payments(demo.contracts(t("region").sparkSession))
+
+
+@query(f"SELECT 'contracts_of_plan' AS what, plan_id::VARCHAR AS value, count(*) AS n FROM {contract_sql(300)} GROUP BY plan_id UNION ALL SELECT 'payments_in_state', state, count(*) FROM {payment_sql(300, 5000)} GROUP BY state")
+def demo_distributions(t):
+    return demo.demo_distributions(demo.demo(t("region").sparkSession, 300, 5000))
+
+
+@query(f"""WITH p AS (SELECT * FROM {payment_sql(300, 5000)}), c AS (SELECT * FROM {contract_sql(300)})
+SELECT 'contract_without_plan' AS "check", count(*) AS n FROM c WHERE plan_id NOT IN (SELECT plan_id FROM {PLAN_SQL})
+UNION ALL SELECT 'payment_without_contract', count(*) FROM p WHERE contract_id NOT IN (SELECT contract_id FROM c)
+UNION ALL SELECT 'number_and_code_disagree', count(*) FROM p ANTI JOIN c USING (contract_id, contract_code)
+UNION ALL SELECT 'cents_are_not_months_times_price', count(*) FROM p WHERE cents <> months * monthly_cents
+UNION ALL SELECT 'payment_before_start', count(*) FROM p JOIN c USING (contract_id) WHERE paid_on < started""")
+def demo_integrity(t):
+    return demo.demo_report(demo.demo(t("region").sparkSession, 300, 5000))
 
 
 @query("SELECT 'duplicate_key' AS \"check\", 0::BIGINT AS violations UNION ALL SELECT 'null_key', 0 UNION ALL SELECT 'orphan_rows', 0")

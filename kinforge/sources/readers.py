@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CSV = {"header": "true", "inferSchema": "true"}
-#: Lines looked at to guess an encoding.
-HEAD = 1000
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", options: Mapping[str, str] | None = None, limit: int | None = None) -> DataFrame:
@@ -70,39 +68,53 @@ def read_specs(spark: SparkSession, path: str) -> dict:
 
 
 def is_parquet(spark: SparkSession, path: str) -> bool:
-    """Whether a file starts with Parquet's magic bytes."""
-    found = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4).alias("m")).limit(1).collect()
-    return bool(found) and bytes(found[0]["m"]) == b"PAR1"
+    """Whether a file, or the first file of a folder, starts with Parquet's magic bytes; no more than these are read."""
+    fs, p = _fs(spark, path)
+    files = [s for s in fs.globStatus(p) or [] if s.isFile()] or [s for s in fs.listStatus(p) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    if not files or min(s.getLen() for s in files[:1]) < 4:
+        return False
+    stream = fs.open(files[0].getPath())
+    try:
+        return bytes(stream.read() for _ in range(4)) == b"PAR1"
+    finally:
+        stream.close()
+
+
+def fitting_encoding(spark: SparkSession, path: str, encodings: tuple[str, ...]) -> str:
+    """The first encoding in which no line of the text has a broken character (the last one if all have)."""
+    for encoding in encodings[:-1]:
+        # one column a line: no text has the separator
+        lines = spark.read.csv(path, sep="\u0001", encoding=encoding, quote="", schema="line string")
+        if lines.where(F.contains("line", F.lit("\ufffd"))).isEmpty():
+            return encoding
+    return encodings[-1]
 
 
 def read_messy_csv(spark: SparkSession, path: str, separators: str = ",;\t|", encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
-    """A CSV of unknown separator and encoding. The first lines decide both: no broken characters, then most columns;
-    rows that do not fit are dropped. A Parquet file under a CSV name is read as what it is."""
+    """A CSV of unknown separator and encoding. All lines decide: the first encoding without broken characters, then the
+    separator that the header has and that most lines have as often as the header (then the one that it has most
+    often); rows that do not fit are dropped. A Parquet file under a CSV name is read as what it is."""
     if is_parquet(spark, path):
         return spark.read.parquet(path)
-    best = None
-    for encoding in encodings:
-        lines = spark.read.text(path) if encoding == "UTF-8" else spark.read.option("encoding", encoding).csv(path, sep="\u0001")
-        head = [r[0] or "" for r in lines.limit(HEAD).collect()]
-        if not head or not head[0]:
-            continue
-        line = head[0].lstrip("\ufeff")
-        sep = max(separators, key=line.count)
-        rank = (not any("\ufffd" in x for x in head), line.count(sep))
-        if best is None or rank > best[0]:
-            best = rank, encoding, sep
-    if best is None:
+    encoding = fitting_encoding(spark, path, encodings)
+    lines = spark.read.csv(path, sep="\u0001", encoding=encoding, quote="", schema="line string")
+    header = (lines.first() or [None])[0]
+    if not header:
         raise ValueError(f"{path}: nothing to read")
-    return spark.read.csv(path, header=True, inferSchema=True, sep=best[2], encoding=best[1], mode="DROPMALFORMED")
+    inside = {s: header.lstrip("\ufeff").count(s) for s in separators}
+    plain = F.regexp_replace("line", '"[^"]*"', "")  # separators inside quotes are none
+    as_often = lines.agg(*[F.count_if(F.length(plain) - F.length(F.replace(plain, F.lit(s))) == n).alias(str(i)) for i, (s, n) in enumerate(inside.items())]).first()
+    sep = max(separators, key=lambda s: (inside[s] > 0, as_often[str(separators.index(s))], inside[s]))
+    return spark.read.csv(path, header=True, inferSchema=True, sep=sep, encoding=encoding, mode="DROPMALFORMED")
 
 
-def read_metadata(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """The table of tables and columns, as text; XLSX needs pandas with a reader for it."""
+def read_metadata(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """The table of tables and columns, as text, in UTF-8 or else in Latin-1; XLSX needs pandas with a reader for it."""
     if path.lower().endswith((".xls", ".xlsx")):
         import pandas as pd
 
         return spark.createDataFrame(pd.read_excel(path, dtype=str).astype(object).where(lambda x: x.notna(), None))
-    return spark.read.csv(path, header=True, encoding=encoding)
+    return spark.read.csv(path, header=True, encoding=encoding or fitting_encoding(spark, path, ("UTF-8", "ISO-8859-1")))
 
 
 def bounded_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:

@@ -82,18 +82,46 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    fs, p = _fs(spark, source)
+    if not fs.rename(p, _fs(spark, target)[1]):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def save_together(tables: Mapping[str, DataFrame], base: str) -> dict[str, str]:
-    """All tables or none: written beside their places first, then moved."""
+    """All tables or none: written beside their places first, then moved. Old tables are set aside until all new ones
+    stand, and moved back if one can't; readers may meet a mixed set only while tables are being moved."""
     spark = next(iter(tables.values())).sparkSession
-    staging = join_path(base, f".staging-{uuid.uuid4().hex}")
+    run = uuid.uuid4().hex
+    staging, aside = join_path(base, f".staging-{run}"), join_path(base, f".old-{run}")
+    old, placed = [], []
     try:
         for t, df in tables.items():
             save_table(df, join_path(staging, t))
-        for t in tables:
-            delete(spark, join_path(base, t))
-            fs, source = _fs(spark, join_path(staging, t))
-            if not fs.rename(source, _fs(spark, join_path(base, t))[1]):
-                raise OSError(f"{t} could not be moved into place")
+        fs, p = _fs(spark, aside)
+        fs.mkdirs(p)
+        try:
+            for t in tables:
+                if exists(spark, join_path(base, t)):
+                    move(spark, join_path(base, t), join_path(aside, t))
+                    old.append(t)
+                move(spark, join_path(staging, t), join_path(base, t))
+                placed.append(t)
+        except Exception:
+            for t in placed:
+                delete(spark, join_path(base, t))
+            for t in old:
+                move(spark, join_path(aside, t), join_path(base, t))
+            old.clear()
+            raise
+        old.clear()
     finally:
         delete(spark, staging)
+        if not old:  # else what was set aside is all that is left of a table
+            delete(spark, aside)
     return {t: join_path(base, t) for t in tables}

@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from kinforge.operators import marginals, metrics, structure
-from kinforge.plans import metadata, model, pipeline
+from kinforge.operators import checks, marginals, metrics, sampling, structure
+from kinforge.plans import metadata, model, pipeline, synthesis
 from kinforge.sources import readers, writers
 from kinforge.streaming import incremental
 
@@ -32,6 +32,75 @@ def test_failing_group_writes_nothing(spark, tmp_path):
     assert list(readers.discover_tables(spark, out)) == ["B"]
 
 
+def test_text_keys_go_on_above_the_whole_table(spark, tmp_path):
+    raw, out = f"file://{tmp_path}/raw", f"file://{tmp_path}/out"
+    source = spark.range(1, 201).select(F.concat(F.lit("SYN_k_"), F.lpad(F.col("id").cast("string"), 14, "0")).alias("k"))
+    writers.save_tables({"T": source}, raw)
+    written = pipeline.run(spark, pipeline.Layout(raw, out), {"T": {"pk_cols": "k"}}, limit=50, min_rows=20)
+    made = spark.read.parquet(written["T"])
+    assert made.count() == 100 and made.join(source, "k", "left_semi").count() == 0
+    assert checks.existing_keys("T", source.limit(3), source, ["k"]).first()["violations"] == 3
+
+
+def test_keys_that_the_columns_rule_out_are_skipped(spark, tmp_path):
+    raw, out = f"file://{tmp_path}/raw", f"file://{tmp_path}/out"
+    writers.save_tables({"A": spark.range(5), "B": spark.range(9).select(F.col("id").alias("k"), (F.col("id") % 5).alias("a"))}, raw)
+    config = {"A": {"pk_cols": "id"}, "B": {"pk_cols": "k", "foreign_keys": [{"columns": "gone", "parent_table": "A"}, {"columns": "a", "parent_table": "A"}]}}
+    written = pipeline.run(spark, pipeline.Layout(raw, out), config)
+    assert spark.read.parquet(written["B"]).join(spark.read.parquet(written["A"]), F.col("a") == F.col("id")).count() == 18
+
+
+def test_references_that_the_data_contradict(spark):
+    tables = {"p": spark.range(10), "c": spark.range(30).select(F.col("id").alias("k"), (F.col("id") % 10).alias("good"), (F.col("id") % 20).alias("half"), (F.col("id") + 100).alias("none"))}
+    fks = [{"columns": c, "parent_table": "p"} for c in ("good", "half", "none")]
+    specs = model.compile_specs({"p": {"pk_cols": "id"}, "c": {"pk_cols": "k", "foreign_keys": fks}})
+    problems = model.Problems()
+    kept = synthesis.sanitise_by_data(specs, tables, problems)
+    assert [fk.columns for fk in kept["c"].foreign_keys] == [("good",)]
+    assert "orphans (10 of 20" in problems.found[0] and "no match (30 of 30" in problems.found[1]
+    with pytest.raises(model.SpecError):
+        synthesis.sanitise_by_data(specs, tables, model.Problems("raise"))
+    assert len(synthesis.sanitise_by_data(specs, tables, model.Problems(), most=0.5)["c"].foreign_keys) == 2
+    made = synthesis.synthesise(tables, {"p": {"pk_cols": "id"}, "c": {"pk_cols": "k", "foreign_keys": fks}}, check_references=True)
+    assert made["c"].count() == 60
+
+
+def test_closure_over_a_long_chain(spark):
+    chain = spark.range(45).select("id", (F.col("id") - 1).alias("up"))
+    assert sampling.close_over_self(chain.where("id = 44"), ["up"], chain, ["id"]).count() == 45
+
+
+def test_a_failed_move_puts_old_tables_back(spark, tmp_path, monkeypatch):
+    base = f"file://{tmp_path}/set"
+    writers.save_together({"a": spark.range(1), "b": spark.range(1)}, base)
+    real = writers.move
+
+    def fails(s, source, target):
+        if "staging" in source and target.endswith("/b"):
+            raise OSError("no")
+        real(s, source, target)
+
+    monkeypatch.setattr(writers, "move", fails)
+    with pytest.raises(OSError):
+        writers.save_together({"a": spark.range(7), "b": spark.range(7)}, base)
+    monkeypatch.setattr(writers, "move", real)
+    assert [spark.read.parquet(f"{base}/{t}").count() for t in "ab"] == [1, 1]
+    assert sorted(p.name for p in (tmp_path / "set").iterdir()) == ["a", "b"]
+    writers.save_together({"a": spark.range(7), "b": spark.range(7)}, base)
+    assert [spark.read.parquet(f"{base}/{t}").count() for t in "ab"] == [7, 7]
+
+
+def test_hooks_see_the_tables_made_before(spark):
+    tables = {"p": spark.range(4).select("id", F.concat(F.lit("c"), "id").alias("code")), "c": spark.range(8).select(F.col("id").alias("k"), (F.col("id") % 4).alias("p"), F.lit("").alias("code"))}
+
+    def code(df, made):
+        return df.drop("code").join(made["p"].select(F.col("id").alias("p"), "code"), "p")
+
+    config = {"p": {"pk_cols": "id"}, "c": {"pk_cols": "k", "foreign_keys": [{"columns": "p", "parent_table": "p"}]}}
+    made = synthesis.synthesise(tables, config, hooks={"c": code})
+    assert made["c"].join(made["p"], (F.col("p") == F.col("id")) & (made["c"]["code"] == made["p"]["code"])).count() == 16
+
+
 def test_command_line():
     a = pipeline.arguments(["--limit", "5", "--scale-factor", "1.5"])
     assert a.limit == 5 and a.scale_factor == 1.5 and a.seed == 42
@@ -45,6 +114,14 @@ def test_messy_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_bytes("nome;valor\njosé;1\nana;2\n".encode("latin-1"))
     df = readers.read_messy_csv(spark, f"file://{tmp_path}/x.csv")
     assert df.columns == ["nome", "valor"] and {r["nome"] for r in df.collect()} == {"josé", "ana"}
+    late = "a,b;c|d;e\n" + '"x,y";1;2\n' * 3000 + "é;3;4\n"
+    (tmp_path / "late.csv").write_bytes(late.encode("latin-1"))
+    df = readers.read_messy_csv(spark, f"file://{tmp_path}/late.csv")
+    assert len(df.columns) == 3 and df.count() == 3001 and df.where(f"`{df.columns[0]}` = 'é'").count() == 1
+    spark.range(3).coalesce(1).write.parquet(f"file://{tmp_path}/p")
+    assert readers.is_parquet(spark, f"file://{tmp_path}/p") and not readers.is_parquet(spark, f"file://{tmp_path}/late.csv")
+    (tmp_path / "meta.csv").write_bytes("TABLE_NAME,COLUMN_NAME\nAÇÃO,id\n".encode("latin-1"))
+    assert readers.read_metadata(spark, f"file://{tmp_path}/meta.csv").first()["TABLE_NAME"] == "AÇÃO"
 
 
 def test_footers_give_the_largest_key(spark, tmp_path):
