@@ -100,6 +100,70 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_license_scan that SQL can express too."""
+    return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_document_fingerprints that SQL can express too."""
+    return op10_document_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_lm_scoring that SQL can express too; sums of logarithms to four places."""
+    return op6_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (SELECT r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE doc_id IS NOT NULL AND len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (h) WHERE first < doc_id),
+each AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+OP7_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(LOWER)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS h FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * common >= 85 * (a.n + b.n - common)),
+reached AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reached r JOIN links l ON l.u = r.v),
+least AS (SELECT u AS doc_id, min(v) AS m FROM reached GROUP BY u)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)"""
+
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split({}, '')]),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT FOR k IN range(8)]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+LM_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({CRC_SQL.format("doc_id::VARCHAR")} % 7 = 2, false) AS held_out, list_append({WORDS.format(LOWER)}, ' end') AS w FROM documents),
+c AS (SELECT t, count(*) AS c FROM (SELECT unnest(w) AS t FROM d WHERE NOT held_out) GROUP BY t),
+n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c),
+e AS (SELECT r, doc_id, held_out, unnest(w) AS t FROM (SELECT *, row_number() OVER () AS r FROM d))
+SELECT any_value(doc_id) AS doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1)::DOUBLE)), 4) AS base_score
+FROM e LEFT JOIN c USING (t), n GROUP BY r"""
+
+LICENSE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (
+  SELECT r, i - 1 AS place, 'mit' AS label FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d) WHERE w[i] = 'mit' AND w[i + 1] = 'license'
+  UNION ALL SELECT r, i - 1, 'apache' FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d) WHERE w[i] = 'apache' AND w[i + 1] = 'license'
+  UNION ALL SELECT r, i - 1, 'gpl' FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d) WHERE w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license'),
+f AS (SELECT r, count(*) AS n, min(place) AS a, max(place) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN f USING (r)"""
+
+EDITS_SQL = """
+WITH o AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS r FROM documents),
+x AS (SELECT a.doc_id, a.t, b.t AS following, length(a.t) AS n FROM o a JOIN o b ON b.r = a.r % (SELECT count(*) FROM o) + 1)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(substr(t, 1, n - n // 2) || substr(following, 1, n // 2)) AS edited_sha256 FROM x"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -113,6 +177,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_exact_top_k,
         op10_document_fingerprints,
+        license_phrases,
+        fingerprint_edits,
+        lm_base,
     )
 }
-ORACLES: dict[str, str] = {"op4_source_mixing": OP4_SQL, "op9_exact_top_k": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op4_source_mixing": OP4_SQL,
+    "op5_substring_dedup": OP5_SQL,
+    "op7_minhash_near_dedup": OP7_SQL,
+    "op9_exact_top_k": OP9_SQL,
+    "license_phrases": LICENSE_SQL,
+    "fingerprint_edits": EDITS_SQL,
+    "lm_base": LM_SQL,
+}
