@@ -8,8 +8,9 @@ Likeness is the share of equal bins, less what chance makes equal.
 
 ``edited_pairs`` compares each document with the next one in descending doc_id and
 with an edit that takes text over from it. Rows are sorted by range partitions;
-each task keeps back only its first and last row, and those few rows are paired in
-a second step, so nothing passes through one task but two rows a partition.
+each task keeps back only its first and last row, and a second step joins each
+partition's last row with the first one of the next partition that has rows; the
+driver sees the partitions' numbers only.
 
 Defined cases: a null text is empty; a text without words has the empty
 fingerprint; fewer than five words are one shingle; two equal fingerprints, empty
@@ -25,9 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .scratch import Scratch, partitions_for
 from .words import BLOCK, U, join, mix, row_windows, window_hashes, words
@@ -110,7 +111,7 @@ def rows_of(ids: list, texts: list[str]) -> dict[str, list]:
 
 TYPES = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-EDGE = SCHEMA + ", edge int, text string"
+EDGE = SCHEMA + ", edge int, part int, text string"
 
 
 def in_blocks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
@@ -124,23 +125,23 @@ def in_blocks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([*TYPES, ("edge", pa.int32()), ("text", pa.string())])
-    last: tuple | None = None
+    schema = pa.schema([*TYPES, ("edge", pa.int32()), ("part", pa.int32()), ("text", pa.string())])
+    part, last = TaskContext.get().partitionId(), None
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
         if not ids:
             continue
         if last is None:
-            yield pa.RecordBatch.from_pylist([{"doc_id": ids[0], "edge": 0, "text": texts[0]}], schema)
+            yield pa.RecordBatch.from_pylist([{"doc_id": ids[0], "edge": 0, "part": part, "text": texts[0]}], schema)
         else:
             ids, texts = [last[0], *ids], [last[1], *texts]
         last = ids[-1], texts[-1]
         for some_ids, some_texts in in_blocks(ids, texts):
             found = rows_of(some_ids, some_texts)
             n = len(found["doc_id"])
-            yield pa.RecordBatch.from_pydict(found | {"edge": [None] * n, "text": [None] * n}, schema)
+            yield pa.RecordBatch.from_pydict(found | {"edge": [None] * n, "part": [None] * n, "text": [None] * n}, schema)
     if last is not None:
-        yield pa.RecordBatch.from_pylist([{"doc_id": last[0], "edge": 1, "text": last[1]}], schema)
+        yield pa.RecordBatch.from_pylist([{"doc_id": last[0], "edge": 1, "part": part, "text": last[1]}], schema)
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +159,9 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order)
     done = scratch.keep(rows.mapInArrow(_sorted, EDGE), "rows")
     scratch.release()
-    in_order = W.orderBy(F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit("")), "edge")
-    everything = in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    edges = done.where("edge is not null").select("doc_id", "text", "edge")
-    edges = edges.withColumn("following", F.coalesce(F.lead("text").over(in_order), F.first("text").over(everything))).where("edge = 1")
-    return done.where("edge is null").drop("edge", "text").unionByName(edges.select("doc_id", "text", "following").mapInArrow(_edges, SCHEMA))
+    edges = done.where("edge is not null").select("doc_id", "text", "edge", "part")
+    parts = sorted(r[0] for r in edges.where("edge = 1").select("part").collect())  # numbers of the partitions that have rows
+    following = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]])), "part int, next_part int")
+    firsts = edges.where("edge = 0").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
+    pairs = edges.where("edge = 1").join(following, "part").join(firsts, "next_part").select("doc_id", "text", "following")
+    return done.where("edge is null").drop("edge", "part", "text").unionByName(pairs.mapInArrow(_edges, SCHEMA))

@@ -537,6 +537,44 @@ def test_fingerprints_of_repeated_and_single_rows(docs, spark):
     assert one["near_next"] == 1.0
 
 
+def test_sketches_against_brute_force():
+    """One hash a shingle, the least value of each bin, empty bins filled by their own sequence of donors."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["", None, "one", "a b c d e f g h", " ".join(f"w{i}" for i in range(300)), "A b C d e f G h"]
+    low, some = fingerprints.sketches(pa.array(texts))
+    hashes, rows = fingerprints.shingles(pa.array(texts), fingerprints.SHINGLE)
+    for r in range(len(texts)):
+        own = [int(h) for h, x in zip(hashes, rows) if x == r]
+        assert some[r] == bool(own)
+        if not own:
+            continue
+        bins = {}
+        for h in own:
+            bins[h >> 56] = min(bins.get(h >> 56, 1 << 60), h & ((1 << 56) - 1))
+        full = []
+        for b in range(fingerprints.BINS):
+            t = 0
+            while b not in bins and int(fingerprints._donors[t, b]) not in bins:
+                t += 1
+            full.append(bins[b] if b in bins else bins[int(fingerprints._donors[t, b])])
+        want = fingerprints.mix(np.array(full, np.uint64)) & np.uint64((1 << fingerprints.BITS) - 1)
+        assert low[r].tolist() == want.tolist()
+    assert low[3].tolist() == low[5].tolist()
+    prints = fingerprints.packed(low, some)
+    assert prints[0] == "" and [int(c, 16) for c in prints[4]] == low[4].tolist()
+
+
+def test_fingerprints_over_partitions_without_rows(spark):
+    rows = [(i, f"text {i} " * (i + 1)) for i in range(9)] + [(None, "n"), (None, None)]
+    found = fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+    texts = [t for _, t in sorted(rows[:9], reverse=True)] + ["", "n"]
+    halves = [len(t) // 2 for t in texts]
+    want = [hashlib.sha256((t[: len(t) - h] + u[:h]).encode()).hexdigest() for t, u, h in zip(texts, texts[1:] + texts[:1], halves)]
+    assert Counter(r["edited_sha256"] for r in found) == Counter(want)
+
+
 def test_likeness_estimates_similarity():
     import numpy as np
     import pyarrow as pa
