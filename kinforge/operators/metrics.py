@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from ..functions.values import DATETIMES
 from .checks import stack
 
-CELLS = 1024
+#: Parts between quantiles, and cells of a part.
+QUANTILES, CELLS = 32, 32
 
 
 def _epoch(df: DataFrame, column: str) -> Column:
@@ -25,14 +26,20 @@ def _epoch(df: DataFrame, column: str) -> Column:
 def ks_complement(a: DataFrame, column_a: str, b: DataFrame, column_b: str) -> DataFrame:
     """1 - the two-sample Kolmogorov-Smirnov distance of non-null values (null if a side has none).
 
-    Counts by distinct value are cut into cells of equal width; sums over cells, of which there are CELLS, start the
-    running sums inside each cell, so the ordered windows are many and no task sees all values.
+    Counts by distinct value are cut at quantiles and between these into cells of equal width; sums over cells start
+    the running sums inside each cell, so the ordered windows are many, no task sees all values, and a few extreme
+    values crowd one part between quantiles at most.
     """
     x = a.select(_epoch(a, column_a).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b"))
     y = b.select(_epoch(b, column_b).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
     counts = x.unionByName(y).where("v is not null and not isnan(v)").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ends = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    celled = counts.join(F.broadcast(ends)).withColumn("cell", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS)).otherwise(0))
+    cuts = F.percentile_approx("v", [k / QUANTILES for k in range(1, QUANTILES)], 1000)
+    ends = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("a").alias("na"), F.sum("b").alias("nb"), cuts.alias("cuts"))
+    part = F.size(F.filter("cuts", lambda c: c < F.col("v")))
+    edges = F.concat(F.array("lo"), "cuts", F.array("hi"))
+    placed = counts.join(F.broadcast(ends)).withColumn("part", part).withColumns({"low": F.get(edges, F.col("part")), "high": F.get(edges, F.col("part") + 1)})
+    inner = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS), F.lit(CELLS - 1))).otherwise(0)
+    celled = placed.select("v", "a", "b", "na", "nb", (F.col("part") * CELLS + inner).alias("cell"))
     cells = celled.groupBy("cell").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
     before = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     starts = cells.select("cell", F.coalesce(F.sum("ca").over(before), F.lit(0)).alias("sa"), F.coalesce(F.sum("cb").over(before), F.lit(0)).alias("sb"))
@@ -155,6 +162,12 @@ def volumes(original: Mapping[str, DataFrame], synthetic: Mapping[str, DataFrame
     return stack(rows).withColumn("factor", F.round(F.col("n_synthetic") / F.nullif("n_original", F.lit(0)), 4))
 
 
+def ends_of(df: DataFrame, column: str) -> tuple[float, float] | None:
+    """A column's least and greatest value as numbers; None if it has none."""
+    r = df.agg(F.min(_epoch(df, column)).alias("lo"), F.max(_epoch(df, column)).alias("hi")).first()
+    return None if r["lo"] is None else (r["lo"], r["hi"])
+
+
 def histogram(df: DataFrame, column: str, bins: int = 25, ends: tuple[float, float] | None = None) -> DataFrame:
     """bucket, n: counts in bins of equal width over the column's range or given ends; values outside are clamped."""
     values = df.select(_epoch(df, column).alias("v")).where("v is not null")

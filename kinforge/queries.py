@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.draws import unit
-from .operators import checks, dates, demo, discovery, keys, marginals, metrics, rows, sampling, structure
+from .functions.draws import token, unit
+from .operators import checks, dates, demo, discovery, keys, marginals, metrics, reports, rows, sampling, structure
 from .plans import metadata, model
 from .plans.model import ForeignKey
 from .plans.synthesis import synthesise
@@ -676,6 +676,95 @@ def column_shapes(t):
     return metrics.column_shapes(t("orders"), t("orders").where("o_orderkey % 3 = 0"), {"o_orderkey"})
 
 
+THIRD = "o_orderkey % 3 = 0"
+
+
+@query(f"SELECT avg(score) AS score, count(score) AS n_columns FROM ({ORACLES['column_shapes']})")
+def shape_score(t):
+    return reports.shape_score(metrics.column_shapes(t("orders"), t("orders").where(THIRD), {"o_orderkey"}))
+
+
+@query(f"SELECT * FROM ({ORACLES['column_shapes']}) ORDER BY score, column_name LIMIT 2")
+def worst_columns(t):
+    return metrics.worst(metrics.column_shapes(t("orders"), t("orders").where(THIRD), {"o_orderkey"}), 2)
+
+
+def _trend_sql(x: str, y: str, where: str) -> str:
+    return f"(SELECT {x} AS x, {y} AS y FROM orders JOIN customer ON o_custkey = c_custkey WHERE {where})"
+
+
+@query(f"SELECT 1 - abs((SELECT corr(x, y) FROM {_trend_sql('o_totalprice', 'c_acctbal', 'true')}) - (SELECT corr(x, y) FROM {_trend_sql('o_totalprice', 'c_acctbal', THIRD)})) / 2 AS score")
+def inter_table_trend(t):
+    fk = ForeignKey(("o_custkey",), "customer", ("c_custkey",))
+    return reports.across_tables((t("orders"), t("customer")), (t("orders").where(THIRD), t("customer")), fk, "o_totalprice", "c_acctbal")
+
+
+@query("SELECT 1 - sum(abs(coalesce(x.n, 0) / (SELECT count(*) FROM orders) - coalesce(y.n, 0) / (SELECT count(*) FROM " + HALVES[1] + "))) / 2 AS score FROM " + " FULL JOIN ".join(f"(SELECT x || '|' || y AS k, count(*) AS n FROM {_trend_sql('o_orderpriority', 'c_mktsegment', w)} GROUP BY k) {n}" for n, w in (("x", "true"), ("y", THIRD))) + " ON x.k = y.k")
+def inter_table_categories(t):
+    fk = ForeignKey(("o_custkey",), "customer", ("c_custkey",))
+    return reports.across_tables((t("orders"), t("customer")), (t("orders").where(THIRD), t("customer")), fk, "o_orderpriority", "c_mktsegment")
+
+
+@query(ks_sql("SELECT o_totalprice AS v FROM orders", f"SELECT round(o_totalprice) AS v FROM orders WHERE {THIRD}"))
+def aligned_shapes(t):
+    """Numbers of different types on both sides are compared as numbers."""
+    other = t("orders").where(THIRD).select(F.round("o_totalprice").cast("long").alias("o_totalprice"))
+    return metrics.column_shapes(*reports.aligned(t("orders").select("o_totalprice"), other)).select("score")
+
+
+@query("SELECT * FROM (VALUES ('customer', 'no synthetic table'), ('orders', 'empty synthetic table'), ('orders', 'reference (o_custkey) -> customer (c_custkey) does not stand in the synthetic set'), ('nation', 'no common column')) x(table_name, problem)")
+def metric_preflight(t):
+    specs = {n: model.compile_specs(CHAIN)[n] for n in ("nation", "customer", "orders")}
+    specs = model.sanitise(specs, model.Problems())
+    original = {n: t(n) for n in specs}
+    return reports.preflight(original, {"orders": t("orders").where("false"), "nation": t("nation").select(F.lit(1).alias("other"))}, specs)
+
+
+REPORT_SPECS = {"customer": {"pk_cols": "c_custkey"}, "orders": {"pk_cols": "o_orderkey", "foreign_keys": [{"columns": "o_custkey", "parent_table": "customer"}]}}
+
+
+@query(f"""SELECT 'column_shapes' AS property, 'orders' AS object, avg(score) AS score FROM ({ORACLES['column_shapes']})
+UNION ALL SELECT 'column_shapes', 'customer', 1.0 UNION ALL SELECT 'structure', 'orders', 1.0 UNION ALL SELECT 'structure', 'customer', 1.0
+UNION ALL SELECT 'cardinality', 'orders (o_custkey) -> customer (c_custkey)', score FROM ({ks_sql("SELECT count(o_custkey)::DOUBLE AS v FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey", f"SELECT count(o_custkey)::DOUBLE AS v FROM customer LEFT JOIN {HALVES[1]} ON o_custkey = c_custkey GROUP BY c_custkey")})
+UNION ALL SELECT 'referential_integrity', 'orders (o_custkey) -> customer (c_custkey)', 1.0""")
+def quality_report(t):
+    sides = {"customer": t("customer"), "orders": t("orders")}, {"customer": t("customer"), "orders": t("orders").where(THIRD)}
+    return reports.quality_report(*sides, model.compile_specs(REPORT_SPECS)).drop("note")
+
+
+@query("SELECT coalesce(x.b, y.b)::VARCHAR AS bucket, coalesce(x.n, 0) / (SELECT count(*) FROM orders) AS share_original, coalesce(y.n, 0) / (SELECT count(*) FROM " + HALVES[1] + ") AS share_synthetic FROM " + " FULL JOIN ".join(f"(SELECT least(greatest(floor((o_totalprice - lo) / ((hi - lo) / 25)), 0), 24)::INTEGER AS b, count(*) AS n FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) WHERE {w} GROUP BY 1) {n}" for n, w in (("x", "true"), ("y", THIRD))) + " ON x.b = y.b")
+def distribution_numeric(t):
+    return reports.distribution(t("orders"), t("orders").where(THIRD), "o_totalprice")
+
+
+@query(f"SELECT o_orderstatus AS bucket, count(*) / (SELECT count(*) FROM orders) AS share_original, count(*) FILTER (WHERE {THIRD}) / (SELECT count(*) FROM {HALVES[1]}) AS share_synthetic FROM orders GROUP BY 1")
+def distribution_categories(t):
+    return reports.distribution(t("orders"), t("orders").where(THIRD), "o_orderstatus")
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS pos, 'tok_' || substr(md5('42|line|' || (l_orderkey * 10 + l_linenumber)::VARCHAR), 1, 12) AS token FROM lineitem")
+def sample_tokens(t):
+    pos = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return t("lineitem").select(pos.alias("pos"), token("line", pos).alias("token"))
+
+
+@query("SELECT p_partkey AS pos, p_partkey + 1 AS number, md5('42|key|k|' || p_partkey::VARCHAR) AS text FROM part")
+def sample_keys(t):
+    pos = F.col("p_partkey")
+    return t("part").select(pos.alias("pos"), marginals.key_values(pos, T.LongType(), "k").alias("number"), marginals.key_values(pos, T.StringType(), "k").alias("text"))
+
+
+@query("SELECT * FROM (VALUES ('orders', 'o_custkey', 'customer', 'c_custkey'), ('nation', 'n_regionkey', 'region', 'r_regionkey')) x(child_table, fk_cols, parent_table, parent_cols)")
+def conflict_resolution(t):
+    """Of references that claim one column, the one that the data bear out best."""
+    claims = [("orders", "o_custkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("nation", "n_regionkey", "region", "r_regionkey")]
+    tables = {n: t(n) for n in ("orders", "customer", "supplier", "nation", "region")}
+    report = checks.within_tolerance(checks.reference_report(tables, [(c, ForeignKey((x,), p, (y,))) for c, x, p, y in claims]), 1.0).collect()  # one row a claim
+    to = {(c, x, p): y for c, x, p, y in claims}
+    found = discovery.resolve_conflicts([{"child_table": r["child_table"], "columns": [r["fk_cols"]], "parent": r["parent_table"], "match_rate": r["match_rate"], "orphan_keys": r["orphan_keys"]} for r in report])
+    return t("region").sparkSession.createDataFrame([(f["child_table"], f["columns"][0], f["parent"], to[f["child_table"], f["columns"][0], f["parent"]]) for f in found], "child_table string, fk_cols string, parent_table string, parent_cols string")
+
+
 @query("SELECT min(n) AS min_n, max(n) AS max_n, avg(n) AS avg_n, quantile_cont(n, 0.5)::DOUBLE AS median_n FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
 def fanout_stats(t):
     return metrics.fan_out_stats(t("orders"), ["o_custkey"])

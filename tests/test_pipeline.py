@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from kinforge.operators import checks, marginals, metrics, sampling, structure
+from kinforge.operators import checks, marginals, metrics, reports, sampling, structure
 from kinforge.plans import metadata, model, pipeline, synthesis
 from kinforge.sources import readers, writers
 from kinforge.streaming import incremental
@@ -148,6 +148,31 @@ def test_structural_verdict(spark):
     assert structure.structural_validation(a, b, specs)["verdict"] == "REPROVADO"
 
 
+def test_report_with_a_property_that_fails(spark):
+    a = {"p": spark.range(30), "c": spark.range(60).select(F.col("id").alias("k"), (F.col("id") % 30).alias("p"), F.col("id").alias("v"))}
+    specs = model.compile_specs({"p": {"pk_cols": "id"}, "c": {"pk_cols": "k", "foreign_keys": [{"columns": "p", "parent_table": "p"}]}})
+    b = a | {"c": a["c"].drop("p").withColumn("v", F.col("v").cast("string"))}
+    rows = {(r["property"], r["object"]): r for r in reports.quality_report(a, b, specs).collect()}
+    assert rows["cardinality", "c (p) -> p (id)"]["score"] is None and "p" in rows["cardinality", "c (p) -> p (id)"]["note"]
+    assert rows["column_shapes", "c"]["score"] == 1.0 and rows["structure", "c"]["score"] == 0.25
+    assert {r["problem"] for r in reports.preflight(a, b, specs).collect()} == {"reference (p) -> p (id) does not stand in the synthetic set"}
+    seen = reports.heads(a["c"], b["c"], ["k"], 3).collect()
+    assert [r["side"] for r in seen] == ["original"] * 3 + ["synthetic"] * 3 and set(seen[0].asDict()) == {"side", "k", "v"}
+    roles, single = reports.metric_schema(a, specs)
+    assert ("c", "k", "id") in roles and [t for t, _ in single] == ["c"]
+
+
+def test_ks_with_extreme_values(spark):
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    x, y = np.append(g.normal(0, 1, 800), [1e12, -1e9]), np.append(g.normal(0.3, 1, 700), [1e11])
+    got = metrics.ks_complement(spark.createDataFrame([(float(v),) for v in x], "v double"), "v", spark.createDataFrame([(float(v),) for v in y], "v double"), "v").first()[0]
+    every = np.concatenate([x, y])
+    gap = max(abs((x <= v).mean() - (y <= v).mean()) for v in every)
+    assert abs(got - (1 - gap)) < 1e-12
+
+
 def test_null_against_null_reference_is_fine(spark):
     a = {"p": spark.range(3), "c": spark.range(3).select(F.col("id").alias("k"), F.lit(None).cast("long").alias("p"))}
     specs = model.compile_specs({"p": {"pk_cols": "id"}, "c": {"pk_cols": "k", "foreign_keys": [{"columns": "p", "parent_table": "p"}]}})
