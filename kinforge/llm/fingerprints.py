@@ -16,7 +16,7 @@ Defined cases: a null text is empty; a text without words has the empty
 fingerprint; fewer than five words are one shingle; two equal fingerprints, empty
 ones too, have likeness 1, an empty and another 0; null ids come last; rows that
 share an id follow each other by text; the only row is its own next; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; texts of any length are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations

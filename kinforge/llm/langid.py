@@ -15,8 +15,9 @@ a language. Every document is parsed whole.
 
 Defined cases: a text that is null or has no letters is ``und`` with score 0; with
 no labelled row at all, so is every text; ties go to the smaller label; null ids
-are never learned from and never held out; an empty table gives an empty result;
-other columns are ignored.
+are never learned from and never held out; texts of any length are parsed whole; an
+empty table gives an empty result; other columns are carried along, whatever their
+names (but those asked for in the result).
 """
 
 from __future__ import annotations
@@ -174,23 +175,26 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None, names: tuple[
     """docs with the predicted label and its score under names; learns from learn_from (docs themselves)."""
     texts = sample(docs if learn_from is None else learn_from)
     kept = [c for c in docs.columns if c not in names]
-    schema = docs.select(*kept).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
+    inner = [f"k{i}" for i in range(len(kept))]  # whatever the columns are called
+    given = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(kept, inner)])
+    schema = given.withColumns({"label": F.lit(""), "score": F.lit(0.0)}).schema
+    own = inner[kept.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(texts)
         for batch in batches:
             labels: list[str] = []
             scores: list[float] = []
-            column = batch.column("text")
+            column = batch.column(own)
             for low, high in blocks(column):
                 rows = [t or "" for t in column.slice(low, high - low).to_pylist()]
                 p, s = classify(rows, model)
                 labels += p
                 scores += s
-            seen = batch.column("__letters").to_pylist()
+            seen = batch.column("letters").to_pylist()
             labels = [p if x else "und" for p, x in zip(labels, seen)]
             scores = [s if x and p != "und" else 0.0 for p, s, x in zip(labels, scores, seen)]
-            arrays = [batch.column(c) for c in kept] + [pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*kept, *names])
+            arrays = [batch.column(c) for c in inner] + [pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, [*inner, "label", "score"])
 
-    return docs.select(*kept, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters")).mapInArrow(run, schema)
+    return given.withColumn("letters", F.coalesce(F.col(own).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema).toDF(*kept, *names)

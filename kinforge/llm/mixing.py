@@ -10,8 +10,9 @@ the documents of one bucket of one source are ordered together.
 
 Defined cases: null text has size 0; null source is a source of its own, last in
 order; rows of size 0 are taken 0 words; null ids draw like an empty id; repeated
-rows count as often as they stand; an empty table gives an empty result; other
-columns are carried along, whatever their names.
+rows count as often as they stand; a text of any length counts whole; an empty table
+gives an empty result; other columns are carried along: repeated() takes any names,
+measured() and mix() replace columns that have the names they give.
 """
 
 from __future__ import annotations
@@ -97,5 +98,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken; columns as given."""
-    mixed = mix(measured(docs), **options).where("__taken > 0")
-    return mixed.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*docs.columns)
+    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    mixed = mix(measured(whole).drop("text"), **options).where("__taken > 0")
+    return mixed.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select("__row.*")

@@ -26,7 +26,7 @@ Defined cases: a null or wordless text has an empty set and is linked with nothi
 fewer words than a shingle are one shingle; rows with a null id are linked with
 nothing, have a null component and stay; rows that share an id are one document,
 of which the least text is compared, and linked if any of its texts is; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; texts of any length are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations

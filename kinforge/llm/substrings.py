@@ -19,7 +19,7 @@ Defined cases: a null text is empty; texts shorter than a window, and texts that
 repeat nothing, keep all words; rows with a null id keep all words and count for
 nothing; rows that share an id do not remove each other's words; texts of any length
 are taken whole; an empty table gives an empty result; other columns are carried along,
-whatever their names (names that begin with __ and a word used here apart).
+whatever their names (but those asked for in the result).
 """
 
 from __future__ import annotations
@@ -149,19 +149,22 @@ def survivors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return found
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
-    """docs with __n_words, __n_removed, __kept_sha256; text loses the removed words (or is left out).
+def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True, names: tuple[str, str, str] = ("__n_words", "__n_removed", "__kept_sha256")) -> DataFrame:
+    """docs with words, removed words and digest under names; text loses the removed words (or is left out).
 
     A text that keeps all its words stays as it is; from others the kept words remain, joined by one space.
     """
-    found = survivors(docs, length).withColumnsRenamed({"doc_id": "__id", "survivors": "__survivors"})
-    joined = docs.join(found, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
-    columns = [c for c in docs.columns if with_text or c != "text"]
-    schema = docs.select(*columns).withColumns({"__n_words": F.lit(0).cast("long"), "__n_removed": F.lit(0).cast("long"), "__kept_sha256": F.lit("")}).schema
+    found = survivors(docs, length)
+    columns = [c for c in docs.columns if c not in names and (with_text or c != "text")]
+    inner = {c: f"k{i}" for i, c in enumerate(dict.fromkeys([*columns, "text", "doc_id"]))}  # whatever the columns are called
+    given = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in inner.items()])
+    joined = given.join(found.withColumnRenamed("doc_id", "id"), F.col(inner["doc_id"]).cast("long") == F.col("id"), "left").drop("id")
+    carried = [inner[c] for c in columns]
+    schema = given.select(*carried).withColumns({"n": F.lit(0).cast("long"), "removed": F.lit(0).cast("long"), "digest": F.lit("")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, lists = batch.column("text"), batch.column("__survivors")
+            column, lists = batch.column(inner["text"]), batch.column("survivors")
             total, removed, digest, texts = [], [], [], []
             for low, high in blocks(column):
                 rows = column.slice(low, high - low)
@@ -189,7 +192,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> Data
                     digest.append(hashlib.sha256(flat).hexdigest())
                     if with_text:
                         texts.append(flat.decode("utf-8") if removed[-1] else text)
-            arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], [*columns, "__n_words", "__n_removed", "__kept_sha256"])
+            arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(inner[c]) for c in columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], [*carried, "n", "removed", "digest"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(*columns, *names)

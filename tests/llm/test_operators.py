@@ -58,6 +58,46 @@ def test_empty_tables(spark, empty):
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_one_very_long_text(spark):
+    """A text of half a million words beside short ones goes whole through every operator."""
+    from kinforge.llm import queries
+
+    n = 500_000
+    long = " ".join(f"word{i % 60_000}" for i in range(n))
+    rows = [(0, "a short text about nothing at all", "en", "a"), (1, long, "en", "a"), (2, long + " end", "en", "b"), (3, "mit license", "de", "b"), (4, "ein kurzer Text", "de", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert packing.pack(df).where("doc_id = 1").agg(F.sum("n_words")).first()[0] == n
+    assert {r["doc_id"]: r["__size"] for r in mixing.measured(df).collect()}[2] == n + 1
+    gone = {r["doc_id"]: (r["__n_words"], r["__n_removed"]) for r in substrings.dedup(df, with_text=False).collect()}
+    assert gone[1] == (n, 0) and gone[2] == (n + 1, n)
+    near = {r["doc_id"]: r["component_id"] for r in neardup.link(df).collect()}
+    assert near == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r["doc_id"]: r["n_tokens"] for r in ngrams.score(df, df).collect()}[1] == n + 1
+    assert {r["doc_id"]: r["n_words"] for r in licences.scan(df).collect()}[2] == n + 1
+    prints = {r["doc_id"]: r["near_next"] for r in fingerprints.edited_pairs(df).collect()}
+    assert prints[2] > 0.95 and prints[1] < 0.1
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}[1] == "en"
+    assert queries.QUERIES
+
+
+def test_columns_named_like_the_operators_own(spark):
+    names = ("__size", "__key", "__bucket", "__skey", "__taken", "__epochs", "__row", "__n", "__id", "__survivors", "__letters", "__lang", "__n_words", "__n_removed", "__kept_sha256", "a.b")
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([(1, "one " + passage, "en", "a"), (2, "two " + passage + "".join(f" t{i}" for i in range(60)), "en", "b"), (3, "three", "en", None)], "doc_id long, text string, lang string, source string")
+    df = df.select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    import corpus_pipeline
+
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == df.columns
+        docs = docs.persist()
+        assert all(r[c] == f"own {c}" for r in docs.collect() for c in names), name
+        if name == "substring_dedup":
+            assert {r["doc_id"]: r["text"] for r in docs.collect()}[2] == "two" + "".join(f" t{i}" for i in range(60))
+    assert packing.pack(docs).count() >= 2
+
+
 def test_packing_is_whole_and_fits(docs):
     rows = packing.pack(docs, capacities=(64, 128, 200)).collect()
     assert sum(r["n_words"] for r in rows) == sum(len(words(t)) for _, t, *_ in ROWS)
