@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -433,24 +434,27 @@ def test_matching_statistics_and_chains_against_brute_force():
         assert len(used) == len(set(used))
 
 
-def test_ngrams_against_brute_force(docs):
-    learn = [(i, t) for i, t, *_ in ROWS if i is None or i % 3]
-    got = ngrams.score(docs, docs.where("doc_id is null or doc_id % 3 <> 0")).collect()
+def brute_trigrams(learn):
+    """Kneser-Ney of order three, trigrams seen once pruned, from dictionaries: (tokens of text, counts, p(third; first two))."""
     end, start = b"<end>", b"<start>"
     tokens = lambda t: [*(t or "").encode().lower().split(), end]
-    ones, twos = Counter(), Counter()
-    for _, t in learn:
-        ones.update(tokens(t))
-        twos.update(zip([start, *tokens(t)], tokens(t)))
-    n, v = sum(ones.values()), len(ones)
-    cont, follow = Counter(b for _, b in twos), {}
+    ones, raw, threes = Counter(), Counter(), Counter()
+    for t in learn:
+        padded = [start, *tokens(t)]
+        ones.update(padded[1:])
+        raw.update(zip(padded, padded[1:]))
+        threes.update(zip(padded, padded[1:], padded[2:]))
+    twos = Counter((b, c) for _, b, c in threes) + Counter({p: c for p, c in raw.items() if p[0] == start})
+    cont, follow, kept = Counter(b for _, b in raw), {}, {}
     for (a, _), c in twos.items():
         follow.setdefault(a, []).append(c)
-    d2 = ngrams.discounts([sum(c == k for c in twos.values()) for k in (1, 2, 3, 4)])
-    d1 = ngrams.discounts([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
-    left = sum(d1[min(c, 3)] for c in cont.values()) / len(twos)
-    single = lambda w: max(cont[w] - d1[min(cont[w], 3)], 0) / len(twos) + left / (v + 1)
-    assert abs(sum(single(w) for w in ones) + single(b"new") - 1) < 1e-9
+    for (a, b, _), c in threes.items():
+        if c > 1:
+            kept.setdefault((a, b), []).append(c)
+    v = len(ones)
+    d3, d2, d1 = (ngrams.discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for x in (threes, twos, cont))
+    left = sum(d1[min(c, 3)] for c in cont.values()) / max(len(raw), 1)
+    single = lambda w: max(cont[w] - d1[min(cont[w], 3)], 0) / len(raw) + left / (v + 1)
 
     def pair(a, b):
         if a not in follow:
@@ -458,10 +462,43 @@ def test_ngrams_against_brute_force(docs):
         total = sum(follow[a])
         return max(twos[a, b] - d2[min(twos[a, b], 3)], 0) / total + sum(d2[min(c, 3)] for c in follow[a]) / total * single(b)
 
-    want = sorted((i is None, i or 0, len(tokens(t)), sum(ones[w] > 0 for w in tokens(t)), n, round(sum(math.log10((ones[w] + 1) / (n + v + 1)) for w in tokens(t)), 6), round(sum(math.log10(pair(a, b)) for a, b in zip([start, *tokens(t)], tokens(t))), 6)) for i, t, *_ in ROWS)
+    def triple(a, b, c):
+        if (a, b) not in kept:
+            return pair(b, c)
+        own = threes[a, b, c] if threes[a, b, c] > 1 else 0
+        spent = sum(k - d3[min(k, 3)] for k in kept[a, b]) / raw[a, b]
+        return max(own - d3[min(own, 3)], 0) / raw[a, b] + (1 - spent) * pair(b, c)
+
+    def whole(t):
+        padded = [start, *tokens(t)]
+        return math.log10(pair(*padded[:2])) + sum(math.log10(triple(*x)) for x in zip(padded, padded[1:], padded[2:]))
+
+    for a, b in [*kept][:50]:
+        assert abs(sum(triple(a, b, w) for w in [*ones, b"new"]) - 1) < 1e-9
+    return tokens, ones, whole
+
+
+def test_ngrams_against_brute_force(docs):
+    got = ngrams.score(docs, docs.where("doc_id is null or doc_id % 3 <> 0")).collect()
+    tokens, ones, whole = brute_trigrams([t for i, t, *_ in ROWS if i is None or i % 3])
+    n, v = sum(ones.values()), len(ones)
+    want = sorted((i is None, i or 0, len(tokens(t)), sum(ones[w] > 0 for w in tokens(t)), n, round(sum(math.log10((ones[w] + 1) / (n + v + 1)) for w in tokens(t)), 6), round(whole(t), 6)) for i, t, *_ in ROWS)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == want
 
 
+def test_ngrams_of_recurring_words(spark):
+    """A small vocabulary, so that trigrams of every count occur; once with many buckets and pairs that are spread over several."""
+    r = random.Random(5)
+    texts = [" ".join(r.choices("abcdefghijkl", range(12, 0, -1), k=r.randrange(60))) for _ in range(120)]
+    texts += texts[:10] + [None, "", "a", "a a", "unseen words here", "z " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    tokens, ones, whole = brute_trigrams(t for i, t in enumerate(texts) if i % 4)
+    want = {i: round(whole(t), 6) for i, t in enumerate(texts)}
+    for each in (ngrams.BUCKET_TOKENS, 40):
+        got = ngrams.score(df, df.where("doc_id % 4 <> 0"), bucket_tokens=each)
+        assert {r["doc_id"]: round(r["score"], 6) for r in got.collect()} == want
+
+
 def test_frequent_words_are_spread_and_missing_files_are_an_error(spark, tmp_path):
     import glob
     import os
