@@ -5,17 +5,20 @@ sort them and send them on as packed blocks, one a bucket; a bucket is chosen by
 the first word, and for a frequent one by the second too: words with more than half
 a bucket's share of a sample of the texts are spread over as many buckets as their
 share asks for, so that no bucket grows with the corpus. A bucket's task merges its
-blocks and writes the bigrams as sorted hash arrays into the shared folder.
-
-The texts are read again for trigrams. One that holds a bigram seen once was seen
-once itself, so tasks look both bigrams up in the mapped arrays and send on only
-trigrams of two bigrams that recur; the others are merely counted. Buckets are those of
-the last two words, and for a frequent pair of the first as well. They give each pair
-the number of different words before it, which is the count that a bigram has in the
-model (its own for a pair at the start of a text), and each trigram its count.
-Trigrams seen once are pruned: they take part in counts and discounts, but have no
-entry of their own, and what they would have had goes to the bigrams. All other entries are
-kept. Last rounds of buckets sum by context and by word and write their arrays.
+blocks and writes the bigrams as sorted hash arrays into the shared folder; a bigram's
+bucket and place there are its number. One that was seen once has, where others have
+their count, 31 bits of the only word that stood before it: the trigram that ends in it
+is known by these, and needs no entry.
+
+The texts are read again for trigrams. One that ends in a bigram seen once was seen
+once itself and is merely counted; the others are sent on as the numbers of their two
+bigrams, which need fewer bytes than hashes. Buckets are those of the last two words, and
+for a frequent pair of the first two as well. They give each pair the number of different
+words before it, which is the count that a bigram has in the model (its own for a pair
+at the start of a text), and each trigram its count. With least = 1 every trigram counts
+in full; with least = 2 those seen once are pruned: they take part in counts and
+discounts, but have no entry, and what they would have had goes to the bigrams. Last
+rounds of buckets sum by context and by word and write their arrays.
 
 Workers that score map the files into memory and look hashes up by binary search.
 Training returns a list of what was written: a worker that misses one of the files
@@ -45,7 +48,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .words import U, blocks, join, mix, words
 
-START, END, ALONE = U(0x5354415254), U(0x454E44), U(0)
+START, END = U(0x5354415254), U(0x454E44)
 FLUSH, BUCKET_TOKENS, SCORED, SAMPLED = 1_500_000, 350_000, 1 << 22, 64
 STATS = ("count", "before", "total", "one", "two", "more")
 
@@ -79,9 +82,9 @@ class Buckets:
             out[hit] = (out[hit] + mix(now[hit]) % self.spread[at[hit]]) % U(self.n)
         return out.astype(np.int64)
 
-    def of_triples(self, context: np.ndarray, before: np.ndarray, now: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Buckets of trigrams whose last two words occur so often together; context: hash of the first two."""
-        out = self.of(before, now)
+    def of_triples(self, home: np.ndarray, context: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Buckets of trigrams whose last two words have this bucket and occur so often together; context: number of the first two."""
+        out = home.copy()
         hot = np.flatnonzero(count > self.most)
         spread = np.minimum(-(-count[hot] // self.most), self.n).astype(U)
         out[hot] = (out[hot] + (mix(context[hot]) % spread).astype(np.int64)) % self.n
@@ -133,19 +136,40 @@ def _unpack(data: bytes, *types) -> list[np.ndarray]:
     return out
 
 
+def _squeeze(x: np.ndarray) -> np.ndarray:
+    """Numbers byte by byte (all lowest ones first), compressed: bytes that are always zero take no room."""
+    return np.frombuffer(zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()), np.uint8)
+
+
+def _widen(data: np.ndarray, kind) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data.tobytes()), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers, the first as it is; cumsum is the way back."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _mark(word: np.ndarray) -> np.ndarray:
+    """31 bits of a word."""
+    return (mix(word) >> U(33)).astype(np.uint32)
+
+
 PARTS = pa.schema([("bucket", pa.int64()), ("block", pa.binary()), ("of_counts", pa.list_(pa.int64())), ("made", pa.int64())])
 
 
 def _counted(buckets: Buckets):
-    """text -> (bucket, block): a block has first words, their numbers of followers, followers, counts."""
+    """text -> (bucket, block): a block has first words, their numbers of followers, followers, counts, and
+    marks of the words before the bigrams that it counts once."""
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        now, before = (np.concatenate(x) for x in zip(*held))
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        now, before, mark = (np.concatenate(x) for x in zip(*held))
         _, first, (count,) = summed(join(before, now), np.ones(len(now), np.int64))
-        now, before = now[first], before[first]
+        now, before, mark = now[first], before[first], mark[first]
         bucket = buckets.of(before, now)
         order = np.lexsort((before, bucket))
-        now, before, count, bucket = now[order], before[order], count[order].astype(np.uint32), bucket[order]
+        now, before, mark, count, bucket = now[order], before[order], mark[order], count[order].astype(np.uint32), bucket[order]
         edges = np.searchsorted(bucket, np.arange(buckets.n + 1))
         ids, packed = [], []
         small = zstandard.ZstdCompressor(level=1)
@@ -155,7 +179,7 @@ def _counted(buckets: Buckets):
             lengths = np.diff(np.append(run, j - i)).astype(np.uint32)
             squeezed = [np.frombuffer(small.compress(x.tobytes()), np.uint8) for x in (lengths, count[i:j])]
             ids.append(b)
-            packed.append(_pack(before[i:j][run], squeezed[0], now[i:j], squeezed[1]))
+            packed.append(_pack(before[i:j][run], squeezed[0], now[i:j], squeezed[1], mark[i:j][count[i:j] == 1]))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +188,9 @@ def _counted(buckets: Buckets):
             column = batch.column("text")
             for low, high in blocks(column):
                 now, before, _ = tokens(column.slice(low, high - low))
-                held.append((now, before))
+                mark = np.zeros(len(now), np.uint32)
+                mark[1:] = _mark(before[:-1])
+                held.append((now, before, mark))
                 size += len(now)
                 if size >= FLUSH:
                     yield flush(held)
@@ -190,21 +216,26 @@ def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
 
 
 def _merged(folder: str, word_bits: int):
-    """All blocks of a bucket -> bigram arrays on disk; (word bucket, block of its words' sums)."""
+    """All blocks of a bucket -> bigram arrays on disk (hashes, and counts or, below zero, marks of those
+    seen once; first words of those that trigrams will count); (word bucket, block of its words' sums)."""
 
     def run(table: pa.Table) -> pa.Table:
-        before, now, count = [], [], []
+        before, now, count, mark = [], [], [], []
         large = zstandard.ZstdDecompressor()
         for data in table.column("block").to_pylist():
-            first, lengths, follow, counts = _unpack(data, U, np.uint8, U, np.uint8)
+            first, lengths, follow, counts, marks = _unpack(data, U, np.uint8, U, np.uint8, np.uint32)
             before.append(np.repeat(first, np.frombuffer(large.decompress(lengths.tobytes()), np.uint32)))
             now.append(follow)
             count.append(np.frombuffer(large.decompress(counts.tobytes()), np.uint32))
-        before, now, count = (np.concatenate(x) for x in (before, now, count))
+            mark.append(np.zeros(len(follow), np.int64))
+            mark[-1][count[-1] == 1] = marks
+        before, now, count, mark = (np.concatenate(x) for x in (before, now, count, mark))
         keys, first, (count,) = summed(join(before, now), count.astype(np.int64))
         before, now = before[first], now[first]
         own = table.column("bucket")[0].as_py()
-        _save(folder, f"pairs-{own}", keys, _narrow(count))
+        values = np.where(count == 1, -1 - mark[first], count)
+        _save(folder, f"pairs-{own}", keys, values.astype(np.int32) if count.max() < 1 << 31 else values)
+        _save(folder, f"heads-{own}", before[(count > 1) & (before != START)])
         closed = (count == 1) | (before == START)
         done = np.where(closed, count, 0)
         zero, one = np.zeros(len(keys), np.int64), np.ones(len(keys), np.int64)
@@ -273,53 +304,68 @@ class Arrays:
     def shard(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> U(64 - self.bits)).astype(np.int64)
 
-    def find(self, kind: str, shard: np.ndarray, keys: np.ndarray, width: int, other: str | None = None) -> np.ndarray:
-        """The values of keys, 0 where there are none; with other, the column after them has those of that kind if
-        the bucket has any, else the same."""
-        out = np.zeros((len(keys), width + (other is not None)), np.int64)
-        if not len(keys):
-            return out
-        order = np.argsort(shard.astype(np.uint16) if shard.max() < 1 << 16 else shard, kind="stable")
-        turn = shard[order]
-        edges = [*np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]])).tolist(), len(turn)]
-        for i, j in zip(edges[:-1], edges[1:]):
-            b = int(turn[i])
+    def find(self, kind: str, shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
+        """The values of keys, 0 where there are none."""
+        out = np.zeros((len(keys), width), np.int64)
+        for b, ask, at in self._places(kind, shard, keys):
+            out[ask] = self._map(f"{kind}-{b}.1")[at].reshape(-1, width)
+        return out
+
+    def find_pairs(self, bucket: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of bigrams: their count (0: none), the mark of what stands before one that was seen once (else -1), their number."""
+        value, number = np.zeros(len(keys), np.int64), np.zeros(len(keys), U)
+        for b, ask, at in self._places("pairs", bucket, keys):
+            value[ask] = self._map(f"pairs-{b}.1")[at]
+            number[ask] = U(b << 32) + at.astype(U)
+        return np.where(value < 0, 1, value), np.where(value < 0, -1 - value, -1), number
+
+    def adjusted(self, count: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The counts that bigrams of these counts and numbers have in the model."""
+        out = count.copy()
+        open_ = np.flatnonzero(count > 1)
+        for b, ask in self._by(number[open_] >> U(32)):
+            if b in self.made["adjusted"]:
+                out[open_[ask]] = self._map(f"adjusted-{b}.0")[number[open_[ask]] & U(0xFFFFFFFF)]
+        return out
+
+    def _by(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each shard and where it stands."""
+        if len(shard):
+            order = np.argsort(shard.astype(np.uint16) if shard.max() < 1 << 16 else shard, kind="stable")
+            turn = shard[order]
+            edges = [*np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]])).tolist(), len(turn)]
+            for i, j in zip(edges[:-1], edges[1:]):
+                yield int(turn[i]), order[i:j]
+
+    def _places(self, kind: str, shard: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Shards with which of the keys they have, and where."""
+        for b, ask in self._by(shard):
             if b in self.made[kind]:
-                have, values = self._map(f"{kind}-{b}.0"), self._map(f"{kind}-{b}.1")
-                ask = order[i:j]
+                have = self._map(f"{kind}-{b}.0")
                 ask = ask[np.argsort(keys[ask])]
                 at = np.minimum(np.searchsorted(have, keys[ask]), len(have) - 1)
                 ok = have[at] == keys[ask]
-                ask, at = ask[ok], at[ok]
-                out[ask, :width] = values[at].reshape(-1, width)
-                if other is not None:
-                    out[ask, width] = self._map(f"{other}-{b}.0")[at] if b in self.made[other] else values[at]
-        return out
+                yield b, ask[ok], at[ok]
 
 
 def _extended(of: tuple):
-    """of: folder, buckets, bits and files of the bigrams. text -> (bucket, block): a block has second words, their numbers of third words, third words, their numbers of
-    contexts, contexts (hash of the first two words, ALONE for all that were seen once), counts. Bucket -1 has the number of
-    trigrams that are known to be seen once, in column alone."""
+    """of: folder, buckets, bits and files of the bigrams. text -> (bucket, block): a block has the numbers of last two words, how many
+    contexts each has, contexts (numbers of the first two words), counts. Bucket -1 has, in column alone, how many trigrams
+    end in bigrams seen once."""
 
     def flush(held: list[tuple[np.ndarray, ...]], alone: int, n: int) -> pa.RecordBatch:
-        context, before, now, bucket = (np.concatenate(x) for x in zip(*held))
-        _, first, (count,) = summed(np.where(context == ALONE, join(before, now), join(context, now)), np.ones(len(now), np.int64))
-        order = np.lexsort((now[first], before[first], bucket[first]))
-        at, count = first[order], count[order]
-        context, before, now, bucket = context[at], before[at], now[at], bucket[at]
+        context, pair, bucket = (np.concatenate(x) for x in zip(*held))
+        _, first, (count,) = summed(join(context, pair), np.ones(len(pair), np.int64))
+        order = np.lexsort((pair[first], bucket[first]))
+        at, count = first[order], count[order].astype(np.uint32)
+        context, pair, bucket = context[at], pair[at], bucket[at]
         edges = np.searchsorted(bucket, np.arange(n + 1))
-        small = zstandard.ZstdCompressor(level=1)
         ids, packed = [-1], [None]
         for b in np.flatnonzero(np.diff(edges)).tolist():
             i, j = edges[b], edges[b + 1]
-            turn = before[i + 1 : j] != before[i : j - 1]
-            pair = np.flatnonzero(np.concatenate([[True], turn | (now[i + 1 : j] != now[i : j - 1])]))
-            word = np.flatnonzero(np.concatenate([[True], turn]))
-            lengths = [np.diff(np.append(np.searchsorted(pair, word), len(pair))), np.diff(np.append(pair, j - i)), count[i:j]]
-            squeezed = [np.frombuffer(small.compress(x.astype(np.uint32).tobytes()), np.uint8) for x in lengths]
+            run = np.flatnonzero(np.concatenate([[True], pair[i + 1 : j] != pair[i : j - 1]]))
             ids.append(b)
-            packed.append(_pack(before[i:j][word], squeezed[0], now[i:j][pair], squeezed[1], context[i:j], squeezed[2]))
+            packed.append(_pack(*map(_squeeze, (_steps(pair[i:j][run]), np.diff(np.append(run, j - i)).astype(np.uint32), context[i:j], count[i:j]))))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array([alone] + [None] * (len(ids) - 1), pa.int64())], ["bucket", "block", "alone"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,15 +375,13 @@ def _extended(of: tuple):
             column = batch.column("text")
             for low, high in blocks(column, SCORED):
                 now, before, _ = tokens(column.slice(low, high - low))
-                keys = join(before, now)
-                count = lookup.find("pairs", lookup.buckets.of(before, now), keys, 1)[:, 0]
+                home = lookup.buckets.of(before, now)
+                count, _, number = lookup.find_pairs(home, join(before, now))
                 later = before != START
                 at = np.flatnonzero(later & (count > 1))
-                again = count[at - 1] > 1
-                alone += int(later.sum()) - int(again.sum())
-                context = np.where(again, keys[at - 1], ALONE)
-                bucket = np.where(again, lookup.buckets.of_triples(context, before[at], now[at], count[at]), lookup.buckets.of(before[at], now[at]))
-                held.append((context, before[at], now[at], bucket))
+                alone += int(later.sum()) - len(at)
+                context = number[at - 1]
+                held.append((context, number[at], lookup.buckets.of_triples(home[at], context, count[at])))
                 size += len(at)
                 if size >= FLUSH:
                     yield flush(held, alone, lookup.buckets.n)
@@ -348,40 +392,31 @@ def _extended(of: tuple):
     return run
 
 
-def _joined(folder: str, buckets: Buckets, bits: int):
-    """All blocks of a trigram bucket -> trigram arrays on disk; (bucket, block) of its pairs, and from n on of its contexts."""
+def _joined(folder: str, buckets: Buckets, bits: int, least: int):
+    """All blocks of a trigram bucket -> arrays of the trigrams seen so often on disk; (bucket, block) of its pairs, and from n on of its contexts."""
 
     def run(table: pa.Table) -> pa.Table:
         own = table.column("bucket")[0].as_py()
         if own < 0:
             alone = sum(table.column("alone").to_pylist())
             return pa.Table.from_pylist([{"bucket": -1, "block": None, "of_counts": [alone, 0, 0, 0], "made": None}], PARTS)
-        large = zstandard.ZstdDecompressor()
-        wide = lambda x: np.frombuffer(large.decompress(x.tobytes()), np.uint32)
         parts = []
         for data in table.column("block").to_pylist():
-            word, words_, third, thirds, context, counts = _unpack(data, U, np.uint8, U, np.uint8, U, np.uint8)
-            thirds = wide(thirds)
-            parts.append((context, np.repeat(np.repeat(word, wide(words_)), thirds), np.repeat(third, thirds), wide(counts).astype(np.int64)))
-        context, before, now, count = (np.concatenate(x) for x in zip(*parts))
-        pair, alone = join(before, now), context == ALONE
-        keys, first, (seen,) = summed(join(context, now)[~alone], count[~alone])
-        first = np.flatnonzero(~alone)[first]
-        kept = seen > 1
+            pair, lengths, context, counts = (_widen(x, kind) for x, kind in zip(_unpack(data, *[np.uint8] * 4), (U, np.uint32, U, np.uint32)))
+            parts.append((context, np.repeat(np.cumsum(pair, dtype=U), lengths), counts.astype(np.int64)))
+        context, pair, count = (np.concatenate(x) for x in zip(*parts))
+        keys, first, (seen,) = summed(join(context, pair), count)
+        kept = seen >= least
         if kept.any():
             _save(folder, f"triples-{own}", keys[kept], _narrow(seen[kept]))
         out = [{"bucket": -1, "block": None, "of_counts": _seen(seen), "made": own if kept.any() else None}]
-        contexts, _, sums = summed(context[first][kept], seen[kept], *(x[kept].astype(np.int64) for x in (seen == 2, seen > 2)))
+        again = seen > 1
+        contexts, _, sums = summed(mix(context[first][again]), seen[again], *(x[again].astype(np.int64) for x in (seen == 2, seen > 2)))
         out += _sorted_blocks(contexts, sums, bits, buckets.n)
-        last = np.concatenate([first, np.flatnonzero(alone)])
-        pairs, place, (different,) = summed(pair[last], np.concatenate([np.ones(len(first), np.int64), count[alone]]))
-        word, home = before[last][place], buckets.of(before[last][place], now[last][place])
-        small = zstandard.ZstdCompressor(level=1)
-        for b in np.unique(home).tolist():
-            at = np.flatnonzero(home == b)
-            at = at[np.argsort(word[at])]
-            squeezed = [np.frombuffer(small.compress(x[at].tobytes()), np.uint8) for x in (word, different)]
-            out.append({"bucket": b, "block": _pack(pairs[at], *squeezed), "of_counts": None, "made": None})
+        pairs, _, (different,) = summed(pair[first], np.ones(len(first), np.int64))
+        for b in np.unique(pairs >> U(32)).tolist():
+            i, j = np.searchsorted(pairs, np.array([b << 32, (b + 1) << 32], U))
+            out.append({"bucket": b, "block": _pack(_squeeze(_steps(pairs[i:j])), _squeeze(different[i:j])), "of_counts": None, "made": None})
         return pa.Table.from_pylist(out, PARTS)
 
     return run
@@ -397,18 +432,19 @@ def _settled(folder: str, n: int, bits: int):
             contexts, sums = _summed_blocks(table, 3)
             _save(folder, f"contexts-{own - n}", contexts, _narrow(np.stack(sums, 1)))
             return pa.Table.from_pylist([{"bucket": -1, "block": None, "of_counts": None, "made": own}], PARTS)
-        large = zstandard.ZstdDecompressor()
         parts = []
         for data in table.column("block").to_pylist():
-            k, word, different = _unpack(data, U, np.uint8, np.uint8)
-            parts.append((k, np.frombuffer(large.decompress(word.tobytes()), U), np.frombuffer(large.decompress(different.tobytes()), np.int64)))
-        k, word, different = (np.concatenate(x) for x in zip(*parts))
-        k, place, (different,) = summed(k, different)
-        have, count = (np.load(f"{folder}/pairs-{own}.{i}.npy") for i in (0, 1))
-        count[np.searchsorted(have, k)] = different
-        _save(folder, f"adjusted-{own}", count)
-        zero = np.zeros(len(k), np.int64)
-        words_, _, sums = summed(word[place], zero, zero, *_followed(different))
+            pairs, different = _unpack(data, np.uint8, np.uint8)
+            parts.append((np.cumsum(_widen(pairs, U), dtype=U), _widen(different, np.int64)))
+        pairs, different = (np.concatenate(x) for x in zip(*parts))
+        pairs, _, (different,) = summed(pairs, different)
+        count, word = np.maximum(np.load(f"{folder}/pairs-{own}.1.npy"), 1), np.load(f"{folder}/heads-{own}.0.npy")
+        if len(word) != len(pairs):
+            raise RuntimeError(f"bucket {own}: {len(word)} bigrams that recur, trigrams of {len(pairs)}")
+        count[pairs & U(0xFFFFFFFF)] = different
+        _save(folder, f"adjusted-{own}", _narrow(count))
+        zero = np.zeros(len(word), np.int64)
+        words_, _, sums = summed(word, zero, zero, *_followed(different))
         out = _sorted_blocks(words_, sums, bits, 0)
         out.append({"bucket": -1, "block": None, "of_counts": _seen(different), "made": own})
         return pa.Table.from_pylist(out, PARTS)
@@ -450,6 +486,7 @@ class Model(Arrays):
         super().__init__(folder, buckets, bits, made)
         self.numbers = numbers
         self.d3, self.d2, self.d1 = (np.array(discounts(numbers[f"{x}_counts"])) for x in ("triple", "pair", "word"))
+        self.d3[1 : numbers["least"]] = 1  # a pruned trigram loses its whole count
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, known tokens, base score and score of each row."""
@@ -469,18 +506,23 @@ class Model(Arrays):
         of_before = np.empty_like(of_now)
         of_before[1:] = of_now[:-1]
         of_before[start] = back[-1]
-        keys = join(before, now)
-        seen, adjusted = self.find("pairs", self.buckets.of(before, now), keys, 1, "adjusted").T
+        home = self.buckets.of(before, now)
+        seen, mark, number = self.find_pairs(home, join(before, now))
+        adjusted = self.adjusted(seen, number)
         p = np.maximum(adjusted - self.d2[np.minimum(adjusted, 3)], 0) / np.maximum(total[of_before], 1) + gamma[of_before] * single[of_now]
         at = np.flatnonzero(before != START)
-        at = at[seen[at - 1] > 1]
-        of_context = self.find("contexts", self.shard(keys[at - 1]), keys[at - 1], 3)
-        at, (kept, two, more) = at[of_context[:, 0] > 0], of_context[of_context[:, 0] > 0].T
-        whole, thrice = seen[at - 1], np.zeros(len(at), np.int64)
+        at = at[seen[at - 1] > 0]
+        whole, of_context, thrice = seen[at - 1], np.zeros((len(at), 3), np.int64), np.zeros(len(at), np.int64)
+        again = np.flatnonzero(whole > 1)
+        context = mix(number[at[again] - 1])
+        of_context[again] = self.find("contexts", self.shard(context), context, 3)
+        kept, two, more = of_context.T
+        thrice[mark[at] == _mark(before[at - 1])] = 1
         again = np.flatnonzero(seen[at] > 1)
         k = at[again]
-        thrice[again] = self.find("triples", self.buckets.of_triples(keys[k - 1], before[k], now[k], seen[k]), join(keys[k - 1], now[k]), 1)[:, 0]
-        p[at] = np.maximum(thrice - self.d3[np.minimum(thrice, 3)], 0) / whole + (1 - (kept - self.d3[2] * two - self.d3[3] * more) / whole) * p[at]
+        context = number[k - 1]
+        thrice[again] = self.find("triples", self.buckets.of_triples(home[k], context, seen[k]), join(context, number[k]), 1)[:, 0]
+        p[at] = np.maximum(thrice - self.d3[np.minimum(thrice, 3)], 0) / whole + (self.d3[1] * (whole - kept) + self.d3[2] * two + self.d3[3] * more) / whole * p[at]
         count = stats[of_now, 0]
         base = np.log10((count + 1) / (self.numbers["tokens"] + (vocabulary + 1)))
         sums = lambda x: np.add.reduceat(x, start)
@@ -490,8 +532,11 @@ class Model(Arrays):
 _models: dict[str, Model] = {}
 
 
-def train(docs: DataFrame, scratch: Scratch, bucket_tokens: int = BUCKET_TOKENS) -> tuple[str, Buckets, int, dict, dict[str, list[int]]]:
-    """Folder, buckets, bits of words and contexts, numbers and files of the model of docs (text)."""
+def train(docs: DataFrame, scratch: Scratch, bucket_tokens: int = BUCKET_TOKENS, least: int = 2) -> tuple[str, Buckets, int, dict, dict[str, list[int]]]:
+    """Folder, buckets, bits of words and contexts, numbers and files of the model of docs (text); least: 1, or 2 to prune
+    trigrams seen once."""
+    if least not in (1, 2):
+        raise ValueError("least must be 1 or 2")
     folder = scratch.path("model")
     if "://" in folder and not folder.startswith("file:"):
         raise ValueError("spark.checkpoint.dir must be a mounted folder for arrays to be mapped into memory")
@@ -515,22 +560,22 @@ def train(docs: DataFrame, scratch: Scratch, bucket_tokens: int = BUCKET_TOKENS)
     closed, closed_counts, pairs = step(counted, _merged(folder, bits), "closed")
     lookup = (folder, buckets, bits, {"pairs": pairs})
     extended = docs.select("text").mapInArrow(_extended(lookup), "bucket long, block binary, alone long")
-    joined, triple_counts, triples = step(extended, _joined(folder, buckets, bits), "joined")
+    joined, triple_counts, triples = step(extended, _joined(folder, buckets, bits, least), "joined")
     settled, open_counts, last = step(joined, _settled(folder, n, bits), "settled")
     scratch.drop("joined")
     sums = closed.unionByName(settled).repartition(spread, "bucket").groupBy("bucket").applyInArrow(_words(folder), "tokens long, words long, pairs long, more long, of_counts array<long>, made long")
     row = sums.agg(*[F.sum(c).alias(c) for c in ("tokens", "words", "pairs", "more")], *[F.sum(F.col("of_counts")[k]).alias(f"n{k}") for k in range(4)], F.sort_array(F.collect_list("made")).alias("made")).first()
     numbers = {c: row[c] or 0 for c in ("tokens", "words", "pairs", "more")}
-    numbers |= {"word_counts": [row[f"n{k}"] or 0 for k in range(4)], "pair_counts": [a + b for a, b in zip(closed_counts, open_counts)], "triple_counts": triple_counts}
+    numbers |= {"least": least, "word_counts": [row[f"n{k}"] or 0 for k in range(4)], "pair_counts": [a + b for a, b in zip(closed_counts, open_counts)], "triple_counts": triple_counts}
     scratch.drop("closed", "settled")
     scratch.release()
     made = {"pairs": pairs, "adjusted": [b for b in last if b < n], "triples": triples, "contexts": [b - n for b in last if b >= n], "words": list(row["made"] or [])}
     return folder, buckets, bits, numbers, made
 
 
-def score(docs: DataFrame, learn_from: DataFrame, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def score(docs: DataFrame, learn_from: DataFrame, bucket_tokens: int = BUCKET_TOKENS, least: int = 2) -> DataFrame:
     """One row for each document (doc_id, text): n_tokens, n_known, train_tokens, base_score, score."""
-    made = train(learn_from, Scratch(docs.sparkSession, "ngrams"), bucket_tokens)
+    made = train(learn_from, Scratch(docs.sparkSession, "ngrams"), bucket_tokens, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if made[0] not in _models:

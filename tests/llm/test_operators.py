@@ -499,6 +499,65 @@ def test_ngrams_of_recurring_words(spark):
         assert {r["doc_id"]: round(r["score"], 6) for r in got.collect()} == want
 
 
+def brute_full_trigrams(learn):
+    """Interpolated modified Kneser-Ney of order three with every trigram, from dictionaries: (score of a text, p, seen contexts, words)."""
+    tokens = lambda t: ["<start>", *(t or "").lower().split(), "<end>"]
+    raw, threes = Counter(), Counter()
+    for x in map(tokens, learn):
+        raw.update(zip(x, x[1:]))
+        threes.update(zip(x, x[1:], x[2:]))
+    before = Counter((b, c) for _, b, c in threes)
+    twos = {p: k if p[0] == "<start>" else before[p] for p, k in raw.items()}
+    ones = Counter(b for _, b in raw)
+    d3, d2, d1 = (ngrams.discounts([list(x.values()).count(k) for k in (1, 2, 3, 4)]) for x in (threes, twos, ones))
+
+    def level(counts, d, context, word, lower):
+        have = {w[-1]: k for w, k in counts.items() if w[:-1] == context}
+        if not have:
+            return lower
+        return (max(have.get(word, 0) - d[min(have.get(word, 0), 3)], 0) + sum(d[min(k, 3)] for k in have.values()) * lower) / sum(have.values())
+
+    def p(*x):
+        one = level({(w,): k for w, k in ones.items()}, d1, (), x[-1], 1 / (len(ones) + 1))
+        two = level(twos, d2, x[-2:-1], x[-1], one)
+        return level(threes, d3, x[:-1], x[-1], two) if len(x) > 2 else two
+
+    def score(t):
+        x = tokens(t)
+        return math.log10(p(*x[:2])) + sum(math.log10(p(*y)) for y in zip(x, x[1:], x[2:]))
+
+    return score, p, {x[:2] for x in threes}, ones
+
+
+def test_trigrams_seen_once_count_in_full(spark):
+    """With least = 1 no trigram is pruned: ends in a bigram seen once, starts with one, does neither, or both; repeated texts stand out."""
+    r = random.Random(11)
+    texts = [" ".join(r.choice("abcdefgh") if r.random() < 0.7 else f"w{r.randrange(60)}" for _ in range(r.randrange(14))) for _ in range(40)]
+    texts += [texts[3], None, "a", "A a b", "w1 w2 w3 w4 w5", "unseen words here", "z " * 30, "q1 q2 q3 q4 q5 q6"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    score, p, contexts, words = brute_full_trigrams([t for i, t in enumerate(texts) if i % 4])
+    for a, b in sorted(contexts)[:20]:
+        assert abs(sum(p(a, b, w) for w in [*words, "new"]) - 1) < 1e-9
+    want = {i: round(score(t), 6) for i, t in enumerate(texts)}
+    for each in (ngrams.BUCKET_TOKENS, 40):
+        full = {r["doc_id"]: round(r["score"], 6) for r in ngrams.score(df, df.where("doc_id % 4 <> 0"), bucket_tokens=each, least=1).collect()}
+        assert full == want
+    pruned = {r["doc_id"]: round(r["score"], 6) for r in ngrams.score(df, df.where("doc_id % 4 <> 0")).collect()}
+    assert full[47] > pruned[47]  # learned from, and seen nowhere else
+
+
+def test_the_query_scores_with_every_trigram(spark, tmp_path):
+    import zlib
+
+    texts = ["one two three four", "two three five", "one two six", "seven eight nine", "two three four"] * 2 + ["red green blue", "one two nine four", "two six seven"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    score, *_ = brute_full_trigrams([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2])
+    from kinforge.llm import queries
+
+    got = {r["doc_id"]: round(r["score"], 6) for r in queries.op6_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got == {i: round(score(t), 6) for i, t in enumerate(texts)}
+
+
 def test_frequent_words_are_spread_and_missing_files_are_an_error(spark, tmp_path):
     import glob
     import os
