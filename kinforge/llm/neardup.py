@@ -16,7 +16,9 @@ Members of a table key are never paired with each other outright:
    at most as many shingles in common as both share with the centre, plus what they
    share beside it. So it is compared if the first number alone is enough (found by
    a join on sizes), or if it has a shingle beside the centre in common among the
-   rarest (100 - percent) % of both (a prefix filter);
+   first (100 - percent) % of both (a prefix filter; any order is right, and one that
+   has shingles last that recur in a sample of the centre's classes gives few pairs).
+   Only these first shingles become rows;
 3. in small keys, classes of different components are compared.
 Steps 2 and 3 skip only pairs that cannot reach the threshold, so no link is lost.
 All compared pairs are confirmed on full sets; links join into components, and links
@@ -47,6 +49,7 @@ from .scratch import Scratch
 from .words import U, blocks, join, mix
 
 MISS, SMALL = 1e-5, 8
+SAMPLED, FREQUENT = 16, 1024
 _MULTIPLIERS = mix(np.arange(1, 4096, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -130,6 +133,24 @@ def _beside(percent: int):
     return run
 
 
+def _first(percent: int):
+    """beside, later: shingles that come last in the order, ascending -> the first (100 - percent) % of n, and one, of beside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, beside, later in zip(*(batch.column(c) for c in ("n", "beside", "later"))):
+                x = beside.values.to_numpy()
+                if later.is_valid and len(later):
+                    y = later.values.to_numpy()
+                    x = np.concatenate([x[~np.isin(x, y)], y[np.isin(y, x)]])
+                out.append(x[: n.as_py() * (100 - percent) // 100 + 1])
+            kept = [c for c in batch.schema.names if c not in ("beside", "later")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([len(x) for x in batch.column("beside")], pa.int64()), pa.array(out, pa.list_(pa.int64()))], [*kept, "m", "first"])
+
+    return run
+
+
 class Search:
     """The classes of one table and the steps over them."""
 
@@ -234,18 +255,21 @@ class Search:
         found = x.join(y, ["v", "nb"]).where("ca <> cb").where(self._reach(F.least("ba", "bb"), F.col("na") + F.col("nb")))
         return found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
+    def later(self, compared: DataFrame) -> DataFrame:
+        """(v, later): the shingles beside a centre that recur most in a sample of its classes, ascending."""
+        some = compared.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("v", F.explode("beside").alias("h"))
+        often = some.groupBy("v", "h").agg(F.count("*").alias("k")).where("k > 1")
+        most = often.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy(F.desc("k"), "h"))).where(F.col("r") <= FREQUENT)
+        return self.scratch.keep(most.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("kh")).select("v", F.col("kh.h").alias("later")), "later")
+
     def by_shingle(self, group: DataFrame) -> DataFrame:
-        """Pairs around a centre with a rare shingle beside it in common; one of them is not linked to it."""
-        each = group.select("id", "v", "n", "both", "linked", "component", F.explode("beside").alias("h"))
-        common = each.groupBy("h").agg(F.count_distinct("id").alias("k")).where("k > 1")
-        rare = F.row_number().over(W.partitionBy("id", "v").orderBy("k", "h"))
-        prefix = F.floor(F.col("n") * (1 - self.percent / 100) + 1e-9) + 1
-        # shingles that one class alone has come first in the order, though they match nothing
-        alone = group.select("id", "v", F.size("beside").alias("m"))
-        ranked = each.join(common, "h").join(alone, ["id", "v"]).withColumn("of", F.count("*").over(W.partitionBy("id", "v"))).withColumn("r", rare + F.col("m") - F.col("of")).where(F.col("r") <= prefix)
-        x = ranked.where(~F.col("linked")).select("v", "h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("both").alias("ba"), F.col("component").alias("ca"), F.col("of").alias("oa"))
-        y = ranked.select("v", "h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("both").alias("bb"), F.col("component").alias("cb"), F.col("of").alias("ob"))
-        found = x.join(y, ["v", "h"]).where("ca <> cb").where(self.near_size("na", "nb")).where(self._reach(F.least("ba", "bb") + F.least("oa", "ob"), F.col("na") + F.col("nb")))
+        """Pairs around a centre with a shingle beside it in common among the first of both; one of them is not linked to it."""
+        ordered = group.select("id", "v", "n", "both", "linked", "component", "beside").join(self.later(group), "v", "left")
+        first = ordered.select("id", "v", "n", "both", "linked", "component", "beside", "later").mapInArrow(_first(self.percent), "id long, v long, n long, both long, linked boolean, component long, m long, first array<long>")
+        each = self.scratch.keep(first.withColumn("h", F.explode("first")).drop("first"), "first")
+        x = each.where(~F.col("linked")).select("v", "h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("both").alias("ba"), F.col("component").alias("ca"), F.col("m").alias("ma"))
+        y = each.select("v", "h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("both").alias("bb"), F.col("component").alias("cb"), F.col("m").alias("mb"))
+        found = x.join(y, ["v", "h"]).where("ca <> cb").where(self.near_size("na", "nb")).where(self._reach(F.least("ba", "bb") + F.least("ma", "mb"), F.col("na") + F.col("nb")))
         return found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
     def across(self, m: DataFrame) -> DataFrame:

@@ -352,6 +352,29 @@ def test_families_around_the_bound_of_small_keys(spark):
         assert {r["doc_id"]: r["component_id"] for r in neardup.link(df, length, percent).collect()} == parent
 
 
+def test_only_a_prefix_of_what_stands_beside_a_centre_becomes_rows(spark):
+    """Edits of a text that mostly aren't linked; most share a passage, some come in linked pairs far from the centre."""
+    import random
+
+    r, rows = random.Random(4), []
+    base, passage = [f"b{i}" for i in range(150)], [f"p{i}" for i in range(20)]
+    for k in range(220):
+        own = [f"o{k // 2 if k % 10 < 2 else k + 1000}x{i}" for i in range(90)]
+        w = base + (passage if k % 4 else []) + own
+        if k % 10 == 1:
+            w[r.randrange(150)] = f"e{k}"
+        rows.append((k, " ".join(w), None, None))
+    _, parent = naive_links(rows, 3, 85)
+    assert 20 <= sum(parent[d] != d for d in parent) < 120
+    search = neardup.Search(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3), 3, 85)
+    got = {r["id"]: r["component"] for r in search.components().collect()}
+    assert all(got.get(d, d) == c for d, c in parent.items())
+    compared = {(r["u"], r["v"]): r for r in spark.read.parquet(search.scratch.path("compared")).collect()}
+    made = Counter((r["id"], r["v"]) for r in spark.read.parquet(search.scratch.path("first")).collect())
+    assert made == {k: min(len(r["beside"]), r["n"] * 15 // 100 + 1) for k, r in compared.items() if r["beside"]}
+    assert 2 * sum(made.values()) < sum(len(r["beside"]) for r in compared.values())
+
+
 def test_rows_that_share_an_id_give_one_answer(spark):
     rows = [(1, "a b c d e"), (1, "v w x y z"), (2, "v w x y z"), (3, "a b c d e"), (4, "q r s t u")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
