@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licences, mixing, neardup, ngrams, packing, pages, substrings, topk
+from . import fingerprints, langid, licences, mixing, neardup, ngrams, packing, pages, sequences, substrings, topk
 from .scratch import Scratch
 
 
@@ -89,6 +89,12 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sequences.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
@@ -177,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_exact_top_k,
         op10_document_fingerprints,
+        op13_best_fit_decreasing,
         license_phrases,
         fingerprint_edits,
         lm_base,
