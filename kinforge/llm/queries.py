@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licences, mixing, neardup, ngrams, packing, pages, sequences, substrings, topk
+from . import clusters, fingerprints, langid, licences, mixing, neardup, ngrams, packing, pages, sequences, substrings, topk
 from .scratch import Scratch
 
 
@@ -89,6 +89,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op13_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -170,6 +174,35 @@ x AS (SELECT a.doc_id, a.t, b.t AS following, length(a.t) AS n FROM o a JOIN o b
 SELECT doc_id, n::BIGINT AS n_chars, sha256(substr(t, 1, n - n // 2) || substr(following, 1, n // 2)) AS edited_sha256 FROM x"""
 
 
+#: Ten rounds of Lloyd's algorithm: assignments a0 .. a10 to centroids c0 .. c10.
+OP12_SQL = (
+    """
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x::DOUBLE)]) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS h, v FROM p ORDER BY h NULLS LAST, v LIMIT 8)),"""
+    + ",".join(
+        f"""
+a{n} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (SELECT r, c, list_sum([(p.v[i] - k.v[i]) * (p.v[i] - k.v[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM p, c{n} k) GROUP BY r)"""
+        + (
+            f""",
+c{n + 1} AS MATERIALIZED (
+  SELECT k.c, coalesce(m.v, k.v) AS v FROM c{n} k LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+      SELECT best.c AS c, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{n} JOIN p USING (r), range(1, 65) x(i) GROUP BY ALL) GROUP BY c) m USING (c))"""
+            if n < 10
+            else ""
+        )
+        for n in range(11)
+    )
+    + """
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string([x::VARCHAR FOR x IN c10.v], ',')) AS centroid_sha256
+FROM a10 JOIN p USING (r) JOIN c10 ON c10.c = best.c"""
+)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -183,6 +216,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_exact_top_k,
         op10_document_fingerprints,
+        op12_centroid_clustering,
         op13_best_fit_decreasing,
         license_phrases,
         fingerprint_edits,
@@ -194,6 +228,7 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
     "op7_minhash_near_dedup": OP7_SQL,
     "op9_exact_top_k": OP9_SQL,
+    "op12_centroid_clustering": OP12_SQL,
     "license_phrases": LICENSE_SQL,
     "fingerprint_edits": EDITS_SQL,
     "lm_base": LM_SQL,
