@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, fingerprints, langid, licences, mixing, neardup, ngrams, packing, pages, sequences, substrings, topk
+from . import clusters, fingerprints, langid, licences, mixing, neardup, ngrams, packing, pages, sequences, substrings, topk, tries
 from .scratch import Scratch
 
 
@@ -89,6 +89,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie(table(spark, sf_dir, "conversations"), siblings=20, heads=4)
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -174,6 +178,19 @@ x AS (SELECT a.doc_id, a.t, b.t AS following, length(a.t) AS n FROM o a JOIN o b
 SELECT doc_id, n::BIGINT AS n_chars, sha256(substr(t, 1, n - n // 2) || substr(following, 1, n // 2)) AS edited_sha256 FROM x"""
 
 
+OP11_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, role, md5(length(role) || ':' || role || txt) AS m, len(regexp_extract_all(txt, '[^\x20\x09-\x0D]+'))::BIGINT AS n
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations WHERE conv_id IS NOT NULL)),
+o AS (SELECT conv_id, list(m ORDER BY turn NULLS FIRST, role, m) AS m, list(n ORDER BY turn NULLS FIRST, role, m) AS n, {CRC_SQL.format("conv_id::VARCHAR")} % 4 AS h FROM t GROUP BY conv_id),
+b AS (SELECT a.conv_id, list_concat(coalesce(c.m[1:a.h], []), a.m[a.h + 1:]) AS m, list_concat(coalesce(c.n[1:a.h], []), a.n[a.h + 1:]) AS n FROM o a LEFT JOIN o c ON c.conv_id = a.conv_id - a.conv_id % 20),
+p AS (SELECT conv_id, d, md5(array_to_string(m[1:d], '')) AS k, CASE WHEN d > 0 THEN n[d] ELSE 0 END AS w, d = len(m) AS ends FROM (SELECT *, unnest(range(0, len(m) + 1)) AS d FROM b)),
+g AS (SELECT k, d, min(conv_id) AS c, count(*) AS n, max(w) AS w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS e FROM p GROUP BY k, d),
+u AS (SELECT g.*, x.k AS up, a.c AS parent FROM g LEFT JOIN p x ON x.conv_id = g.c AND x.d = g.d - 1 LEFT JOIN g a ON a.k = x.k),
+f AS (SELECT u.*, coalesce(z.n, 0) AS children FROM u LEFT JOIN (SELECT up, count(*) AS n FROM u GROUP BY up) z ON z.up = u.k),
+s AS (SELECT x.k, count(*) FILTER (y.children = 0) AS leaves, sum((y.n - 1) * y.w) AS saved FROM f y JOIN p x ON x.conv_id = y.c AND x.d <= y.d GROUP BY x.k)
+SELECT c AS conv_id, d AS depth, parent AS parent_conv_id, f.n AS n_convs, children AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, e AS ends_sha256 FROM f JOIN s USING (k)"""
+
 #: Ten rounds of Lloyd's algorithm: assignments a0 .. a10 to centroids c0 .. c10.
 OP12_SQL = (
     """
@@ -216,6 +233,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_exact_top_k,
         op10_document_fingerprints,
+        op11_conversation_trie,
         op12_centroid_clustering,
         op13_best_fit_decreasing,
         license_phrases,
@@ -228,6 +246,7 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
     "op7_minhash_near_dedup": OP7_SQL,
     "op9_exact_top_k": OP9_SQL,
+    "op11_conversation_trie": OP11_SQL,
     "op12_centroid_clustering": OP12_SQL,
     "license_phrases": LICENSE_SQL,
     "fingerprint_edits": EDITS_SQL,

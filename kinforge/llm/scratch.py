@@ -35,9 +35,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str | None = None, by: str | None = None) -> DataFrame:
         """Write df and return the written table."""
-        df.write.mode("overwrite").parquet(self.path(name), compression=compression)
+        df.write.mode("overwrite").parquet(self.path(name), compression=compression, partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
