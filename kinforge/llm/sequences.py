@@ -12,7 +12,7 @@ no padding. Places are then joined with the ids, of which each piece keeps a che
 
 White space is never part of a token of the permitted vocabularies, nor does it change
 how the words beside it are read, so words are encoded once and looked up afterwards;
-a worker forgets them when it knows too many. Tests hold this against whole texts.
+a worker forgets those that it has not met for long. Tests hold this against whole texts.
 
 Defined cases: a null or empty text is its end token alone; null ids and repeated rows
 are packed like others, each row for itself; an empty table gives an empty result; other
@@ -38,33 +38,44 @@ WINDOW, END = 4096, 2
 #: Documents of a shard; tokens that a window may lack before its pieces are cut anew.
 SHARD, TOLERANCE = 16_384, 64
 #: Words that a worker remembers, and the bytes of ids in an Arrow batch.
-KNOWN, BATCH = 300_000, 8 << 20
+KNOWN, BATCH = 400_000, 8 << 20
 PLACES = "row long, start long, length long, sequence_id long, offset long"
 
-_loaded: dict[int, tuple[Tokenizer, dict[bytes, bytes]]] = {}
 
+class Vocabulary:
+    """A worker's tokenizer and the ids of words that it has met; those that did not come up again while it met KNOWN
+    others are forgotten."""
 
-def loaded(spec: str) -> tuple[Tokenizer, dict[bytes, bytes]]:
-    """A worker's tokenizer and the words that it has encoded so far."""
-    key = zlib.crc32(spec.encode())
-    if key not in _loaded:
+    def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _loaded[key] = Tokenizer.from_str(spec), {}
-    return _loaded[key]
+        self.tokenizer, self.lately, self.before = Tokenizer.from_str(spec), {}, {}
+
+    def ids(self, texts: list[list[bytes]], kind: np.dtype) -> list[bytes]:
+        """The ids of texts, given as their words, as packed integers."""
+        if len(self.lately) > KNOWN:
+            self.lately, self.before = {}, self.lately
+        known = self.lately
+        new = []
+        for w in {w for words in texts for w in words}.difference(known):
+            if w in self.before:
+                known[w] = self.before[w]
+            else:
+                new.append(w)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, kind).tobytes()
+        return [b"".join(map(known.__getitem__, words)) for words in texts]
+
+
+_loaded: dict[tuple[int, str], Vocabulary] = {}
 
 
 def encode(texts: list[bytes], spec: str, kind: np.dtype) -> Iterator[bytes]:
     """The ids of each text as packed integers."""
-    tokenizer, known = loaded(spec)
-    if len(known) > KNOWN:
-        known.clear()
+    key = zlib.crc32(spec.encode()), str(kind)
+    if key not in _loaded:
+        _loaded[key] = Vocabulary(spec)
     for k in range(0, len(texts), 256):
-        split = [t.split() for t in texts[k : k + 256]]
-        new = list({w for words in split for w in words}.difference(known))
-        for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, kind).tobytes()
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+        yield from _loaded[key].ids([t.split() for t in texts[k : k + 256]], kind)
 
 
 def tokenised(docs: DataFrame, spec: str, end: int = END) -> DataFrame:
