@@ -1,4 +1,4 @@
-"""Referential samples, closure over parents, and repair of orphans."""
+"""Referential samples, row caps, and repair of orphans."""
 
 from __future__ import annotations
 
@@ -6,11 +6,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.draws import draw, unit
-from ..functions.values import any_null
+from ..functions.values import any_null, free_name
 from .rows import freeze, number_rows
 
+#: Up to so many rows, the first of each partition are merged in one task. Points of the sketch of a key, and its accuracy.
+FEW, QUANTILES, ACCURACY = 100, 1000, 100_000
+
 
 def _keys(parent: DataFrame, columns: list[str]) -> DataFrame:
     return parent.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(columns)]).dropna().distinct()
@@ -26,9 +30,76 @@ def keep_referenced(child: DataFrame, columns: list[str], parent: DataFrame, par
     return child.where(~any_null(columns)).join(to, _on(child, columns, to), "left_semi").unionByName(child.where(any_null(columns)))
 
 
+def _measure(column: str, kind: T.DataType) -> Column | None:
+    """A number that never falls while a column rises (nulls as null); None for types that have none."""
+    c = F.col(f"`{column}`")
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return c.cast("timestamp").cast("double")
+    if isinstance(kind, T.StringType):  # its first six bytes
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return None
+
+
+def _near(keys: DataFrame, first: str, n: int) -> tuple[DataFrame, int] | None:
+    """Rows among which the n-th lies, and how many rows precede them; None if there are no n rows. A sketch of the
+    first column proposes a range, exact counts confirm it; if they do not, all rows are returned."""
+    m = _measure(first, keys.schema[first].dataType)
+    if m is None:
+        return (keys, 0) if keys.count() >= n else None
+    points = [i / QUANTILES for i in range(QUANTILES + 1)]
+    facts = keys.agg(F.count("*").alias("total"), F.percentile_approx(m, points, ACCURACY).alias("q")).first()
+    if facts["total"] < n:
+        return None
+    at = n * QUANTILES // facts["total"]
+    low, high = ((facts["q"] or [None])[k] for k in (max(0, at - 2), min(QUANTILES, at + 3))) if facts["q"] else (None, None)
+    if low is None or low != low or high != high:  # nothing but nulls; no order among NaN
+        return keys, 0
+    inside = (m >= low) & (m <= high)
+    counts = keys.agg(F.count_if(m.isNull() | (m < low)).alias("before"), F.count_if(inside).alias("inside")).first()
+    if counts["before"] < n <= counts["before"] + counts["inside"]:
+        return keys.where(inside), counts["before"]
+    return keys, 0
+
+
 def capped(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
-    """The first n rows in key order (all if n is None)."""
-    return df if n is None else df.orderBy(*order).limit(n)
+    """The first n rows in key order, nulls first (all if n is None).
+
+    For more than a FEW, no task sees n rows of every partition: the n-th key is found among keys alone (a sketch leaves
+    a small range of them, and this is numbered), and rows up to it are a filter of the table.
+    """
+    if n is None:
+        return df
+    if n <= FEW:
+        return df.orderBy(*[F.col(f"`{c}`") for c in order]).limit(n)
+    keys = freeze(df.select(*[F.col(f"`{c}`") for c in order]))
+    near = _near(keys, order[0], n)
+    if near is None:
+        return df
+    some, before = near
+    numbered = freeze(number_rows(some, order, "__at"))
+    cut = numbered.where(F.col("__at") == n - before - 1).first()
+    like = {c: F.lit(cut[c]).cast(df.schema[c].dataType) for c in order}
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(v) for c, v in like.items()])
+    ties = numbered.where(same).agg(F.min("__at").alias("first"), F.count("*").alias("n")).first()
+    below, equal = F.lit(False), F.lit(True)
+    for c, v in like.items():
+        x = F.col(f"`{c}`")
+        below = below | (equal & F.when(v.isNull(), F.lit(False)).otherwise(x.isNull() | (x < v)))
+        equal = equal & x.eqNullSafe(v)
+    wanted = n - before - ties["first"]
+    if wanted == ties["n"]:
+        return df.where(below | same)
+    return df.where(below).unionByName(df.where(same).limit(wanted))  # rows that the order does not tell apart
+
+
+def bounded_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
+    """At most n rows, chosen by a hash of the key: the same ones whatever the partitioning."""
+    name = free_name(df.columns, "__drawn")
+    return capped(df.withColumn(name, F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key])), [name, *key], n).drop(name)
 
 
 def drawn(df: DataFrame, key: str, share: float, purpose: str, seed: int = 42) -> DataFrame:
@@ -42,7 +113,7 @@ def top_up(sample: DataFrame, full: DataFrame, key: list[str], wanted: int) -> D
     if missing <= 0:
         return sample
     to = _keys(sample, key)
-    return sample.unionByName(full.join(to, _on(full, key, to), "left_anti").orderBy(*key).limit(missing))
+    return sample.unionByName(capped(full.join(to, _on(full, key, to), "left_anti"), key, missing))
 
 
 def missing_parents(child: DataFrame, columns: list[str], sample: DataFrame, full: DataFrame, parent_columns: list[str]) -> DataFrame:
@@ -56,18 +127,6 @@ def close_over_parents(child: DataFrame, columns: list[str], sample: DataFrame,
     return sample.unionByName(missing_parents(child, columns, sample, full, parent_columns).select(*sample.columns))
 
 
-def close_over_self(sample: DataFrame, columns: list[str], full: DataFrame, parent_columns: list[str]) -> DataFrame:
-    """sample and all the rows of its own table that it refers to, directly or not, however long the chain.
-
-    Every round adds rows of full that were not there, so it ends when nothing that exists is missing.
-    """
-    new = have = freeze(sample)
-    while not new.isEmpty():
-        new = freeze(missing_parents(new, columns, have, full, parent_columns).select(*sample.columns))
-        have = freeze(have.unionByName(new))
-    return have
-
-
 def flag_orphans(child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str], flag: str = "__orphan") -> DataFrame:
     """child with a flag on rows whose complete key the parent lacks; one join, no second scan."""
     to = _keys(parent, parent_columns).withColumn("__found", F.lit(True))

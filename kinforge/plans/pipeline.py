@@ -14,11 +14,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.values import key_capacity
-from ..operators.checks import existing_keys, gate, never_null, require, stack
+from ..operators.checks import existing_keys, gate, never_null, references, require, stack
+from ..operators.closure import close_over_graph
 from ..operators.dates import DEFAULT_DAYS
 from ..operators.keys import key_start, largest_key
 from ..operators.rows import freeze
-from ..operators.sampling import capped, close_over_parents, close_over_self, keep_referenced, repair, root_filter, top_up
+from ..operators.sampling import capped, keep_referenced, repair, root_filter, top_up
 from ..sources.readers import join_path, largest_from_footers, read_specs, read_table
 from ..sources.writers import save_together
 from .model import Problems, Specs, compile_specs, components, normalise, order, sanitise, target_rows
@@ -50,10 +51,11 @@ class Layout:
 class Group:
     """The steps over one connected group of tables."""
 
-    def __init__(self, spark: SparkSession, layout: Layout, specs: Specs, seed: int = SEED):
+    def __init__(self, spark: SparkSession, layout: Layout, specs: Specs, seed: int = SEED, full: Mapping[str, DataFrame] | None = None):
+        """full: the tables, where they are not read from the layout."""
         self.spark, self.layout, self.specs, self.seed = spark, layout, specs, seed
         self.names, _ = order(specs)
-        self.full = {t: read_table(spark, layout.source(t)) for t in specs}
+        self.full = dict(full) if full is not None else {t: read_table(spark, layout.source(t)) for t in specs}
 
     def sample(self, limit: int | None, min_rows: int = MIN_ROWS) -> dict[str, DataFrame]:
         """Parents first; children keep rows whose parents were kept, up to a limit in key order, filled up to a floor."""
@@ -69,16 +71,9 @@ class Group:
         return out
 
     def close(self, sampled: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """Every referenced parent that exists is pulled in, children first."""
-        out = dict(sampled)
-        for t in reversed(self.names):
-            for fk in self.specs[t].foreign_keys:
-                columns, to = list(fk.columns), list(fk.parent_columns)
-                if fk.parent == t:
-                    out[t] = close_over_self(out[t], columns, self.full[t], to)
-                else:
-                    out[fk.parent] = freeze(close_over_parents(out[t], columns, out[fk.parent], self.full[fk.parent], to))
-        return out
+        """Every row that the sample refers to, directly or not, is pulled in if it exists."""
+        closed = close_over_graph(sampled, self.full, references(self.specs), self.names)
+        return {t: freeze(df) for t, df in closed.items()}
 
     def not_null(self, tables: Mapping[str, DataFrame]) -> dict[str, set[str]]:
         """Declared columns, and those that never are null in the full data."""

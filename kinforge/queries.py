@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.draws import token, unit
-from .operators import checks, dates, demo, discovery, keys, marginals, metrics, reports, rows, sampling, structure
-from .plans import metadata, model
+from .operators import checks, closure, dates, demo, discovery, keys, marginals, metrics, reports, rows, sampling, structure
+from .plans import metadata, model, pipeline
 from .plans.model import ForeignKey
 from .plans.synthesis import synthesise
 from .sources import readers, writers
@@ -508,7 +508,30 @@ def parent_closure(t):
 @query(f"WITH RECURSIVE c AS (SELECT p_partkey, parent_key FROM {TREE} WHERE p_partkey % 37 = 5 UNION SELECT p.p_partkey, p.parent_key FROM c JOIN {TREE} p ON p.p_partkey = c.parent_key) SELECT p_partkey, parent_key FROM c")
 def self_closure(t):
     tree = part_tree(t).select("p_partkey", "parent_key")
-    return sampling.close_over_self(tree.where("p_partkey % 37 = 5"), ["parent_key"], tree, ["p_partkey"])
+    return closure.close_over_self(tree.where("p_partkey % 37 = 5"), ["parent_key"], tree, ["p_partkey"])
+
+
+# customers have a boss, 40 keys before them (a chain), and sponsor an order of the customer three keys on (a cycle with orders)
+CLOSED = {
+    "region": {"pk_cols": "r_regionkey"},
+    "nation": {"pk_cols": "n_nationkey", "foreign_keys": [{"columns": "n_regionkey", "parent_table": "region"}]},
+    "customer": {"pk_cols": "c_custkey", "foreign_keys": [{"columns": "sponsored", "parent_table": "orders"}, {"columns": "c_nationkey", "parent_table": "nation"}, {"columns": "boss", "parent_table": "customer"}]},
+    "orders": {"pk_cols": "o_orderkey", "foreign_keys": [{"columns": "o_custkey", "parent_table": "customer"}]},
+}
+
+
+@query("""WITH RECURSIVE s AS (SELECT o_custkey - 3 AS c, max(o_orderkey) AS o FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1),
+e AS (SELECT 'orders' AS t, o_orderkey AS k, 'customer' AS to_t, o_custkey AS to_k FROM orders UNION ALL SELECT 'customer', c_custkey, 'customer', c_custkey - 40 FROM customer
+  UNION ALL SELECT 'customer', c, 'orders', o FROM s UNION ALL SELECT 'customer', c_custkey, 'nation', c_nationkey FROM customer UNION ALL SELECT 'nation', n_nationkey, 'region', n_regionkey FROM nation),
+there AS (SELECT 'orders' AS to_t, o_orderkey AS to_k FROM orders UNION ALL SELECT 'customer', c_custkey FROM customer UNION ALL SELECT 'nation', n_nationkey FROM nation UNION ALL SELECT 'region', r_regionkey FROM region),
+r AS (SELECT 'orders' AS t, o_orderkey AS k FROM orders WHERE o_orderkey % 211 = 0 UNION SELECT e.to_t, e.to_k FROM r JOIN e USING (t, k) JOIN there USING (to_t, to_k))
+SELECT t AS table_name, k::BIGINT AS key FROM r""")
+def graph_closure(t):
+    sponsors = t("orders").where("o_custkey % 4 <> 0").groupBy((F.col("o_custkey") - 3).alias("c_custkey")).agg(F.max("o_orderkey").alias("sponsored"))
+    full = {n: t(n) for n in CLOSED} | {"customer": t("customer").withColumn("boss", F.col("c_custkey") - 40).join(sponsors, "c_custkey", "left")}
+    group = pipeline.Group(t("region").sparkSession, pipeline.Layout("", ""), model.compile_specs(CLOSED), full=full)
+    closed = group.close({n: df.where("o_orderkey % 211 = 0" if n == "orders" else "false") for n, df in full.items()})
+    return checks.stack([closed[n].select(F.lit(n).alias("table_name"), F.col(spec["pk_cols"]).cast("long").alias("key")) for n, spec in CLOSED.items()])
 
 
 LOST = "(SELECT o_orderkey, o_custkey + 1000000000 AS o_custkey FROM orders)"

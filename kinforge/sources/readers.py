@@ -117,11 +117,6 @@ def read_metadata(spark: SparkSession, path: str, encoding: str | None = None) -
     return spark.read.csv(path, header=True, encoding=encoding or fitting_encoding(spark, path, ("UTF-8", "ISO-8859-1")))
 
 
-def bounded_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """At most n rows, chosen by a hash of the key: the same ones whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
-
-
 def largest_from_footers(spark: SparkSession, path: str, column: str):
     """max(column) from Parquet footers alone (needs the second data source version, switched on for this read)."""
     names = ("spark.sql.sources.useV1SourceList", "spark.sql.parquet.aggregatePushdown")

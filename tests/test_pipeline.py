@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from kinforge.operators import checks, marginals, metrics, reports, sampling, structure
+from kinforge.operators import checks, closure, marginals, metrics, reports, sampling, structure
 from kinforge.plans import metadata, model, pipeline, synthesis
 from kinforge.sources import readers, writers
 from kinforge.streaming import incremental
@@ -67,7 +67,7 @@ def test_references_that_the_data_contradict(spark):
 
 def test_closure_over_a_long_chain(spark):
     chain = spark.range(45).select("id", (F.col("id") - 1).alias("up"))
-    assert sampling.close_over_self(chain.where("id = 44"), ["up"], chain, ["id"]).count() == 45
+    assert closure.close_over_self(chain.where("id = 44"), ["up"], chain, ["id"]).count() == 45
 
 
 def test_a_failed_move_puts_old_tables_back(spark, tmp_path, monkeypatch):
