@@ -179,9 +179,9 @@ def cluster(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dimensions: in
     drift = np.zeros(len(centroids))
     for n in range(rounds):
         state = tables.write(assigned(joined, Round(centroids, drift), dimensions).withColumn("kind", F.when(F.col("row").isNull(), "sums").otherwise("state")), f"state{n}", "kind")
-        change = state.where("kind = 'sums'").select("cluster", F.posexplode("sums")).groupBy("cluster", "pos").agg(F.sum(F.col("col").cast("decimal(38,0)")).alias("d")).collect()
+        change = state.where("kind = 'sums'").groupBy("cluster").agg(*[F.sum(F.col("sums")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(dimensions + 1)]).collect()
         for r in change:
-            totals[r.cluster][r.pos] += int(r.d)
+            totals[r.cluster] = [t + int(r[f"s{i}"]) for i, t in enumerate(totals[r.cluster])]
         # Python's integers and its floor: exact for any sum
         new = np.array([[s // t[-1] for s in t[:-1]] if t[-1] else c.tolist() for t, c in zip(totals, centroids, strict=True)], np.int64)
         drift = np.sqrt(((new - centroids) ** 2).sum(1).astype(float)) * (1 + SLACK)
