@@ -21,13 +21,16 @@ columns are ignored; a text of any length is encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,6 +40,8 @@ from .scratch import Scratch
 WINDOW, END = 4096, 2
 #: Documents of a shard; tokens that a window may lack before its pieces are cut anew.
 SHARD, TOLERANCE = 16_384, 64
+#: Words below this letter (Latin ones) are split here, all others by the tokenizer as a whole.
+SIMPLE = "\u0250"
 #: Words that a worker remembers, and the bytes of ids in an Arrow batch.
 KNOWN, BATCH = 400_000, 8 << 20
 PLACES = "row long, start long, length long, sequence_id long, offset long"
@@ -46,23 +51,61 @@ class Vocabulary:
     """A worker's tokenizer and the ids of words that it has met; those that did not come up again while it met KNOWN
     others are forgotten."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, kind: np.dtype):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.lately, self.before = Tokenizer.from_str(spec), {}, {}
+        self.tokenizer, self.kind = Tokenizer.from_str(spec), kind
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lately, self.before, self.parts = {}, {}, {}
+        steps = json.loads(spec)
+        split = [s["pattern"]["Regex"] for s in (steps["pre_tokenizer"] or {}).get("pretokenizers", []) if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]]
+        self.splits = regex.compile(f"{split[0]}| ") if len(split) == 1 else None
+        self.lowers = any(s["type"] == "Lowercase" for s in (steps["normalizer"] or {}).get("normalizers", []))
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+
+    def simple(self, word: str) -> bool:
+        """Whether a word has only letters and signs that all versions of Unicode know alike, no white space, and no added token."""
+        return self.splits is not None and max(word) < SIMPLE and len(word.split()) == 1 and not any(a in word for a in self.added)
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def by_parts(self, words: list[str]) -> list[bytes]:
+        """The ids of SIMPLE words: normalised and split as one text, then part by part, since words share parts."""
+        text = " ".join(words)
+        text = text.lower() if self.lowers and text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+        if text.count(" ") != len(words) - 1:
+            return self.whole(words)
+        if len(self.parts) > KNOWN:
+            self.parts = {}
+        parts, out, word = self.parts, [], []
+        for part in self.splits.findall(text):
+            if part == " ":
+                out.append(b"".join(word))
+                word = []
+            else:
+                if part not in parts:
+                    parts[part] = self.packed([t.id for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part) for t in self.tokenizer.model.tokenize(x)])
+                word.append(parts[part])
+        out.append(b"".join(word))
+        return out
 
-    def ids(self, texts: list[list[bytes]], kind: np.dtype) -> list[bytes]:
+    def ids(self, texts: list[list[bytes]]) -> list[bytes]:
         """The ids of texts, given as their words, as packed integers."""
         if len(self.lately) > KNOWN:
             self.lately, self.before = {}, self.lately
-        known = self.lately
-        new = []
+        known, before = self.lately, self.before
+        plain, marked, odd = [], [], []
         for w in {w for words in texts for w in words}.difference(known):
-            if w in self.before:
-                known[w] = self.before[w]
+            if w in before:
+                known[w] = before[w]
             else:
-                new.append(w)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, kind).tobytes()
+                x = w.decode()
+                (odd if not self.simple(x) else plain if x.isascii() else marked).append(x)
+        for words, encode in ((plain, self.by_parts), (marked, self.by_parts), (odd, self.whole)):
+            if words:
+                known.update(zip((w.encode() for w in words), encode(words), strict=True))
         return [b"".join(map(known.__getitem__, words)) for words in texts]
 
 
@@ -73,9 +116,9 @@ def encode(texts: list[bytes], spec: str, kind: np.dtype) -> Iterator[bytes]:
     """The ids of each text as packed integers."""
     key = zlib.crc32(spec.encode()), str(kind)
     if key not in _loaded:
-        _loaded[key] = Vocabulary(spec)
+        _loaded[key] = Vocabulary(spec, kind)
     for k in range(0, len(texts), 256):
-        yield from _loaded[key].ids([t.split() for t in texts[k : k + 256]], kind)
+        yield from _loaded[key].ids([t.split() for t in texts[k : k + 256]])
 
 
 def tokenised(docs: DataFrame, spec: str, end: int = END) -> DataFrame:

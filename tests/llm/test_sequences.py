@@ -62,6 +62,10 @@ def test_words_one_by_one_are_encoded_like_whole_texts():
     texts = ["", " ", "w" * 5000, *["".join(rng.choice([*pool, " "]) for _ in range(rng.randint(1, 40))) for _ in range(400)]]
     got = list(sequences.encode([x.encode() for x in texts], spec, np.dtype("<u4")))
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    letters = "".join(map(chr, range(0x21, 0x260)))
+    latin = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(5000)]
+    got = sequences.encode([" ".join(latin).encode()], spec, np.dtype("<u2"))
+    assert np.frombuffer(next(iter(got)), "<u2").tolist() == t.encode(" ".join(latin), add_special_tokens=False).ids
 
 
 def test_pieces_and_checksums(spark):
