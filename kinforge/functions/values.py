@@ -20,6 +20,11 @@ NO = ("n", "no", "nao", "não", "false", "f", "0")
 NOTHING = ("", "nan", "none", "null", "<na>")
 
 
+def named(column: str) -> Column:
+    """A column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def type_of(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
@@ -36,11 +41,11 @@ def key_capacity(kind: T.DataType) -> int | None:
 
 
 def any_null(columns: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+    return reduce(lambda a, b: a | b, [named(c).isNull() for c in columns])
 
 
 def all_null(columns: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNull() for c in columns])
+    return reduce(lambda a, b: a & b, [named(c).isNull() for c in columns])
 
 
 def truthy(text: Column) -> Column:
@@ -66,7 +71,7 @@ def yes_or_no(value: object) -> bool:
 
 def key_text(column: str, kind: T.DataType) -> Column:
     """A key's text, equal for 10, 10.0 and ' 10': integral types never pass through double."""
-    c = F.col(column)
+    c = named(column)
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
         return F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
     return F.trim(c.cast("string"))

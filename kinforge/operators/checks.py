@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import all_null, any_null, key_text
+from ..functions.values import all_null, any_null, key_text, named
 from ..plans.model import ForeignKey, Specs
 
 POLICIES = ("allow_any_null", "allow_all_null", "invalid_null")
@@ -29,16 +29,18 @@ def stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def key_facts(df: DataFrame, key: Iterable[str]) -> DataFrame:
-    """total, distinct (null tuples count), null_rows, duplicates of a key, in one pass with map-side combining."""
-    key = list(key)
-    groups = df.groupBy(*key).agg(F.count("*").alias("__n"))
+def key_facts(df: DataFrame, key: Iterable[str], not_null: Iterable[str] = ()) -> DataFrame:
+    """total, distinct (null tuples count), null_rows, duplicates of a key, and the nulls of other columns (nulls0, ...),
+    in one pass with map-side combining."""
+    key, not_null = list(key), list(not_null)
+    groups = df.groupBy(*[named(k) for k in key]).agg(F.count("*").alias("__n"), *[F.count_if(named(c).isNull()).alias(f"__nulls{i}") for i, c in enumerate(not_null)])
     sum_of = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return groups.agg(
         sum_of("__n").alias("total"),
         F.count("*").alias("distinct_keys"),
         sum_of(F.when(any_null(key), F.col("__n")).otherwise(0)).alias("null_rows"),
         sum_of(F.col("__n") - 1).alias("duplicates"),
+        *[sum_of(f"__nulls{i}").alias(f"nulls{i}") for i in range(len(not_null))],
     )
 
 
@@ -54,8 +56,8 @@ def same_type(child: DataFrame, columns: Iterable[str], parent: DataFrame, paren
     for c, p in zip(columns, parent_columns):
         kinds = child.schema[c].dataType, parent.schema[p].dataType
         same = kinds[0] == kinds[1]
-        a.append(F.col(c) if same else key_text(c, kinds[0]))
-        b.append(F.col(p) if same else key_text(p, kinds[1]))
+        a.append(named(c) if same else key_text(c, kinds[0]))
+        b.append(named(p) if same else key_text(p, kinds[1]))
     return a, b
 
 
@@ -131,8 +133,8 @@ def reference_problems(report: DataFrame, most: float = 0.0) -> DataFrame:
 
 def orphans(child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str], policy: str = "allow_any_null") -> DataFrame:
     """Child rows whose key the parent lacks."""
-    to = parent.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(parent_columns)]).distinct()
-    on = reduce(lambda a, b: a & b, [child[c] == to[f"__p{i}"] for i, c in enumerate(columns)])
+    to = parent.select(*[named(p).alias(f"__p{i}") for i, p in enumerate(parent_columns)]).distinct()
+    on = reduce(lambda a, b: a & b, [child["`" + c + "`"] == to[f"__p{i}"] for i, c in enumerate(columns)])
     return child.where(checked_rows(columns, policy)).join(to, on, "left_anti")
 
 
@@ -159,19 +161,14 @@ def gate(tables: Mapping[str, DataFrame], specs: Specs, not_null: Mapping[str, I
     rows = []
     label = lambda check, what: [F.lit(check).alias("check"), F.lit(what).alias("object")]
     for name, table in specs.items():
-        df = tables[name]
-        facts = key_facts(df, table.key)
-        pairs = [("null_key", "null_rows"), ("duplicate_key", "duplicates")]
-        if name in expected:
-            facts = facts.withColumn("empty", (F.col("total") == 0).cast("long"))
-            pairs.append(("empty_output", "empty"))
-        each = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(c).alias("violations")) for k, c in pairs]))
-        rows.append(facts.select(each.alias("x")).select("x.check", F.lit(f"{name}({','.join(table.key)})").alias("object"), "x.violations"))
+        df, key = tables[name], f"{name}({','.join(table.key)})"
         columns = [c for c in dict.fromkeys([*table.not_null, *(not_null or {}).get(name, ())]) if c in df.columns and c not in table.key]
-        if columns:
-            nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-            each = F.explode(F.array(*[F.struct(F.lit(f"{name}.{c}").alias("object"), F.col(c).alias("violations")) for c in columns]))
-            rows.append(nulls.select(each.alias("x")).select(F.lit("null_value").alias("check"), "x.object", "x.violations"))
+        found = [("null_key", key, F.col("null_rows")), ("duplicate_key", key, F.col("duplicates"))]
+        if name in expected:
+            found.append(("empty_output", key, (F.col("total") == 0).cast("long")))
+        found += [("null_value", f"{name}.{c}", F.col(f"nulls{i}")) for i, c in enumerate(columns)]
+        each = F.explode(F.array(*[F.struct(*label(check, what), n.alias("violations")) for check, what, n in found]))
+        rows.append(key_facts(df, table.key, columns).select(each.alias("x")).select("x.*"))
     for child, fk in references(specs):
         facts = reference_report(tables, [(child, fk)])
         rows.append(facts.select(*label("orphan_rows", f"{child} {fk}"), F.col("orphan_rows").alias("violations")))

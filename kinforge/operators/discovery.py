@@ -8,38 +8,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import key_text
+from ..functions.values import key_text, named
 from .checks import reference_facts, stack
 
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
-#: A column whose estimated distinct count is under this share of the rows is not unique.
-SURELY = 0.8
 
 
 def plain_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, NESTED)]
 
 
-def unique_columns(df: DataFrame, exact_only: bool = False) -> list[str]:
-    """Columns that alone are unique and never null. A sketch of all columns in one scan rules most out; the rest
-    are counted exactly, each with map-side combining."""
-    columns = plain_columns(df)
-    if not columns:
-        return []
-    facts = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)], *[F.approx_count_distinct(c, 0.05).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    n = facts["n"]
-    likely = [c for i, c in enumerate(columns) if n and facts[f"c{i}"] == n and (exact_only or facts[f"d{i}"] >= SURELY * n)]
-    return [c for c in likely if df.select(F.col(c).alias("v")).groupBy("v").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] == 1]
+def value_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, n_rows, n_most: the non-null values of each column of each table, and how often the most
+    frequent one occurs. Values of all columns are told apart by two 64-bit hashes and counted in one shuffle, combined
+    before it, so a column of few values costs next to nothing."""
+    long = []
+    for t, df in tables.items():
+        each = [F.struct(F.lit(c).alias("column_name"), F.xxhash64(named(c)).alias("h"), F.xxhash64(F.lit(1), named(c)).alias("g"), named(c).isNotNull().alias("there")) for c in plain_columns(df)]
+        # one more entry counts the rows
+        rows = F.struct(F.lit(None).cast("string").alias("column_name"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(True).alias("there"))
+        long.append(df.select(F.explode(F.array(rows, *each)).alias("x")).where("x.there").select(F.lit(t).alias("table_name"), "x.column_name", "x.h", "x.g"))
+    counted = stack(long).groupBy("table_name", "column_name", "h", "g").agg(F.count("*").alias("n"))
+    return counted.groupBy("table_name", "column_name").agg(F.sum("n").alias("n_rows"), F.max("n").alias("n_most"))
+
+
+def keys_of(tables: Mapping[str, DataFrame]) -> dict[str, list[str]]:
+    """Columns of each table that alone are unique and never null, in the tables' order; one job for all."""
+    facts = value_counts(tables).collect() if tables else []
+    size = {r["table_name"]: r["n_rows"] for r in facts if r["column_name"] is None}
+    found = {(r["table_name"], r["column_name"]) for r in facts if r["n_most"] == 1 and r["n_rows"] == size[r["table_name"]]}
+    return {t: [c for c in plain_columns(df) if (t, c) in found] for t, df in tables.items()}
+
+
+def unique_columns(df: DataFrame) -> list[str]:
+    """Columns that alone are unique and never null."""
+    return keys_of({"": df})[""]
 
 
 def discover_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
     """table_name, column_name of all single-column keys; names with ID come first in a table, then by name."""
-    rows = [(t, c) for t, df in tables.items() for c in sorted(unique_columns(df), key=lambda c: ("ID" not in c.upper(), c))]
+    rows = [(t, c) for t, columns in keys_of(tables).items() for c in sorted(columns, key=lambda c: ("ID" not in c.upper(), c))]
     return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table_name string, column_name string")
 
 
 def key_ranges(tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> DataFrame:
-    return stack([tables[t].agg(F.min(c).cast("long").alias("min_key"), F.max(c).cast("long").alias("max_key"), F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "*") for t, c in keys.items()])
+    return stack([tables[t].agg(F.min(named(c)).cast("long").alias("min_key"), F.max(named(c)).cast("long").alias("max_key"), F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "*") for t, c in keys.items()])
 
 
 def values_of(table: str, df: DataFrame, columns: list[str]) -> DataFrame:
@@ -80,7 +93,7 @@ def resolve_conflicts(candidates: list[dict]) -> list[dict]:
 
 def value_differences(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column that only one side has."""
-    left, right = a.select(column).dropna().distinct(), b.select(column).dropna().distinct()
+    left, right = (df.select(named(column)).dropna().distinct() for df in (a, b))
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 

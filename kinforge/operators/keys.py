@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.draws import draw
-from ..functions.values import any_null, key_capacity
+from ..functions.values import any_null, key_capacity, named
 
 PAD = 14
 
@@ -48,7 +48,7 @@ def key_start(largest: int | None, n: int, kind: T.DataType, *, band: int = 0, f
 
 def key_map(work: DataFrame, old: list[str], new: list[str], pos: str = "pos") -> DataFrame:
     """old_*, new_*, rank (by position, from 1) and count of the rows that each old key became."""
-    names = [F.col(c).alias(f"old_{i}") for i, c in enumerate(old)] + [F.col(c).alias(f"new_{i}") for i, c in enumerate(new)]
+    names = [named(c).alias(f"old_{i}") for i, c in enumerate(old)] + [named(c).alias(f"new_{i}") for i, c in enumerate(new)]
     olds = [f"old_{i}" for i in range(len(old))]
     by = W.partitionBy(*olds)
     return work.select(*names, F.col(pos).alias("pos")).withColumns({"rank": F.row_number().over(by.orderBy("pos")), "count": F.count("*").over(by)}).drop("pos")
@@ -73,14 +73,14 @@ def remap(child: DataFrame, columns: list[str], mapping: DataFrame, purpose: str
     else:
         to = mapping.groupBy(*olds).agg(F.array_sort(F.collect_list(F.struct("rank", *news))).alias("__all"))
         joined = child.join(to, match(to), "left").withColumn("__new", F.element_at("__all", (1 + draw(purpose, F.col(pos), F.size("__all"), seed)).cast("int")))
-    kept = any_null([f"`{c}`" for c in columns])
-    changed = {c: F.when(kept, F.col(c)).otherwise(F.col(f"__new.new_{i}").cast(child.schema[c].dataType)) for i, c in enumerate(columns)}
+    kept = any_null(columns)
+    changed = {c: F.when(kept, named(c)).otherwise(F.col(f"__new.new_{i}").cast(child.schema[c].dataType)) for i, c in enumerate(columns)}
     return joined.withColumns(changed).select(*child.columns)
 
 
 def remap_self(work: DataFrame, columns: list[str], old_key: list[str], new_key_: list[str], mapping: DataFrame, purpose: str, *, pos: str = "pos", seed: int = 42) -> DataFrame:
     """remap within one table; a row that was its own parent stays its own."""
-    own = reduce(lambda a, b: a & b, [F.col(c) == F.col(k) for c, k in zip(columns, old_key)])
+    own = reduce(lambda a, b: a & b, [named(c) == named(k) for c, k in zip(columns, old_key)])
     flagged = work.withColumn("__own", F.coalesce(own, F.lit(False)))
     out = remap(flagged, columns, mapping, purpose, pos=pos, seed=seed)
-    return out.withColumns({c: F.when(F.col("__own"), F.col(k).cast(work.schema[c].dataType)).otherwise(F.col(c)) for c, k in zip(columns, new_key_)}).drop("__own")
+    return out.withColumns({c: F.when(F.col("__own"), named(k).cast(work.schema[c].dataType)).otherwise(named(c)) for c, k in zip(columns, new_key_)}).drop("__own")

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.draws import draw, token, unit
-from ..functions.values import DATETIMES
+from ..functions.values import DATETIMES, named
 from .rows import number_rows
 
 MAX_CATEGORIES = 100
 POOL_BROADCAST = 1_000_000
+#: Logarithm of the buckets of a sketch of distinct values.
+LG_BUCKETS = 12
 
 
 @dataclass(frozen=True)
@@ -37,13 +39,31 @@ def _kind(t: T.DataType) -> str:
 
 def profile_table(df: DataFrame) -> DataFrame:
     """column_name, kind, total, null_count, null_share, distinct_estimate of all columns in one aggregation."""
-    one = df.agg(F.count("*").alias("total"), *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in df.columns], *[F.approx_count_distinct(c).alias(f"d_{c}") for c in df.columns])
-    each = F.explode(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(_kind(f.dataType)).alias("kind"), F.col(f"n_{f.name}").alias("null_count"), F.col(f"d_{f.name}").alias("distinct_estimate")) for f in df.schema]))
+    one = df.agg(F.count("*").alias("total"), *[F.count_if(named(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)], *[F.approx_count_distinct(named(c)).alias(f"d{i}") for i, c in enumerate(df.columns)])
+    each = F.explode(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(_kind(f.dataType)).alias("kind"), F.col(f"n{i}").alias("null_count"), F.col(f"d{i}").alias("distinct_estimate")) for i, f in enumerate(df.schema)]))
     out = one.select("total", each.alias("x")).select("x.*", "total")
     kind = F.when(F.col("kind") == "text", F.when(F.col("distinct_estimate") <= MAX_CATEGORIES, "categorical").otherwise("token")).otherwise(F.col("kind"))
     return out.withColumn("kind", kind).withColumn("null_share", F.when(F.col("total") > 0, F.col("null_count") / F.col("total")).otherwise(0.0))
 
 
+def distinct_sketches(df: DataFrame, parts: list[str] = ()) -> DataFrame:
+    """The parts' columns, column_name, sketch: of each part a small sketch of every column's distinct values, to be kept
+    and merged later with those of other parts, without reading these again."""
+    columns = [f for f in df.schema if f.name not in parts]
+    plain = (T.StringType, T.BinaryType, T.IntegerType, T.LongType)
+    values = [named(f.name) if isinstance(f.dataType, plain) else named(f.name).cast("string") for f in columns]
+    grouped = df.groupBy(*[named(p) for p in parts]).agg(*[F.hll_sketch_agg(v, LG_BUCKETS).alias(f"s{i}") for i, v in enumerate(values)])
+    each = F.explode(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"s{i}").alias("sketch")) for i, f in enumerate(columns)]))
+    return grouped.select(*[named(p) for p in parts], each.alias("x")).select(*[named(p) for p in parts], "x.*")
+
+
+def merged_distinct(sketches: DataFrame) -> DataFrame:
+    """column_name, distinct_estimate, low, high: of all parts together, with bounds of three standard errors."""
+    merged = sketches.where("sketch is not null").groupBy("column_name").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_estimate"))
+    error = 3 * 1.04 / (1 << LG_BUCKETS) ** 0.5
+    return merged.withColumns({"low": F.floor(F.col("distinct_estimate") * (1 - error)), "high": F.ceil(F.col("distinct_estimate") * (1 + error))})
+
+
 def learn(df: DataFrame) -> dict[str, Profile]:
     """Profiles of all columns; of categories the values and shares (at most about MAX_CATEGORIES of them)."""
     out = {}
@@ -51,7 +71,8 @@ def learn(df: DataFrame) -> dict[str, Profile]:
         values: tuple = ()
         shares: tuple = ()
         if r["kind"] == "categorical":
-            rows = df.where(F.col(r["column_name"]).isNotNull()).groupBy(r["column_name"]).agg(F.count("*").alias("n")).orderBy(F.desc("n"), r["column_name"]).collect()
+            c = named(r["column_name"])
+            rows = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").collect()
             total = sum(x["n"] for x in rows)
             values, shares = tuple(x[0] for x in rows), tuple(x["n"] / total for x in rows)
         out[r["column_name"]] = Profile(r["column_name"], r["kind"], r["null_share"], r["total"], r["total"] - r["null_count"], values, shares)
@@ -72,7 +93,7 @@ def categorical(u: Column, values: tuple, shares: tuple[float, ...], kind: T.Dat
 
 def pooled(base: DataFrame, source: DataFrame, column: str, pos: str, seed: int = 42) -> DataFrame:
     """base with a column drawn from the source's non-null values."""
-    pool = number_rows(source.where(F.col(column).isNotNull()).select(column), [column], "__at")
+    pool = number_rows(source.where(named(column).isNotNull()).select(named(column)), [column], "__at")
     n = pool.count()
     if not n:
         return base.withColumn(column, F.lit(None).cast(source.schema[column].dataType))
@@ -81,7 +102,7 @@ def pooled(base: DataFrame, source: DataFrame, column: str, pos: str, seed: int
 
 
 def with_nulls(df: DataFrame, column: str, share: float, pos: str, seed: int = 42) -> DataFrame:
-    return df.withColumn(column, F.when(unit(f"null|{column}", F.col(pos), seed) >= share, F.col(column))) if share > 0 else df
+    return df.withColumn(column, F.when(unit(f"null|{column}", F.col(pos), seed) >= share, named(column))) if share > 0 else df
 
 
 def key_values(pos: Column, kind: T.DataType, column: str, seed: int = 42) -> Column:
@@ -112,4 +133,4 @@ def synthesise_table(source: DataFrame, n: int, keys: list[str] = (), seed: int
         else:
             out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
         out = with_nulls(out, f.name, p.null_share, "__pos", seed)
-    return out.select(*source.columns)
+    return out.select(*[named(c) for c in source.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import DATETIMES
+from ..functions.values import DATETIMES, named
 from ..plans.model import ForeignKey, Specs
 from . import metrics
 from .checks import references, stack
@@ -75,9 +75,9 @@ def across_tables(original: tuple[DataFrame, DataFrame], synthetic: tuple[DataFr
     on = list(zip(fk.columns, fk.parent_columns))
 
     def joined(child: DataFrame, parent: DataFrame) -> DataFrame:
-        keys = [F.col(p).alias(f"__p{i}") for i, (_, p) in enumerate(on)]
-        to = parent.select(*keys, F.col(parent_column).alias("y"))
-        some = child.select(F.col(column).alias("x"), *[F.col(c).alias(f"__p{i}") for i, (c, _) in enumerate(on)])
+        keys = [named(p).alias(f"__p{i}") for i, (_, p) in enumerate(on)]
+        to = parent.select(*keys, named(parent_column).alias("y"))
+        some = child.select(named(column).alias("x"), *[named(c).alias(f"__p{i}") for i, (c, _) in enumerate(on)])
         return some.join(to, [f"__p{i}" for i in range(len(on))]).select("x", "y")
 
     a, b = aligned(joined(*original), joined(*synthetic))
@@ -87,29 +87,37 @@ def across_tables(original: tuple[DataFrame, DataFrame], synthetic: tuple[DataFr
 
 def quality_report(original: Mapping[str, DataFrame], synthetic: Mapping[str, DataFrame], specs: Specs) -> DataFrame:
     """property, object, score, note of tables' shapes and structure and of relationships. A property that fails is a
-    row with no score and the reason as its note: the rest of the report stands."""
-    rows: list[DataFrame] = []
+    row with no score and the reason as its note: the rest of the report stands.
+
+    What a table's report consists of is told by one query. Only if this fails are its properties told one by one.
+    """
     spark = next(iter(original.values())).sparkSession
+    schema = "property string, object string, score double, note string"
     both = [t for t in specs if t in original and t in synthetic]
-
-    def told(name: str, what: str, score: Callable[[], DataFrame]) -> None:
-        label = [F.lit(name).alias("property"), F.lit(what).alias("object")]
-        try:
-            value = score().select("score").first()["score"]
-            note = None if value is not None else "nothing to compare"
-        except Exception as e:
-            value, note = None, str(e).splitlines()[0][:200]
-            log.warning("%s of %s: %s", name, what, note)
-        rows.append(spark.range(1).select(*label, F.lit(value).cast("double").alias("score"), F.lit(note).cast("string").alias("note")))
-
+    parts: dict[str, list[tuple[str, str, Callable[[], DataFrame]]]] = {t: [] for t in both}
     for t in both:
-        told("column_shapes", t, lambda: shape_score(metrics.column_shapes(*aligned(original[t], synthetic[t]), set(specs[t].key))))
-        told("structure", t, lambda: spark.range(1).select(F.lit(metrics.structure_score(original[t], synthetic[t])).alias("score")))
+        parts[t].append(("column_shapes", t, lambda t=t: shape_score(metrics.column_shapes(*aligned(original[t], synthetic[t]), set(specs[t].key)))))
+        parts[t].append(("structure", t, lambda t=t: spark.range(1).select(F.lit(metrics.structure_score(original[t], synthetic[t])).alias("score"))))
     for t, fk in metric_schema(original, specs)[1]:
-        side = lambda tables: (tables[fk.parent], fk.parent_columns[0], tables[t], fk.columns[0])  # noqa: E731,B023
-        told("cardinality", f"{t} {fk}", lambda: metrics.cardinality_similarity(side(original), side(synthetic)))
-        told("referential_integrity", f"{t} {fk}", lambda: metrics.referential_integrity(synthetic[t], fk.columns[0], synthetic[fk.parent], fk.parent_columns[0]))
-    return stack(rows) if rows else spark.createDataFrame([], "property string, object string, score double, note string")
+        side = lambda tables, t=t, fk=fk: (tables[fk.parent], fk.parent_columns[0], tables[t], fk.columns[0])
+        parts.setdefault(t, []).append(("cardinality", f"{t} {fk}", lambda side=side: metrics.cardinality_similarity(side(original), side(synthetic))))
+        parts[t].append(("referential_integrity", f"{t} {fk}", lambda t=t, fk=fk: metrics.referential_integrity(synthetic[t], fk.columns[0], synthetic[fk.parent], fk.parent_columns[0])))
+    rows = [r for ps in parts.values() for r in _told(ps)]
+    return spark.createDataFrame(rows, schema)
+
+
+def _told(parts: list[tuple[str, str, Callable[[], DataFrame]]]) -> list[tuple[str, str, float | None, str | None]]:
+    """Scores of properties (name, object, how it is scored), and why there is none."""
+    try:
+        asked = stack([score().select(F.lit(i).alias("i"), F.col("score").cast("double").alias("score")) for i, (_, _, score) in enumerate(parts)])
+        scores = {r["i"]: r["score"] for r in asked.collect()}
+    except Exception as e:
+        reason = str(e).splitlines()[0][:200]
+        if len(parts) > 1:
+            return [r for p in parts for r in _told([p])]
+        log.warning("%s of %s: %s", parts[0][0], parts[0][1], reason)
+        return [(*parts[0][:2], None, reason)]
+    return [(name, what, scores.get(i), None if scores.get(i) is not None else "nothing to compare") for i, (name, what, _) in enumerate(parts)]
 
 
 def heads(original: DataFrame, synthetic: DataFrame, key: list[str], n: int = 5, seed: int = 42) -> DataFrame:

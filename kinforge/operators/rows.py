@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.draws import draw
+from ..functions.values import named
 
 _LOCAL = (1 << 33) - 1
 
@@ -44,7 +45,8 @@ def _from_parts(marked: DataFrame, name: str) -> DataFrame:
 
 def number_rows(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
     """df with 0, 1, 2, ... in the order of some columns; ranges are sorted apart, so no task sees all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    columns = [named(c) for c in order]
+    ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
     return _from_parts(freeze(ranged.withColumn("__mid", F.monotonically_increasing_id())), name)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.draws import draw, unit
-from ..functions.values import any_null, free_name
+from ..functions.values import any_null, free_name, named
 from .rows import freeze, number_rows
 
 #: Up to so many rows, the first of each partition are merged in one task. Points of the sketch of a key, and its accuracy.
@@ -17,11 +17,11 @@ FEW, QUANTILES, ACCURACY = 100, 1000, 100_000
 
 
 def _keys(parent: DataFrame, columns: list[str]) -> DataFrame:
-    return parent.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(columns)]).dropna().distinct()
+    return parent.select(*[named(c).alias(f"__p{i}") for i, c in enumerate(columns)]).dropna().distinct()
 
 
 def _on(child: DataFrame, columns: list[str], to: DataFrame) -> Column:
-    return reduce(lambda a, b: a & b, [child[c] == to[f"__p{i}"] for i, c in enumerate(columns)])
+    return reduce(lambda a, b: a & b, [child["`" + c + "`"] == to[f"__p{i}"] for i, c in enumerate(columns)])
 
 
 def keep_referenced(child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str]) -> DataFrame:
@@ -74,8 +74,8 @@ def capped(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
     if n is None:
         return df
     if n <= FEW:
-        return df.orderBy(*[F.col(f"`{c}`") for c in order]).limit(n)
-    keys = freeze(df.select(*[F.col(f"`{c}`") for c in order]))
+        return df.orderBy(*[named(c) for c in order]).limit(n)
+    keys = freeze(df.select(*[named(c) for c in order]))
     near = _near(keys, order[0], n)
     if near is None:
         return df
@@ -83,11 +83,11 @@ def capped(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
     numbered = freeze(number_rows(some, order, "__at"))
     cut = numbered.where(F.col("__at") == n - before - 1).first()
     like = {c: F.lit(cut[c]).cast(df.schema[c].dataType) for c in order}
-    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(v) for c, v in like.items()])
+    same = reduce(lambda a, b: a & b, [named(c).eqNullSafe(v) for c, v in like.items()])
     ties = numbered.where(same).agg(F.min("__at").alias("first"), F.count("*").alias("n")).first()
     below, equal = F.lit(False), F.lit(True)
     for c, v in like.items():
-        x = F.col(f"`{c}`")
+        x = named(c)
         below = below | (equal & F.when(v.isNull(), F.lit(False)).otherwise(x.isNull() | (x < v)))
         equal = equal & x.eqNullSafe(v)
     wanted = n - before - ties["first"]
@@ -96,10 +96,18 @@ def capped(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
     return df.where(below).unionByName(df.where(same).limit(wanted))  # rows that the order does not tell apart
 
 
+def first_rows(df: DataFrame, subset: list[str], order: list[str]) -> DataFrame:
+    """One row for each distinct subset of columns (nulls are alike): the first in an order, nulls first. Rows are
+    compared where they lie before the shuffle, so a frequent subset sends one row a task."""
+    whole = F.struct(*[named(c) for c in df.columns])
+    best = df.groupBy(*[named(c).alias(f"__g{i}") for i, c in enumerate(subset)]).agg(F.min_by(whole, F.struct(*[named(c) for c in order])).alias("__row"))
+    return best.select("__row.*")
+
+
 def bounded_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
     """At most n rows, chosen by a hash of the key: the same ones whatever the partitioning."""
     name = free_name(df.columns, "__drawn")
-    return capped(df.withColumn(name, F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key])), [name, *key], n).drop(name)
+    return capped(df.withColumn(name, F.xxhash64(F.lit(seed), *[named(c) for c in key])), [name, *key], n).drop(name)
 
 
 def drawn(df: DataFrame, key: str, share: float, purpose: str, seed: int = 42) -> DataFrame:
@@ -119,19 +127,19 @@ def top_up(sample: DataFrame, full: DataFrame, key: list[str], wanted: int) -> D
 def missing_parents(child: DataFrame, columns: list[str], sample: DataFrame, full: DataFrame, parent_columns: list[str]) -> DataFrame:
     """Rows of the full parent table that children refer to and the sample lacks."""
     have = _keys(sample, parent_columns)
-    wanted = child.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(columns)]).dropna().distinct().join(have, [f"__p{i}" for i in range(len(columns))], "left_anti")
+    wanted = child.select(*[named(c).alias(f"__p{i}") for i, c in enumerate(columns)]).dropna().distinct().join(have, [f"__p{i}" for i in range(len(columns))], "left_anti")
     return full.join(wanted, _on(full, parent_columns, wanted), "left_semi")
 
 
 def close_over_parents(child: DataFrame, columns: list[str], sample: DataFrame, full: DataFrame, parent_columns: list[str]) -> DataFrame:
-    return sample.unionByName(missing_parents(child, columns, sample, full, parent_columns).select(*sample.columns))
+    return sample.unionByName(missing_parents(child, columns, sample, full, parent_columns).select(*[named(c) for c in sample.columns]))
 
 
 def flag_orphans(child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str], flag: str = "__orphan") -> DataFrame:
     """child with a flag on rows whose complete key the parent lacks; one join, no second scan."""
     to = _keys(parent, parent_columns).withColumn("__found", F.lit(True))
     joined = child.join(to, _on(child, columns, to), "left")
-    return joined.withColumn(flag, F.col("__found").isNull() & ~any_null(columns)).select(*child.columns, flag)
+    return joined.withColumn(flag, F.col("__found").isNull() & ~any_null(columns)).select(*[named(c) for c in child.columns], flag)
 
 
 def null_orphans(child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str], nullable: list[str]) -> DataFrame:
@@ -140,7 +148,7 @@ def null_orphans(child: DataFrame, columns: list[str], parent: DataFrame, parent
     if not lost:
         raise ValueError(f"none of {columns} may be null; reassign instead")
     flagged = flag_orphans(child, columns, parent, parent_columns)
-    return flagged.withColumns({c: F.when(~F.col("__orphan"), F.col(c)) for c in lost}).drop("__orphan")
+    return flagged.withColumns({c: F.when(~F.col("__orphan"), named(c)) for c in lost}).drop("__orphan")
 
 
 def reassign_orphans(child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str], row: list[str], purpose: str, seed: int = 42) -> DataFrame:
@@ -150,9 +158,9 @@ def reassign_orphans(child: DataFrame, columns: list[str], parent: DataFrame, pa
     if not n:
         return child
     flagged = flag_orphans(child, columns, parent, parent_columns)
-    at = F.when(F.col("__orphan"), draw(purpose, F.concat_ws("|", *[F.col(c).cast("string") for c in row]), n, seed))
+    at = F.when(F.col("__orphan"), draw(purpose, F.concat_ws("|", *[named(c).cast("string") for c in row]), n, seed))
     joined = flagged.withColumn("__at", at).join(known, "__at", "left")
-    return joined.withColumns({c: F.when(F.col("__orphan"), F.col(f"__p{i}").cast(child.schema[c].dataType)).otherwise(F.col(c)) for i, c in enumerate(columns)}).select(*child.columns)
+    return joined.withColumns({c: F.when(F.col("__orphan"), F.col(f"__p{i}").cast(child.schema[c].dataType)).otherwise(named(c)) for i, c in enumerate(columns)}).select(*[named(c) for c in child.columns])
 
 
 def repair(child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str], row: list[str], nullable: list[str], purpose: str, mode: str = "null", seed: int = 42) -> DataFrame:
@@ -171,14 +179,14 @@ def bind_shared_key(child: DataFrame, key: list[str], parent: DataFrame, parent_
     olds, news = [F.col(k).alias(f"__old_{i}") for i, k in enumerate(key)], [F.col(f"__p{i}").alias(f"__new_{i}") for i in range(len(key))]
     pairs = bound.groupBy(*olds).agg(F.min(F.struct(*news)).alias("__to")).select(*[f"__old_{i}" for i in range(len(key))], "__to.*")
     out = bound.withColumns({k: F.col(f"__p{i}").cast(child.schema[k].dataType) for i, k in enumerate(key)})
-    return out.select(*child.columns), pairs
+    return out.select(*[named(c) for c in child.columns]), pairs
 
 
 def translate(child: DataFrame, columns: list[str], pairs: DataFrame) -> DataFrame:
     """Foreign keys taken through a bind map; keys that it lacks stay."""
     on = reduce(lambda a, b: a & b, [child[c].eqNullSafe(pairs[f"__old_{i}"]) for i, c in enumerate(columns)])
     joined = child.join(pairs, on, "left").withColumn("__hit", reduce(lambda a, b: a | b, [F.col(f"__new_{i}").isNotNull() for i in range(len(columns))]))
-    return joined.withColumns({c: F.when(F.col("__hit"), F.col(f"__new_{i}").cast(child.schema[c].dataType)).otherwise(F.col(c)) for i, c in enumerate(columns)}).select(*child.columns)
+    return joined.withColumns({c: F.when(F.col("__hit"), F.col(f"__new_{i}").cast(child.schema[c].dataType)).otherwise(named(c)) for i, c in enumerate(columns)}).select(*[named(c) for c in child.columns])
 
 
 def compose(first: DataFrame, second: DataFrame, n: int = 1) -> DataFrame:

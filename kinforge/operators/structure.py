@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.values import canonical
 from ..plans.model import Specs
 from .checks import colliding_keys, key_facts, key_report, reference_facts, reference_report, references, stack
-from .discovery import discover_references, unique_columns
+from .discovery import discover_references, keys_of
 
 # Names and severities of findings.
 CRITICAL, ALERT = "CRITICO", "ALERTA"
@@ -69,7 +69,7 @@ def structural_validation(original: Mapping[str, DataFrame], synthetic: Mapping[
     rows = findings(spark, schema_differences(original, synthetic))
     has = lambda t, cols: t in both and not (set(cols) - set(original[t].columns) or set(cols) - set(synthetic[t].columns))
     keys = {t: list(s.key) for t, s in (specs or {}).items() if has(t, s.key)}
-    found = {t: unique_columns(original[t]) for t in both} if discover else {}
+    found = keys_of({t: original[t] for t in both}) if discover else {}
     for t, columns in found.items():
         if t not in keys and (usable := [c for c in columns if c in synthetic[t].columns]):
             keys[t] = usable[:1]

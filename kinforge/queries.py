@@ -618,9 +618,19 @@ def profile_columns(t):
     return marginals.profile_table(t("customer")).drop("distinct_estimate")
 
 
-@query()
+@query(union_sql([f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, true AS within FROM events" for c in ("event_id", "user_id", "value", "ts")]))
 def approx_cardinality(t):
-    return marginals.profile_table(t("events")).select("column_name", "distinct_estimate")
+    """Whether estimates from sketches that were kept by event_type and merged lie within their bounds, beside exact counts."""
+    events = t("events").select("event_type", "event_id", "user_id", "value", "ts")
+    merged = marginals.merged_distinct(marginals.distinct_sketches(events, ["event_type"]))
+    columns = [c for c in events.columns if c != "event_type"]
+    exact = events.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).where("x.v is not null").groupBy("x.column_name", "x.v").count().groupBy("column_name").agg(F.count("*").alias("n_distinct"))
+    return exact.join(merged, "column_name").select("column_name", "n_distinct", F.col("n_distinct").between(F.col("low"), F.col("high")).alias("within"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) = 1")
+def first_row_wins(t):
+    return sampling.first_rows(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"), ["l_orderkey"], ["l_shipdate", "l_linenumber"])
 
 
 @query("SELECT event_type AS value, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")

@@ -3,26 +3,97 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import stable_seed
+
+log = logging.getLogger("kinforge")
 CSV = {"header": "true", "inferSchema": "true"}
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", options: Mapping[str, str] | None = None, limit: int | None = None) -> DataFrame:
     """A table in any format that Spark knows; CSV has a header and its types are inferred unless options say else."""
+    if fmt == "parquet" and limit is not None:
+        return read_parts(spark, path, limit, options=options)
     reader = spark.read.format(fmt).options(**({**CSV, **(options or {})} if fmt == "csv" else options or {}))
     df = reader.load(path)
     return df if limit is None else df.limit(limit)
 
 
-def read_tables(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet", formats: Mapping[str, str] | None = None, options: Mapping[str, Mapping[str, str]] | None = None) -> dict[str, DataFrame]:
-    """Several tables, each with its own format and options where given."""
+def read_tables(
+    spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet", formats: Mapping[str, str] | None = None, options: Mapping[str, Mapping[str, str]] | None = None,
+    limit: int | None = None, wanted: list[str] | None = None,
+) -> dict[str, DataFrame]:
+    """Several tables, each with its own format and options where given, and up to a number of rows; wanted: their names,
+    of which none may lack a path (paths of others are left alone)."""
     if not paths:
         raise ValueError("no paths")
-    return {t: read_table(spark, p, (formats or {}).get(t, fmt), (options or {}).get(t)) for t, p in paths.items()}
+    if wanted is not None:
+        for other in check_paths(paths, wanted):
+            log.warning("%s: nobody wants this table", other)
+    return {t: read_table(spark, paths[t], (formats or {}).get(t, fmt), (options or {}).get(t), limit) for t in (wanted if wanted is not None else paths)}
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The files below a path, but for those whose name or folder is hidden; sorted. A glob or a single file will do."""
+    fs, p = _fs(spark, path)
+    out = []
+    for top in fs.globStatus(p) or []:
+        root = top.getPath().toString()
+        found = fs.listFiles(top.getPath(), True)
+        while found.hasNext():
+            name = found.next().getPath().toString()
+            if not any(x.startswith(("_", ".")) for x in name[len(root) :].split("/")):
+                out.append(name)
+    return sorted(out)
+
+
+def rows_in(spark: SparkSession, file: str) -> int:
+    """Rows of a Parquet file, from its footer alone."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf))
+    try:
+        return reader.getRecordCount()
+    finally:
+        reader.close()
+
+
+def read_parts(spark: SparkSession, path: str, n: int, seed: int = 42, options: Mapping[str, str] | None = None) -> DataFrame:
+    """n rows of a Parquet table (all if it has fewer) from as few parts as it takes: parts are drawn in an order that
+    depends on the seed and their names, their footers tell how many rows each has, and neither footers nor parts beyond
+    the last one needed are read. Of that one the first rows are taken. The rows are the same each time, but whole parts:
+    a sample of rows is bounded_sample of operators.sampling."""
+    files = data_files(spark, path)
+    if not files:
+        return spark.read.options(**(options or {})).parquet(path).limit(0)
+    below = path.rstrip("/")
+    whole, left, cut = [], n, None
+    for file in sorted(files, key=lambda f: (stable_seed(seed, f.rpartition("/")[2]), f)):
+        rows = rows_in(spark, file)
+        if rows > left:
+            cut = file
+            break
+        whole.append(file)
+        left -= rows
+        if not left:
+            break
+    base = {} if len(files) == 1 or any(c in below for c in "*?[{") else {"basePath": below}  # so that folders make columns
+    read = lambda files: spark.read.options(**{**base, **(options or {})}).parquet(*files)
+    if cut is None:
+        return read(whole)
+    first = read([cut]).where(F.col("_metadata.row_index") < left) if left else read([cut]).limit(0)
+    return read(whole).unionByName(first, allowMissingColumns=True) if whole else first
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A table that has to be Parquet: anything else is an error before any of it is read."""
+    if not is_parquet(spark, path):
+        raise ValueError(f"{path}: not Parquet")
+    return spark.read.parquet(path)
 
 
 def check_paths(paths: Mapping[str, str], wanted: list[str]) -> list[str]:
@@ -69,11 +140,13 @@ def read_specs(spark: SparkSession, path: str) -> dict:
 
 def is_parquet(spark: SparkSession, path: str) -> bool:
     """Whether a file, or the first file of a folder, starts with Parquet's magic bytes; no more than these are read."""
-    fs, p = _fs(spark, path)
-    files = [s for s in fs.globStatus(p) or [] if s.isFile()] or [s for s in fs.listStatus(p) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
-    if not files or min(s.getLen() for s in files[:1]) < 4:
+    files = data_files(spark, path)
+    if not files:
+        return False
+    fs, p = _fs(spark, files[0])
+    if fs.getFileStatus(p).getLen() < 4:
         return False
-    stream = fs.open(files[0].getPath())
+    stream = fs.open(p)
     try:
         return bytes(stream.read() for _ in range(4)) == b"PAR1"
     finally:
