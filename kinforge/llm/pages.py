@@ -8,6 +8,9 @@ by their tag, role, class or id (menus, headers, footers, sidebars, notices, adv
 forms, comments, scripts, styles). Blocks of the rest are the text. A class or id of
 which a word only is noise ("has-sidebar") never hides an article, and none hides main;
 one that is noise as a whole ("comments") hides articles only beside other text.
+Inside an article only a class that is noise as a whole hides an element ("comments",
+"comment-list", but not "no-ads"), or such an id of a container; what is named otherwise goes
+only if its host's counts say so.
 
 Where a page marks its article (article or main), that part is the main text. In it,
 containers (div, section, lists, tables; never paragraphs, headings or quotations, so
@@ -41,9 +44,8 @@ from .scratch import Scratch
 
 MIN_PAGES, MIN_SHARE, INSIDE_SHARE = 5, 0.01, 0.5
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 
 # Element names by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,6 +67,11 @@ NOISE = set(
 )
 
 
+# Words that may stand beside one of the above in a class that is noise as a whole ("comment-list", "reader-comments").
+BESIDE = set("area bar block body box button buttons container form icons inner links list outer panel post posts reader section site slot thread unit user wrap wrapper".split())
+#: Words that are noise outside articles only.
+OUTER = {"header", "side", "top"}
+
 # How an element is noise: by tag or hidden, by a word of its class or id, by a whole class or id.
 BY_TAG, BY_WORD, BY_NAME = 1, 2, 3
 
@@ -76,14 +83,32 @@ class Node:
         self.tag, self.noise, self.parts, self.key = tag, noise, [], None
 
 
-def named_noise(attributes: str, in_article: bool) -> int:
-    """Whether whole classes, ids or roles, or words of them, are noise."""
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by name; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def noise_name(name: str) -> bool:
+    """Whether a class is noise as a whole: of its words one is, and all are noise or stand beside noise."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    return any(w in NOISE and w not in OUTER for w in words) and all(w in NOISE or w in BESIDE for w in words)
+
+
+def named_noise(tag: str, names: dict[str, str], in_article: bool) -> int:
+    """Whether whole classes, ids or roles, or words of them, are noise. In an article only whole classes and roles are,
+    and whole ids of containers: a heading or paragraph may be named like anything."""
     found = 0
-    for m in ATTRIBUTE.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        for how, parts in ((BY_NAME, value.split()), (BY_WORD, re.split(r"[^a-z]+", value))):
-            if any(w in NOISE and not (in_article and w in ("header", "side", "top")) for w in parts):
-                found = max(found, how)
+    for kind in ("class", "id", "role"):
+        value = names.get(kind, "").lower()
+        if not in_article:
+            for how, parts in ((BY_NAME, value.split()), (BY_WORD, re.split(r"[^a-z]+", value))):
+                if any(w in NOISE for w in parts):
+                    found = max(found, how)
+        elif (kind != "id" or tag in CONTAINER) and any(map(noise_name, value.split())):
+            found = BY_NAME
     return found
 
 
@@ -93,9 +118,10 @@ def is_noise(tag: str, attributes: str, in_article: bool) -> int:
         return BY_TAG
     if not attributes or tag in ("body", "html"):
         return 0
-    if HIDDEN.search(attributes):
+    names = attributes_of(attributes)
+    if "hidden" in names or names.get("aria-hidden", "").strip().lower() == "true" or UNSEEN.search(names.get("style", "")):
         return BY_TAG
-    found = named_noise(attributes, in_article)
+    found = named_noise(tag, names, in_article)
     return 0 if tag in ARTICLE and found == BY_WORD else found
 
 
@@ -174,7 +200,7 @@ def parse(page: str) -> Node:
         node = Node(tag, is_noise(tag, m[3], open_.articles > 0))
         stack[-1].parts.append(node)
         if tag in ARTICLE and not node.noise:
-            free = not named_noise(m[3], False)
+            free = not named_noise(tag, attributes_of(m[3]), False)
             kind = tag == "main", free
             for n in reversed(stack[open_.seen.get(kind, 0) :]):
                 if n.tag == "article" and not n.noise:
