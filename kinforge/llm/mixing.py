@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .scratch import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 NOT_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 BUCKETS = 4096
@@ -90,14 +92,43 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
     rest = F.col("__target") - F.col("__epochs") * F.col("__source_size")
     return (
         docs.join(starts, ["__skey", "__bucket"])
-        .withColumn("__epochs", whole)
+        .withColumn("__whole", whole)
+        .withColumn("__epochs", F.col("__whole"))
         .withColumn("__epochs", F.col("__epochs") + F.when(2 * front + F.col("__size") < 2 * rest, 1).otherwise(0))
         .withColumn("__taken", F.col("__epochs") * F.col("__size"))
     )
 
 
+ORDER = ("__bucket", "__key", "doc_id", "__size")
+
+
+def ends_of(mixed: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row a source: how often all its documents are taken (__all), the last document in ORDER that is taken once more
+    (__cut), how many like it are (__some) and how many there are (__alike). What is taken once more is a prefix of
+    the order, since a prefix sum and half a size never fall along it."""
+    mixed = scratch.keep(mixed.select("__skey", *ORDER, "__epochs", "__whole"), "mixed")
+    all_ = mixed.groupBy("__skey").agg(F.max("__whole").alias("__all"))
+    place = F.struct(*ORDER)
+    more = mixed.where("__epochs > __whole").groupBy("__skey").agg(F.max(place).alias("__cut"))
+    ends = scratch.keep(all_.join(more, "__skey", "left"), "ends")
+    alike = mixed.join(ends.where("__cut is not null").drop("__all"), "__skey").where(place == F.col("__cut")).groupBy("__skey").agg(F.count_if(F.col("__epochs") > F.col("__whole")).alias("__some"), F.count("*").alias("__alike"))
+    return scratch.keep(ends.join(alike, "__skey", "left"), "cuts")
+
+
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; columns as given."""
-    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    mixed = mix(measured(whole).drop("text"), **options).where("__taken > 0")
-    return mixed.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select("__row.*")
+    """The documents of the mix, each as often as it is taken; columns as given. Texts are measured once, beside which they
+    are written; the mix is made from the measures alone, and its ends, one row a source, filter the written table."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    held = scratch.keep(measured(docs.select("doc_id", "text", "source", row)).drop("text"), "measured")
+    ends = ends_of(mix(held.drop("__row"), **options), scratch)
+    found = held.join(ends, "__skey")
+    place, cut = F.struct(*ORDER), F.col("__cut")
+    taken = found.withColumn("__n", F.col("__all") + F.when(cut.isNotNull() & (place <= cut), 1).otherwise(0))
+    if not ends.where("__some < __alike").isEmpty():
+        # copies of a source's last document, of which only some are taken
+        at_cut = cut.isNotNull() & (place == cut) & (F.col("__some") < F.col("__alike"))
+        number = F.row_number().over(W.partitionBy("__skey").orderBy(F.xxhash64("__row")))
+        some = taken.where(at_cut).withColumn("__n", F.col("__all") + F.when(number <= F.col("__some"), 1).otherwise(0))
+        taken = taken.where(~F.coalesce(at_cut, F.lit(False))).unionByName(some)
+    return taken.where("__n > 0 and __size > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).select("__row.*")

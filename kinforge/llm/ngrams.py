@@ -532,7 +532,7 @@ class Model(Arrays):
 _models: dict[str, Model] = {}
 
 
-def train(docs: DataFrame, scratch: Scratch, bucket_tokens: int = BUCKET_TOKENS, least: int = 2) -> tuple[str, Buckets, int, dict, dict[str, list[int]]]:
+def train(docs: DataFrame, scratch: Scratch, bucket_tokens: int = BUCKET_TOKENS, least: int = 1) -> tuple[str, Buckets, int, dict, dict[str, list[int]]]:
     """Folder, buckets, bits of words and contexts, numbers and files of the model of docs (text); least: 1, or 2 to prune
     trigrams seen once."""
     if least not in (1, 2):
@@ -573,7 +573,7 @@ def train(docs: DataFrame, scratch: Scratch, bucket_tokens: int = BUCKET_TOKENS,
     return folder, buckets, bits, numbers, made
 
 
-def score(docs: DataFrame, learn_from: DataFrame, bucket_tokens: int = BUCKET_TOKENS, least: int = 2) -> DataFrame:
+def score(docs: DataFrame, learn_from: DataFrame, bucket_tokens: int = BUCKET_TOKENS, least: int = 1) -> DataFrame:
     """One row for each document (doc_id, text): n_tokens, n_known, train_tokens, base_score, score."""
     made = train(learn_from, Scratch(docs.sparkSession, "ngrams"), bucket_tokens, least)
 

@@ -502,7 +502,7 @@ def brute_trigrams(learn):
 
 
 def test_ngrams_against_brute_force(docs):
-    got = ngrams.score(docs, docs.where("doc_id is null or doc_id % 3 <> 0")).collect()
+    got = ngrams.score(docs, docs.where("doc_id is null or doc_id % 3 <> 0"), least=2).collect()
     tokens, ones, whole = brute_trigrams([t for i, t, *_ in ROWS if i is None or i % 3])
     n, v = sum(ones.values()), len(ones)
     want = sorted((i is None, i or 0, len(tokens(t)), sum(ones[w] > 0 for w in tokens(t)), n, round(sum(math.log10((ones[w] + 1) / (n + v + 1)) for w in tokens(t)), 6), round(whole(t), 6)) for i, t, *_ in ROWS)
@@ -518,7 +518,7 @@ def test_ngrams_of_recurring_words(spark):
     tokens, ones, whole = brute_trigrams(t for i, t in enumerate(texts) if i % 4)
     want = {i: round(whole(t), 6) for i, t in enumerate(texts)}
     for each in (ngrams.BUCKET_TOKENS, 40):
-        got = ngrams.score(df, df.where("doc_id % 4 <> 0"), bucket_tokens=each)
+        got = ngrams.score(df, df.where("doc_id % 4 <> 0"), bucket_tokens=each, least=2)
         assert {r["doc_id"]: round(r["score"], 6) for r in got.collect()} == want
 
 
@@ -565,7 +565,7 @@ def test_trigrams_seen_once_count_in_full(spark):
     for each in (ngrams.BUCKET_TOKENS, 40):
         full = {r["doc_id"]: round(r["score"], 6) for r in ngrams.score(df, df.where("doc_id % 4 <> 0"), bucket_tokens=each, least=1).collect()}
         assert full == want
-    pruned = {r["doc_id"]: round(r["score"], 6) for r in ngrams.score(df, df.where("doc_id % 4 <> 0")).collect()}
+    pruned = {r["doc_id"]: round(r["score"], 6) for r in ngrams.score(df, df.where("doc_id % 4 <> 0"), least=2).collect()}
     assert full[47] > pruned[47]  # learned from, and seen nowhere else
 
 
@@ -598,7 +598,7 @@ def test_frequent_words_are_spread_and_missing_files_are_an_error(spark, tmp_pat
     counts = np.bincount(buckets.of(np.full(5000, the), now), minlength=50)
     assert counts.min() > 50 and counts.max() < 160
     assert len(set(buckets.of(now[:1].repeat(100), now[:100]).tolist())) == 1
-    folder, *made = ngrams.train(df, Scratch(spark, "ngrams"))
+    folder, *made = ngrams.train(df, Scratch(spark, "ngrams"), least=2)
     some = pa.array([" ".join(f"the n{k}" for k in range(2000))])
     want = [x.tolist() for x in ngrams.Model(folder, *made).score(some)]
     few = ngrams.Model(folder, *made)
