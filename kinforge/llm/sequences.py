@@ -42,6 +42,8 @@ WINDOW, END = 4096, 2
 SHARD, TOLERANCE = 16_384, 64
 #: Words below this letter (Latin ones) are split here, all others by the tokenizer as a whole.
 SIMPLE = "\u0250"
+#: White space beside blanks, as any reading of it has it.
+ODD = regex.compile(r"[\x00-\x1f\x7f-\xa0]")
 #: Words that a worker remembers, and the bytes of ids in an Arrow batch.
 KNOWN, BATCH = 400_000, 8 << 20
 PLACES = "row long, start long, length long, sequence_id long, offset long"
@@ -64,48 +66,59 @@ class Vocabulary:
     def packed(self, ids: list[int]) -> bytes:
         return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
 
-    def simple(self, word: str) -> bool:
-        """Whether a word has only letters and signs that all versions of Unicode know alike, no white space, and no added token."""
-        return self.splits is not None and max(word) < SIMPLE and len(word.split()) == 1 and not any(a in word for a in self.added)
-
-    def whole(self, words: list[str]) -> list[bytes]:
-        return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def by_parts(self, words: list[str]) -> list[bytes]:
-        """The ids of SIMPLE words: normalised and split as one text, then part by part, since words share parts."""
-        text = " ".join(words)
+    def simple(self, text: str) -> bool:
+        """Whether a text of words between blanks has only letters and signs that all versions of Unicode know alike, no
+        other white space, and no added token."""
+        return self.splits is not None and max(text) < SIMPLE and not ODD.search(text) and not any(a in text for a in self.added)
+
+    def whole(self, words: list[bytes]) -> list[bytes]:
+        return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def by_parts(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words that are simple, normalised and split as one text, then part by part, since words share parts."""
+        text = b" ".join(words).decode()
+        if not self.simple(text):
+            if len(words) == 1:
+                return self.whole(words)
+            alone = [self.simple(w.decode()) for w in words]
+            if not all(alone):
+                ids = iter(self.by_parts([w for w, s in zip(words, alone) if s])) if any(alone) else iter(())
+                rest = iter(self.whole([w for w, s in zip(words, alone) if not s]))
+                return [next(ids if s else rest) for s in alone]
+            return self.whole(words)
         text = text.lower() if self.lowers and text.isascii() else self.tokenizer.normalizer.normalize_str(text)
         if text.count(" ") != len(words) - 1:
             return self.whole(words)
         if len(self.parts) > KNOWN:
             self.parts = {}
-        parts, out, word = self.parts, [], []
-        for part in self.splits.findall(text):
-            if part == " ":
-                out.append(b"".join(word))
-                word = []
-            else:
-                if part not in parts:
-                    parts[part] = self.packed([t.id for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part) for t in self.tokenizer.model.tokenize(x)])
-                word.append(parts[part])
-        out.append(b"".join(word))
-        return out
+        parts, tokenize = self.parts, self.tokenizer.model.tokenize
+        found = self.splits.findall(text)
+        for part in set(found).difference(parts, " "):
+            # printable ASCII stands for itself where bytes are written as letters
+            pieces = [part] if part.isascii() and part.isprintable() else [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+            parts[part] = self.packed([t.id for x in pieces for t in tokenize(x)])
+            if not parts[part]:
+                return self.whole(words)
+        parts[" "] = b""
+        each = list(map(parts.__getitem__, found))
+        sizes, joined = np.fromiter(map(len, each), np.int64, len(each)), b"".join(each)
+        ends = np.cumsum(sizes)[sizes == 0].tolist()  # blanks alone have no ids
+        return [joined[a:b] for a, b in zip([0, *ends], [*ends, len(joined)])]
 
     def ids(self, texts: list[list[bytes]]) -> list[bytes]:
         """The ids of texts, given as their words, as packed integers."""
         if len(self.lately) > KNOWN:
             self.lately, self.before = {}, self.lately
         known, before = self.lately, self.before
-        plain, marked, odd = [], [], []
-        for w in {w for words in texts for w in words}.difference(known):
-            if w in before:
-                known[w] = before[w]
-            else:
-                x = w.decode()
-                (odd if not self.simple(x) else plain if x.isascii() else marked).append(x)
-        for words, encode in ((plain, self.by_parts), (marked, self.by_parts), (odd, self.whole)):
-            if words:
-                known.update(zip((w.encode() for w in words), encode(words), strict=True))
+        new = set().union(*texts).difference(known)
+        again = [w for w in new if w in before] if before else ()
+        known.update((w, before[w]) for w in again)
+        new.difference_update(again)
+        plain = [w for w in new if w.isascii()]
+        for words in (plain, list(new.difference(plain))):
+            for k in range(0, len(words), 4096):
+                some = words[k : k + 4096]
+                known.update(zip(some, self.by_parts(some), strict=True))
         return [b"".join(map(known.__getitem__, words)) for words in texts]
 
 
