@@ -45,7 +45,7 @@ SIMPLE = "\u0250"
 #: White space beside blanks, as any reading of it has it.
 ODD = regex.compile(r"[\x00-\x1f\x7f-\xa0]")
 #: Words that a worker remembers, and the bytes of ids in an Arrow batch.
-KNOWN, BATCH = 400_000, 8 << 20
+KNOWN, BATCH = 700_000, 8 << 20
 PLACES = "row long, start long, length long, sequence_id long, offset long"
 
 
