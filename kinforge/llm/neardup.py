@@ -14,13 +14,16 @@ Members of a table key are never paired with each other outright:
    centre, a class that shares many keys. Two classes that are linked to one centre
    need no further look. Of others, a pair has
    at most as many shingles in common as both share with the centre, plus what they
-   share beside it. So it is compared if the first number alone is enough (found by
-   a join on sizes), or if it has a shingle beside the centre in common among the
-   first (100 - percent) % of both (a prefix filter; any order is right, and one that
-   has shingles last that recur in a sample of the centre's classes gives few pairs).
-   Only these first shingles become rows;
+   share beside it. So it is compared if the first number alone is enough, or if it has
+   a shingle beside the centre in common among the first (100 - percent) % of both (a
+   prefix filter; any order is right, and one that has shingles last that recur in a
+   sample of the centre's classes gives few pairs). Only these first shingles become
+   rows;
 3. in small keys, classes of different components are compared.
-Steps 2 and 3 skip only pairs that cannot reach the threshold, so no link is lost.
+What steps 2 and 3 find is compared only if it shares a finer key as well, of up to twelve
+minhashes: texts that are all parts of one long text, and little alike, share none.
+Steps 2 and 3 skip only pairs that cannot reach the threshold, but for finer keys,
+which again miss a pair at the threshold with probability MISS at most.
 All compared pairs are confirmed on full sets; links join into components, and links
 found last join the components so far.
 
@@ -49,7 +52,10 @@ from .scratch import Scratch
 from .words import U, blocks, join, mix
 
 MISS, SMALL = 1e-5, 8
-SAMPLED, FREQUENT = 16, 1024
+#: Shingles of a centre that come last, under the 1,000 up to which Spark ranks rows before it shuffles them.
+SAMPLED, FREQUENT = 16, 999
+#: Finer keys of a class at most.
+FINER = 110
 _MULTIPLIERS = mix(np.arange(1, 4096, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -58,6 +64,31 @@ def entries_for(percent: int) -> int:
     return max(2, math.ceil(math.log(MISS / 2) / math.log(1 - (percent / 100) ** 2)))
 
 
+def finer_for(percent: int) -> tuple[int, int]:
+    """Finer keys, and minhashes of each: as many minhashes as leave no more than FINER keys, of which a pair at the
+    threshold shares none with probability MISS at most."""
+    keys = lambda r: math.ceil(math.log(MISS) / math.log(1 - (min(percent, 99) / 100) ** r))
+    rows = max(r for r in range(1, 13) if r == 1 or keys(r) <= FINER)
+    return keys(rows), rows
+
+
+def _finer(keys: int, rows: int):
+    """id, shingles -> id, finer keys; their minhashes are others than those of the entries."""
+    multipliers = mix(np.arange(5000, 5000 + keys * rows, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s in batch.column("shingles").to_pylist():
+                flat, found = np.frombuffer(s, U), np.arange(keys, dtype=U)
+                for least in np.array([(flat * m).min() for m in multipliers], U).reshape(rows, keys):
+                    found = join(found, least)
+                out.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], ["id", "keys"])
+
+    return run
+
+
 def _sets(column: pa.Array, length: int) -> list[np.ndarray]:
     hashes, rows = shingles(column, length)
     order = np.argsort(rows, kind="stable")
@@ -215,10 +246,12 @@ class Search:
 
         small = self.with_component(open_.where(F.col("c") <= SMALL), label)
         group = self.with_component(compared.withColumnRenamed("u", "id"), label)
-        rest = self.across(small).unionByName(self.by_size(group)).unionByName(self.by_shingle(group)).distinct()
+        finer = self.with_finer(group)
         tested = first.unionByName(compared.select("u", "v"))
         tested = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        rest = keep(rest.join(tested, ["u", "v"], "left_anti"), "pairs3")
+        found = self.across(small).unionByName(self.by_shingle(group, finer)).distinct()
+        found = self.with_finer_key(keep(found.join(tested, ["u", "v"], "left_anti"), "found"))
+        rest = keep(found.unionByName(self.by_size(finer).join(tested, ["u", "v"], "left_anti")).distinct(), "pairs3")
         more = self.confirmed(rest, "links3")
         # links found last join components: they become links between these
         of = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
@@ -246,13 +279,31 @@ class Search:
         """Whether so many common shingles can link sets of n shingles together."""
         return (100 + self.percent) * both >= self.percent * n
 
-    def by_size(self, group: DataFrame) -> DataFrame:
+    def finer_keys(self, ids: DataFrame) -> DataFrame:
+        return self.sets.join(ids.select("id").distinct(), "id").mapInArrow(_finer(*finer_for(self.percent)), "id long, keys array<long>")
+
+    def with_finer_key(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that share a finer key; it is shorter than what confirms them."""
+        ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))
+        keys = self.scratch.keep(self.finer_keys(ids), "finer2")
+        a, b = (keys.select(F.col("id").alias(side), F.col("keys").alias(f"k{side}")) for side in ("u", "v"))
+        return pairs.join(a, "u").join(b, "v").where(F.arrays_overlap("ku", "kv")).select("u", "v")
+
+    def with_finer(self, group: DataFrame) -> DataFrame:
+        """group's classes with each finer key that they share with a class of another component, one of them not linked
+        to their centre."""
+        some = group.select("id", "v", "n", "both", "linked", "component")
+        some = self.scratch.keep(some.join(some.where("not linked").select("v").distinct(), "v", "left_semi"), "around")
+        keys = self.finer_keys(some)
+        each = self.scratch.keep(some.join(keys, "id").withColumn("key", F.explode("keys")).drop("keys"), "finer")
+        shared = each.groupBy("v", "key").agg(F.max(~F.col("linked")).alias("x"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("x and c0 < c1").select("v", "key")
+        return self.scratch.keep(each.join(shared, ["v", "key"]), "shared")
+
+    def by_size(self, finer: DataFrame) -> DataFrame:
         """Pairs around a centre for which what both share with it is enough; one of them is not linked to it."""
-        low = F.ceil(F.col("n") * (self.percent / 100) - 1e-9)
-        high = F.floor(F.col("both") * ((100 + self.percent) / self.percent) - F.col("n") + 1e-9)
-        x = group.where(~F.col("linked")).where(low <= high).select(F.col("id").alias("a"), "v", F.col("n").alias("na"), F.col("both").alias("ba"), F.col("component").alias("ca"), F.explode(F.sequence(low, high)).alias("nb"))
-        y = group.select(F.col("id").alias("b"), "v", F.col("n").alias("nb"), F.col("both").alias("bb"), F.col("component").alias("cb"))
-        found = x.join(y, ["v", "nb"]).where("ca <> cb").where(self._reach(F.least("ba", "bb"), F.col("na") + F.col("nb")))
+        x = finer.where("not linked").select("v", "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("both").alias("ba"), F.col("component").alias("ca"))
+        y = finer.select("v", "key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("both").alias("bb"), F.col("component").alias("cb"))
+        found = x.join(y, ["v", "key"]).where("ca <> cb").where(self.near_size("na", "nb")).where(self._reach(F.least("ba", "bb"), F.col("na") + F.col("nb")))
         return found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
     def later(self, compared: DataFrame) -> DataFrame:
@@ -262,11 +313,13 @@ class Search:
         most = often.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy(F.desc("k"), "h"))).where(F.col("r") <= FREQUENT)
         return self.scratch.keep(most.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("kh")).select("v", F.col("kh.h").alias("later")), "later")
 
-    def by_shingle(self, group: DataFrame) -> DataFrame:
-        """Pairs around a centre with a shingle beside it in common among the first of both; one of them is not linked to it."""
+    def by_shingle(self, group: DataFrame, finer: DataFrame) -> DataFrame:
+        """Pairs around a centre with a shingle beside it in common among the first of both; one of them is not linked to it.
+        Classes that share no finer key are in no such pair."""
         ordered = group.select("id", "v", "n", "both", "linked", "component", "beside").join(self.later(group), "v", "left")
         first = ordered.select("id", "v", "n", "both", "linked", "component", "beside", "later").mapInArrow(_first(self.percent), "id long, v long, n long, both long, linked boolean, component long, m long, first array<long>")
         each = self.scratch.keep(first.withColumn("h", F.explode("first")).drop("first"), "first")
+        each = each.join(finer.select("id", "v").distinct(), ["id", "v"], "left_semi")
         x = each.where(~F.col("linked")).select("v", "h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("both").alias("ba"), F.col("component").alias("ca"), F.col("m").alias("ma"))
         y = each.select("v", "h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("both").alias("bb"), F.col("component").alias("cb"), F.col("m").alias("mb"))
         found = x.join(y, ["v", "h"]).where("ca <> cb").where(self.near_size("na", "nb")).where(self._reach(F.least("ba", "bb") + F.least("ma", "mb"), F.col("na") + F.col("nb")))
