@@ -58,7 +58,8 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Language models and minhashes can't be expressed in SQL; tests/llm holds run() against brute force.
+#: Language models and minhashes can't be expressed in SQL; tests/llm holds run() against its stages, each of which is held against
+#: hand-worked rows or the operator's own brute force.
 ORACLE_SQL = None
 
 

@@ -197,5 +197,6 @@ def compose(first: DataFrame, second: DataFrame, n: int = 1) -> DataFrame:
 
 
 def root_filter(df: DataFrame, column: str | None, value: object, is_root: bool) -> DataFrame:
-    """Rows of a root table with a value in a column; other tables, and tables without the column, stay."""
+    """Rows with a value in a column of a root table (or whatever table is_root is said of); other tables, and tables
+    without the column, stay."""
     return df.where(F.col(column) == F.lit(value)) if is_root and column in df.columns else df

@@ -40,6 +40,8 @@ class Layout:
     out_prefix: str | None = None
     root_column: str | None = None
     root_value: object = None
+    #: Whether the value is asked of every table that has the column, or of tables without parents only.
+    everywhere: bool = False
 
     def source(self, table: str) -> str:
         return join_path(self.raw, self.raw_prefix, table)
@@ -62,7 +64,7 @@ class Group:
         out: dict[str, DataFrame] = {}
         for t in self.names:
             table = self.specs[t]
-            df = root_filter(self.full[t], self.layout.root_column, self.layout.root_value, not table.foreign_keys)
+            df = root_filter(self.full[t], self.layout.root_column, self.layout.root_value, self.layout.everywhere or not table.foreign_keys)
             for fk in table.foreign_keys:
                 if fk.parent in out and fk.parent != t:
                     df = keep_referenced(df, list(fk.columns), out[fk.parent], list(fk.parent_columns))
@@ -178,6 +180,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--dt-vencimento-prazo-dias", type=positive, default=DEFAULT_DAYS)
     p.add_argument("--skip-final-validation", action="store_true")
     p.add_argument("--root-filter", metavar="COLUMN=VALUE")
+    p.add_argument("--filter-every-table", action="store_true")
     p.add_argument("--specs")
     return p.parse_args(argv)
 
@@ -201,7 +204,7 @@ def main(argv: list[str] | None = None) -> int:
     a, env = arguments(argv), environment()
     spark = session()
     column, _, value = (a.root_filter or "").partition("=")
-    layout = Layout(env["RAW_BASE"], env["SYNTHETIC_BASE"], root_column=column or None, root_value=value or None)
+    layout = Layout(env["RAW_BASE"], env["SYNTHETIC_BASE"], root_column=column or None, root_value=value or None, everywhere=a.filter_every_table)
     try:
         run(spark, layout, read_specs(spark, a.specs or env["SPECS_URI"]), seed=a.seed, continue_on_error=a.continue_on_error, scale=a.scale_factor, limit=a.limit, min_rows=a.min_rows_per_table, band=a.pk_safety_band, floor=a.pk_offset, days=a.dt_vencimento_prazo_dias, check=not a.skip_final_validation)
     except Exception as e:

@@ -477,6 +477,7 @@ def date_rules_term(t):
 
 @query("SELECT s_suppkey, coalesce(upper(n_name), 'UNK') || lpad(s_suppkey::VARCHAR, 6, '0') AS code, 'BR' || lpad(s_suppkey::VARCHAR, 10, '0') AS isin FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON n_nationkey = s_nationkey")
 def derived_codes(t):
+    """The lookup is meant to lack some nations, so that suppliers without a code are shown."""
     kinds = t("nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("s_nationkey"), F.upper("n_name").alias("c"))
     return dates.derived_codes(t("supplier"), kinds, key="s_suppkey", kind="s_nationkey", code="c", out="code", isin="isin").select("s_suppkey", "code", "isin")
 

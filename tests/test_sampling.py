@@ -125,3 +125,12 @@ def test_bounded_samples_do_not_depend_on_partitions(spark):
     df = spark.range(3000).withColumn("__drawn", F.lit(1))
     a, b = (sorted(r.id for r in sampling.bounded_sample(df.repartition(p), ["id"], 400, seed=7).collect()) for p in (1, 6))
     assert a == b and len(a) == 400 and a != sorted(r.id for r in sampling.bounded_sample(df, ["id"], 400, seed=8).collect())
+
+
+def test_a_filter_on_every_table_or_on_roots_alone(spark):
+    tables = {"p": spark.createDataFrame([(1, "x"), (2, "y")], "id int, kind string"), "c": spark.createDataFrame([(1, 1, "x"), (2, 1, "y"), (3, 2, "x")], "k int, p int, kind string"), "d": spark.createDataFrame([(1, 1)], "k int, c int")}
+    config = {"p": {"pk_cols": "id"}, "c": {"pk_cols": "k", "foreign_keys": [{"columns": "p", "parent_table": "p"}]}, "d": {"pk_cols": "k", "foreign_keys": [{"columns": "c", "parent_table": "c"}]}}
+    for everywhere, want in ((False, [1, 2]), (True, [1])):
+        group = pipeline.Group(spark, pipeline.Layout("", "", root_column="kind", root_value="x", everywhere=everywhere), model.compile_specs(config), full=tables)
+        sampled = group.sample(None)
+        assert sorted(r.k for r in sampled["c"].collect()) == want and sampled["d"].count() == 1
