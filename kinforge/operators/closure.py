@@ -15,6 +15,8 @@ from ..plans.model import ForeignKey
 from .rows import freeze
 
 Reference = tuple[str, ForeignKey]
+#: Additions to a table's rows after which they are written as one.
+UNIONS = 8
 
 
 def _as_keys(df: DataFrame, columns: list[str], like: DataFrame, names: list[str], prefix: str = "__k") -> DataFrame:
@@ -85,8 +87,10 @@ def close_over_graph(sampled: Mapping[str, DataFrame], full: Mapping[str, DataFr
         if rows.isEmpty():
             return False
         added[t].append(rows)
-        have[t] = freeze(have[t].unionByName(rows))
-        new[t] = freeze(new[t].unionByName(rows)) if t in new else rows
+        have[t] = have[t].unionByName(rows)
+        new[t] = new[t].unionByName(rows) if t in new else rows
+        if not len(added[t]) % UNIONS:  # all parts are written already; only plans would grow
+            have[t], new[t] = freeze(have[t]), freeze(new[t])
         return True
 
     while new:
