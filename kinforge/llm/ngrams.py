@@ -75,12 +75,23 @@ class Buckets:
         self.n, self.frequent, self.spread, self.most = n, frequent, spread, most
 
     def of(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        out = mix(before ^ U(0xB0CCE7)) % U(self.n)
+        return self.of_coded(*self.first(before), np.arange(len(before)), now)
+
+    def first(self, words_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first bucket of each first word, and how many it is spread over."""
+        home, spread = mix(words_ ^ U(0xB0CCE7)) % U(self.n), np.ones(len(words_), U)
         if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, before), len(self.frequent) - 1)
-            hit = self.frequent[at] == before
-            out[hit] = (out[hit] + mix(now[hit]) % self.spread[at[hit]]) % U(self.n)
-        return out.astype(np.int64)
+            at = np.minimum(np.searchsorted(self.frequent, words_), len(self.frequent) - 1)
+            hit = self.frequent[at] == words_
+            spread[hit] = self.spread[at[hit]]
+        return home.astype(np.int64), spread
+
+    def of_coded(self, home: np.ndarray, spread: np.ndarray, code: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """Buckets of bigrams whose first word is the code-th of those that first() was asked for."""
+        out, over = home[code], spread[code]
+        hit = np.flatnonzero(over > 1)
+        out[hit] = (out[hit] + (mix(now[hit]) % over[hit]).astype(np.int64)) % self.n
+        return out
 
     def of_triples(self, home: np.ndarray, context: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Buckets of trigrams whose last two words have this bucket and occur so often together; context: number of the first two."""
@@ -115,14 +126,51 @@ def dealt(docs: DataFrame, n: int, most: int = BUCKET_TOKENS // 4) -> Buckets:
     return Buckets(n, np.array([w for w, _ in found], U), np.array([min(n, math.ceil(4 * s * n)) for _, s in found], U), most)
 
 
+def near_order(keys: np.ndarray) -> np.ndarray:
+    """Places of keys, ascending by as many of their first bits as a place leaves room for: numpy sorts numbers several
+    times as fast as it finds the order of numbers, so places are sorted as the last bits of the keys."""
+    if len(keys) < 2:
+        return np.arange(len(keys))
+    low = U((1 << (len(keys) - 1).bit_length()) - 1)
+    spare = U(64 - int(keys.max()).bit_length())
+    return (np.sort(((keys << spare) & ~low if spare < 64 else keys) | np.arange(len(keys), dtype=U)) & low).astype(np.int64)
+
+
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in ascending order, and the keys in that order."""
+    order = near_order(keys)
+    out = keys[order]
+    if (out[1:] < out[:-1]).any():  # keys that differ in their last bits only
+        order = np.argsort(keys)
+        out = keys[order]
+    return order, out
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys in order, a place of each, and sums of values."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    order, keys = ordered(keys)
+    start = _starts(keys)
     return keys[start], order[start], [np.add.reduceat(v[order], start) if len(start) else v[:0] for v in values]
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and how often each occurs."""
+    order, keys = ordered(keys)
+    start = _starts(keys)
+    return keys[start], order[start], np.diff(start, append=len(keys))
+
+
+def _beside(shard: np.ndarray, shards: int, keys: np.ndarray) -> np.ndarray:
+    """Numbers that ascend by shard, and within one by the first bits of a key."""
+    bits = U(max(1, (shards - 1).bit_length()))
+    return (shard.astype(U) << (U(64) - bits)) | (keys >> bits)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(len(a).to_bytes(8, "little") + a.tobytes() for a in arrays)
 
@@ -136,14 +184,16 @@ def _unpack(data: bytes, *types) -> list[np.ndarray]:
     return out
 
 
-def _squeeze(x: np.ndarray) -> np.ndarray:
-    """Numbers byte by byte (all lowest ones first), compressed: bytes that are always zero take no room."""
-    return np.frombuffer(zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()), np.uint8)
+def _squeeze(x: np.ndarray, small: zstandard.ZstdCompressor) -> np.ndarray:
+    """Numbers in the narrowest type, byte by byte (all lowest ones first), compressed; the type's width comes first."""
+    x = _narrow(x)
+    return np.frombuffer(bytes([x.itemsize]) + small.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()), np.uint8)
 
 
 def _widen(data: np.ndarray, kind) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data.tobytes()), np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+    width = int(data[0])
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:].tobytes()), np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, -1).T).view(f"u{width}").reshape(-1).astype(kind)
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
@@ -165,10 +215,10 @@ def _counted(buckets: Buckets):
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         now, before, mark = (np.concatenate(x) for x in zip(*held))
-        _, first, (count,) = summed(join(before, now), np.ones(len(now), np.int64))
+        _, first, count = numbered(join(before, now))
         now, before, mark = now[first], before[first], mark[first]
         bucket = buckets.of(before, now)
-        order = np.lexsort((before, bucket))
+        order = near_order(_beside(bucket, buckets.n, before))
         now, before, mark, count, bucket = now[order], before[order], mark[order], count[order].astype(np.uint32), bucket[order]
         edges = np.searchsorted(bucket, np.arange(buckets.n + 1))
         ids, packed = [], []
@@ -297,7 +347,7 @@ class Arrays:
         if name not in self.mapped:
             if len(self.mapped) >= self.MAPS:
                 self.mapped.popitem(last=False)
-            self.mapped[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
+            self.mapped[name] = np.asarray(np.load(f"{self.folder}/{name}.npy", mmap_mode="r"))  # a plain view is read with less overhead
         self.mapped.move_to_end(name)
         return self.mapped[name]
 
@@ -306,46 +356,50 @@ class Arrays:
 
     def find(self, kind: str, shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
         """The values of keys, 0 where there are none."""
-        out = np.zeros((len(keys), width), np.int64)
-        for b, ask, at in self._places(kind, shard, keys):
-            out[ask] = self._map(f"{kind}-{b}.1")[at].reshape(-1, width)
+        order, runs = self._runs(kind, shard, keys)
+        found, has = np.zeros((len(keys), width), np.int64), np.zeros(len(keys), bool)
+        for b, i, j, ask in runs:
+            at, has[i:j] = self._place(kind, b, ask)
+            found[i:j] = self._map(f"{kind}-{b}.1").reshape(-1, width)[at]
+        found[~has] = 0
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
-    def find_pairs(self, bucket: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of bigrams: their count (0: none), the mark of what stands before one that was seen once (else -1), their number."""
-        value, number = np.zeros(len(keys), np.int64), np.zeros(len(keys), U)
-        for b, ask, at in self._places("pairs", bucket, keys):
-            value[ask] = self._map(f"pairs-{b}.1")[at]
-            number[ask] = U(b << 32) + at.astype(U)
-        return np.where(value < 0, 1, value), np.where(value < 0, -1 - value, -1), number
-
-    def adjusted(self, count: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """The counts that bigrams of these counts and numbers have in the model."""
-        out = count.copy()
-        open_ = np.flatnonzero(count > 1)
-        for b, ask in self._by(number[open_] >> U(32)):
-            if b in self.made["adjusted"]:
-                out[open_[ask]] = self._map(f"adjusted-{b}.0")[number[open_[ask]] & U(0xFFFFFFFF)]
-        return out
-
-    def _by(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each shard and where it stands."""
-        if len(shard):
-            order = np.argsort(shard.astype(np.uint16) if shard.max() < 1 << 16 else shard, kind="stable")
-            turn = shard[order]
-            edges = [*np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]])).tolist(), len(turn)]
-            for i, j in zip(edges[:-1], edges[1:]):
-                yield int(turn[i]), order[i:j]
-
-    def _places(self, kind: str, shard: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Shards with which of the keys they have, and where."""
-        for b, ask in self._by(shard):
-            if b in self.made[kind]:
-                have = self._map(f"{kind}-{b}.0")
-                ask = ask[np.argsort(keys[ask])]
-                at = np.minimum(np.searchsorted(have, keys[ask]), len(have) - 1)
-                ok = have[at] == keys[ask]
-                yield b, ask[ok], at[ok]
+    def find_pairs(self, bucket: np.ndarray, keys: np.ndarray, adjusted: bool = False) -> tuple[np.ndarray, ...]:
+        """Of bigrams: their count (0: none), the mark of what stands before one that was seen once (else -1), their number;
+        adjusted: and the count that they have in the model."""
+        order, runs = self._runs("pairs", bucket, keys)
+        value, number, has = np.zeros(len(keys), np.int64), np.zeros(len(keys), U), np.zeros(len(keys), bool)
+        model = value.copy() if adjusted else None
+        for b, i, j, ask in runs:
+            at, has[i:j] = self._place("pairs", b, ask)
+            value[i:j] = self._map(f"pairs-{b}.1")[at]
+            np.add(at.view(U), U(b << 32), out=number[i:j])
+            if adjusted:
+                model[i:j] = self._map(f"adjusted-{b}.0")[at] if b in self.made["adjusted"] else np.where(value[i:j] < 0, 1, value[i:j])
+        out = []
+        for x in (np.where(value < 0, 1, value), np.where(value < 0, -1 - value, -1), number, *([model] if adjusted else [])):
+            x[~has] = -1 if len(out) == 1 else 0
+            out.append(np.empty_like(x))
+            out[-1][order] = x
+        return tuple(out)
+
+    def _runs(self, kind: str, shard: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, int, int, np.ndarray]]]:
+        """An order by shard, and nearly by key; each shard that has files, from and to where it stands in that order, and its keys."""
+        if not len(keys):
+            return np.zeros(0, np.int64), iter(())
+        order = near_order(_beside(shard, int(shard.max()) + 1, keys))
+        turn, asked = shard[order], keys[order]
+        start = _starts(turn)
+        return order, ((b, i, j, asked[i:j]) for b, i, j in zip(turn[start].tolist(), start.tolist(), [*start[1:].tolist(), len(keys)]) if b in self.made[kind])
+
+    def _place(self, kind: str, b: int, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a shard's file has the keys, and whether it has them."""
+        have = self._map(f"{kind}-{b}.0")
+        at = have.searchsorted(ask)
+        np.minimum(at, len(have) - 1, out=at)
+        return at, have[at] == ask
 
 
 def _extended(of: tuple):
@@ -355,17 +409,19 @@ def _extended(of: tuple):
 
     def flush(held: list[tuple[np.ndarray, ...]], alone: int, n: int) -> pa.RecordBatch:
         context, pair, bucket = (np.concatenate(x) for x in zip(*held))
-        _, first, (count,) = summed(join(context, pair), np.ones(len(pair), np.int64))
-        order = np.lexsort((pair[first], bucket[first]))
+        _, first, count = numbered(join(context, pair))
+        place = pair[first] & U(0xFFFFFFFF)
+        order = near_order((bucket[first].astype(U) << U(int(place.max(initial=0)).bit_length())) | place)
         at, count = first[order], count[order].astype(np.uint32)
         context, pair, bucket = context[at], pair[at], bucket[at]
         edges = np.searchsorted(bucket, np.arange(n + 1))
         ids, packed = [-1], [None]
+        small = zstandard.ZstdCompressor(level=1)
         for b in np.flatnonzero(np.diff(edges)).tolist():
             i, j = edges[b], edges[b + 1]
             run = np.flatnonzero(np.concatenate([[True], pair[i + 1 : j] != pair[i : j - 1]]))
             ids.append(b)
-            packed.append(_pack(*map(_squeeze, (_steps(pair[i:j][run]), np.diff(np.append(run, j - i)).astype(np.uint32), context[i:j], count[i:j]))))
+            packed.append(_pack(*(_squeeze(x, small) for x in (_steps(pair[i:j][run]), np.diff(np.append(run, j - i)), context[i:j], count[i:j]))))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array([alone] + [None] * (len(ids) - 1), pa.int64())], ["bucket", "block", "alone"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,10 +469,11 @@ def _joined(folder: str, buckets: Buckets, bits: int, least: int):
         again = seen > 1
         contexts, _, sums = summed(mix(context[first][again]), seen[again], *(x[again].astype(np.int64) for x in (seen == 2, seen > 2)))
         out += _sorted_blocks(contexts, sums, bits, buckets.n)
-        pairs, _, (different,) = summed(pair[first], np.ones(len(first), np.int64))
+        pairs, _, different = numbered(pair[first])
+        small = zstandard.ZstdCompressor(level=1)
         for b in np.unique(pairs >> U(32)).tolist():
             i, j = np.searchsorted(pairs, np.array([b << 32, (b + 1) << 32], U))
-            out.append({"bucket": b, "block": _pack(_squeeze(_steps(pairs[i:j])), _squeeze(different[i:j])), "of_counts": None, "made": None})
+            out.append({"bucket": b, "block": _pack(_squeeze(_steps(pairs[i:j]), small), _squeeze(different[i:j], small)), "of_counts": None, "made": None})
         return pa.Table.from_pylist(out, PARTS)
 
     return run
@@ -491,7 +548,8 @@ class Model(Arrays):
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, known tokens, base score and score of each row."""
         now, before, start = tokens(column)
-        distinct, back = np.unique(np.concatenate([now, [START]]), return_inverse=True)
+        coded = pa.array(np.concatenate([now, [START]])).dictionary_encode()
+        distinct, back = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         stats = self.find("words", self.shard(distinct), distinct, len(STATS))
         vocabulary, pairs = self.numbers["words"], self.numbers["pairs"]
         n = self.numbers["word_counts"]
@@ -506,9 +564,8 @@ class Model(Arrays):
         of_before = np.empty_like(of_now)
         of_before[1:] = of_now[:-1]
         of_before[start] = back[-1]
-        home = self.buckets.of(before, now)
-        seen, mark, number = self.find_pairs(home, join(before, now))
-        adjusted = self.adjusted(seen, number)
+        home = self.buckets.of_coded(*self.buckets.first(distinct), of_before, now)
+        seen, mark, number, adjusted = self.find_pairs(home, join(before, now), adjusted=True)
         p = np.maximum(adjusted - self.d2[np.minimum(adjusted, 3)], 0) / np.maximum(total[of_before], 1) + gamma[of_before] * single[of_now]
         at = np.flatnonzero(before != START)
         at = at[seen[at - 1] > 0]
@@ -523,10 +580,10 @@ class Model(Arrays):
         context = number[k - 1]
         thrice[again] = self.find("triples", self.buckets.of_triples(home[k], context, seen[k]), join(context, number[k]), 1)[:, 0]
         p[at] = np.maximum(thrice - self.d3[np.minimum(thrice, 3)], 0) / whole + (self.d3[1] * (whole - kept) + self.d3[2] * two + self.d3[3] * more) / whole * p[at]
-        count = stats[of_now, 0]
-        base = np.log10((count + 1) / (self.numbers["tokens"] + (vocabulary + 1)))
+        count = stats[:, 0]
+        base = np.log10((count + 1) / (self.numbers["tokens"] + (vocabulary + 1)))[of_now]
         sums = lambda x: np.add.reduceat(x, start)
-        return sums(np.ones(len(now), np.int64)), sums((count > 0).astype(np.int64)), sums(base), sums(np.log10(p))
+        return sums(np.ones(len(now), np.int64)), sums((count > 0).astype(np.int64)[of_now]), sums(base), sums(np.log10(p))
 
 
 _models: dict[str, Model] = {}

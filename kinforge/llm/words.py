@@ -21,7 +21,7 @@ import xxhash
 U = np.uint64
 #: Bytes of text handled at once; a longer document is a block of its own.
 BLOCK = 1 << 20
-CHUNK, LONG_WORD = 1 << 20, 256
+CHUNK, LONG_WORD = 1 << 16, 256
 _BASE = U(0x9E3779B97F4A7C13)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _VALUES = np.random.Generator(np.random.PCG64(20240601)).integers(1, 2**64, 256, dtype=U)

@@ -3,6 +3,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from kinforge.llm import ngrams
 from kinforge.llm.words import CHUNK, LONG_WORD, NON_ALNUM, one_hash, row_windows, sliding_min, window_hashes, words
 
 
@@ -48,3 +49,21 @@ def test_one_very_long_text_across_chunks():
     assert w.counts.tolist() == [1, 1_300_000, 1, 1]
     assert (w.hashes[1:1_300_001].reshape(-1, 1000) == hashes).all()
     assert w.hashes[-1] == one_hash(["last"])[0] and w.end[-2] - w.start[-2] == 3 * CHUNK > LONG_WORD
+
+
+def test_places_are_sorted_as_last_bits_of_keys(monkeypatch):
+    calls = []
+    argsort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append(len(a[0])) or argsort(*a, **k))
+    draw = np.random.default_rng(5)
+    hashes = draw.choice(draw.integers(0, 1 << 64, 3000, np.uint64), 10_000)
+    small = draw.integers(0, 1 << 34, 10_000, np.uint64)
+    for keys in (hashes, small, hashes[:1], hashes[:0], np.zeros(5, np.uint64)):
+        distinct, place, count = ngrams.numbered(keys)
+        want = np.unique(keys, return_counts=True)
+        assert distinct.tolist() == want[0].tolist() == keys[place].tolist() and count.tolist() == want[1].tolist()
+    assert not calls  # numpy finds the order of numbers several times as slowly as it sorts them
+    close = np.concatenate([(np.uint64(7) << np.uint64(60)) + draw.integers(0, 50, 10_000, np.uint64), hashes])
+    distinct, place, (total,) = ngrams.summed(close, np.full(len(close), 3))
+    want = np.unique(close, return_counts=True)
+    assert distinct.tolist() == want[0].tolist() == close[place].tolist() and total.tolist() == (3 * want[1]).tolist()
