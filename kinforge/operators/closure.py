@@ -28,12 +28,13 @@ def reached(start: DataFrame, steps: DataFrame) -> DataFrame:
     """start (__k0, ...) and all keys that steps (__k0, ... -> __u0, ...) lead to from there, cycles included.
 
     By pointer doubling: in round i keys at distances up to 2^i are known, and steps lead 2^i keys on. So a chain of n
-    keys takes about log2(n) rounds; steps that lead nowhere drop out of each round.
+    keys takes about log2(n) rounds; steps that lead nowhere drop out of each round. Steps to a key of start are left out
+    first (what lies behind it is found from there), so n is the longest way without such a key, and steps soon run out.
     """
     ks = [c for c in start.columns]
     us = [f"__u{i}" for i in range(len(ks))]
     have = freeze(start.dropna().distinct())
-    steps = steps.dropna().distinct()
+    steps = freeze(steps.dropna().distinct().join(have.select(*[F.col(k).alias(u) for k, u in zip(ks, us)]), us, "left_anti"))
     n = have.count()
     while n:
         on = have.join(steps, ks).select(*[F.col(u).alias(k) for u, k in zip(us, ks)])
@@ -48,12 +49,15 @@ def reached(start: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def pulled(child: DataFrame, columns: list[str], have: DataFrame, full: DataFrame, parent_columns: list[str], through: bool = False) -> DataFrame:
-    """Rows of full that child refers to and that have lacks; through: and what these rows refer to by the same columns."""
+    """Rows of full that child refers to and that have lacks; through: and what these rows refer to by the same columns.
+
+    through needs have to hold what its rows refer to, but for those of child: their links are not followed again.
+    """
     ks = [f"__k{i}" for i in range(len(columns))]
     wanted = _as_keys(child, columns, full, parent_columns).dropna().distinct()
     if through:
-        links = full.select(*_columns(full, parent_columns, "__k"), *[F.col(f"`{c}`").cast(full.schema[p].dataType).alias(f"__u{i}") for i, (c, p) in enumerate(zip(columns, parent_columns))])
-        wanted = reached(wanted, links)
+        links, known = (df.select(*_columns(df, parent_columns, "__k"), *[F.col(f"`{c}`").cast(full.schema[p].dataType).alias(f"__u{i}") for i, (c, p) in enumerate(zip(columns, parent_columns))]) for df in (full, have))
+        wanted = reached(wanted, links.join(known, links.columns, "left_anti"))
     lacking = wanted.join(have.select(*_columns(have, parent_columns, "__k")), ks, "left_anti")
     on = reduce(lambda a, b: a & b, [full[f"`{p}`"] == lacking[k] for p, k in zip(parent_columns, ks)])
     return full.join(lacking, on, "left_semi")

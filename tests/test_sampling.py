@@ -134,3 +134,15 @@ def test_a_filter_on_every_table_or_on_roots_alone(spark):
         group = pipeline.Group(spark, pipeline.Layout("", "", root_column="kind", root_value="x", everywhere=everywhere), model.compile_specs(config), full=tables)
         sampled = group.sample(None)
         assert sorted(r.k for r in sampled["c"].collect()) == want and sampled["d"].count() == 1
+
+
+def test_closure_does_not_follow_known_links_again(spark, monkeypatch):
+    from kinforge.operators import closure
+
+    full = spark.range(201).select("id", (F.col("id") - 1).alias("up"))
+    written, freeze = [], closure.freeze
+    monkeypatch.setattr(closure, "freeze", lambda df: written.append(1) or freeze(df))
+    known, new = full.where("id < 200"), full.where("id = 200")
+    assert closure.pulled(new, ["up"], known, full, ["id"], through=True).count() == 0
+    assert len(written) <= 4
+    assert {r["id"] for r in closure.close_over_self(full.where("id in (7, 3, 12)"), ["up"], full, ["id"]).collect()} == set(range(13))
