@@ -96,11 +96,15 @@ def capped(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
     return df.where(below).unionByName(df.where(same).limit(wanted))  # rows that the order does not tell apart
 
 
-def first_rows(df: DataFrame, subset: list[str], order: list[str]) -> DataFrame:
-    """One row for each distinct subset of columns (nulls are alike): the first in an order, nulls first. Rows are
-    compared where they lie before the shuffle, so a frequent subset sends one row a task."""
+def first_rows(df: DataFrame, subset: list[str], order: list[str], nulls_first: bool = True) -> DataFrame:
+    """One row for each distinct subset of columns (nulls are alike): the first in an order. Rows that the order does not
+    tell apart go by their other columns (but for maps), so the result does not depend on partitions. Rows are compared
+    where they lie before the shuffle, so a frequent subset sends one row a task."""
+    told = [f.name for f in df.schema if f.name not in order and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    keys = [named(c) for c in order] if nulls_first else [x for c in order for x in (named(c).isNull(), named(c))]
+    by = F.struct(*[k.alias(f"__o{i}") for i, k in enumerate([*keys, *map(named, told)])])
     whole = F.struct(*[named(c) for c in df.columns])
-    best = df.groupBy(*[named(c).alias(f"__g{i}") for i, c in enumerate(subset)]).agg(F.min_by(whole, F.struct(*[named(c) for c in order])).alias("__row"))
+    best = df.groupBy(*[named(c).alias(f"__g{i}") for i, c in enumerate(subset)]).agg(F.min_by(whole, by).alias("__row"))
     return best.select("__row.*")
 
 

@@ -631,7 +631,10 @@ def approx_cardinality(t):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) = 1")
 def first_row_wins(t):
-    return sampling.first_rows(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"), ["l_orderkey"], ["l_shipdate", "l_linenumber"])
+    """Rows that the SQL's order leaves tied go by their place in the table: file, then row."""
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"]
+    placed = t("lineitem").select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row_index"))
+    return sampling.first_rows(placed, ["l_orderkey"], ["l_shipdate", "l_linenumber", "__file", "__row_index"], nulls_first=False).select(*columns)
 
 
 @query("SELECT event_type AS value, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")

@@ -105,3 +105,11 @@ def test_chosen_columns(spark):
     df = spark.createDataFrame([], "a string, b int, c date, d string, e double, f boolean")
     assert metrics.chosen_columns(df, 4) == ["a", "b", "c", "d"] and metrics.chosen_columns(df, 9) == ["a", "b", "c", "d", "e", "f"]
     assert metrics.structure_score(df, df.drop("a")) == 5 / 6 and metrics.structure_score(df.select(), df.select()) == 1.0
+
+
+def test_first_rows_that_the_order_leaves_tied(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, 5, "d"), (1, 5, "b"), (1, 5, "c")], "k int, o int, v string")
+    for n in (1, 3):
+        for order in ("v", "v desc"):
+            rows = df.orderBy(*[F.expr(order.split()[0]).desc() if " " in order else F.col("v")]).coalesce(1).repartition(n)
+            assert [tuple(r) for r in sampling.first_rows(rows, ["k"], ["o"], nulls_first=False).collect()] == [(1, 5, "b")]
