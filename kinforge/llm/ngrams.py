@@ -6,9 +6,13 @@ the first word, and for a frequent one by the second too: words with more than h
 a bucket's share of a sample of the texts are spread over as many buckets as their
 share asks for, so that no bucket grows with the corpus. A bucket's task merges its
 blocks and writes the bigrams as sorted hash arrays into the shared folder; a bigram's
-bucket and place there are its number. One that was seen once has, where others have
-their count, 31 bits of the only word that stood before it: the trigram that ends in it
-is known by these, and needs no entry.
+bucket and place there are its number. One that was seen once has 31 bits of the only
+word that stood before it: the trigram that ends in it is known by these, and needs no
+entry. Others have their place in a table of the counts of bigrams that recur.
+
+The buckets' arrays are then laid end to end in one file, with an index of keys by
+their first bits: a block of texts looks up all its keys at once, whatever the number
+of buckets, and a key costs about as much in a large model as in a small one.
 
 The texts are read again for trigrams. One that ends in a bigram seen once was seen
 once itself and is merely counted; the others are sent on as the numbers of their two
@@ -18,11 +22,10 @@ words before it, which is the count that a bigram has in the model (its own for
 at the start of a text), and each trigram its count. With least = 1 every trigram counts
 in full; with least = 2 those seen once are pruned: they take part in counts and
 discounts, but have no entry, and what they would have had goes to the bigrams. Last
-rounds of buckets sum by context and by word and write their arrays.
+rounds of buckets sum by context, into the table of bigrams that recur, and by word.
 
-Workers that score map the files into memory and look hashes up by binary search.
-Training returns a list of what was written: a worker that misses one of the files
-fails. The folder in spark.checkpoint.dir must be mounted by driver and executors, as
+Workers that score map the files into memory. Training returns where each bucket
+begins in them: a worker that misses one of the files fails. The folder in spark.checkpoint.dir must be mounted by driver and executors, as
 arrays are mapped, not read.
 
 Defined cases: a null text is empty and has one token, its end; unknown words get
@@ -36,21 +39,28 @@ from __future__ import annotations
 
 import math
 import os
+import shutil
 from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .words import U, blocks, join, mix, words
 
-START, END = U(0x5354415254), U(0x454E44)
-FLUSH, BUCKET_TOKENS, SCORED, SAMPLED = 1_500_000, 350_000, 1 << 22, 64
+START, END, LAST = U(0x5354415254), U(0x454E44), U((1 << 64) - 1)
+FLUSH, BUCKET_TOKENS, SCORED, SAMPLED = 1_500_000, 1_400_000, 1 << 22, 64
 STATS = ("count", "before", "total", "one", "two", "more")
+#: Of a bigram that recurs: its count, the count that it has in the model, and as a context the sum of the counts of its trigrams
+#: that recur, how many of them were seen twice, and how many more often.
+OPEN = 5
+#: Buckets whose trigrams are counted send on what they know of bigrams by groups of two to the power SETTLED buckets.
+SETTLED = 3
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +216,8 @@ def _mark(word: np.ndarray) -> np.ndarray:
     return (mix(word) >> U(33)).astype(np.uint32)
 
 
-PARTS = pa.schema([("bucket", pa.int64()), ("block", pa.binary()), ("of_counts", pa.list_(pa.int64())), ("made", pa.int64())])
+PARTS = pa.schema([("bucket", pa.int64()), ("block", pa.binary()), ("of_counts", pa.list_(pa.int64())), ("made", pa.int64()), ("size", pa.int64()), ("most", pa.int64()), ("recur", pa.int64())])
+PARTS_DDL = "bucket long, block binary, of_counts array<long>, made long, size long, most long, recur long"
 
 
 def _counted(buckets: Buckets):
@@ -266,8 +277,8 @@ def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
 
 
 def _merged(folder: str, word_bits: int):
-    """All blocks of a bucket -> bigram arrays on disk (hashes, and counts or, below zero, marks of those
-    seen once; first words of those that trigrams will count); (word bucket, block of its words' sums)."""
+    """All blocks of a bucket -> bigram arrays on disk (hashes; places among those that recur or, below zero, marks of those
+    seen once; counts of those that recur; first words of those that trigrams will count); (word bucket, block of its words' sums)."""
 
     def run(table: pa.Table) -> pa.Table:
         before, now, count, mark = [], [], [], []
@@ -283,17 +294,17 @@ def _merged(folder: str, word_bits: int):
         keys, first, (count,) = summed(join(before, now), count.astype(np.int64))
         before, now = before[first], now[first]
         own = table.column("bucket")[0].as_py()
-        values = np.where(count == 1, -1 - mark[first], count)
-        _save(folder, f"pairs-{own}", keys, values.astype(np.int32) if count.max() < 1 << 31 else values)
-        _save(folder, f"heads-{own}", before[(count > 1) & (before != START)])
+        recur = count > 1
+        _save(folder, f"pairs-{own}", keys, np.where(recur, np.cumsum(recur) - 1, -1 - mark[first]).astype(np.int32), count[recur])
+        _save(folder, f"heads-{own}", before[recur & (before != START)])
         closed = (count == 1) | (before == START)
         done = np.where(closed, count, 0)
         zero, one = np.zeros(len(keys), np.int64), np.ones(len(keys), np.int64)
         words_ = np.concatenate([now, before])
         sums = [np.concatenate(x) for x in ((count, zero), (one, zero), *((zero, x) for x in _followed(done)))]
         words_, _, sums = summed(words_, *sums)
-        out = _sorted_blocks(words_, sums, word_bits, 0)
-        out.append({"bucket": -1, "block": None, "of_counts": _seen(done), "made": own})
+        out = _sorted_blocks(words_, sums, word_bits)
+        out.append({"bucket": -1, "of_counts": _seen(done), "made": own, "size": len(keys), "most": int(count.max()), "recur": int(recur.sum())})
         return pa.Table.from_pylist(out, PARTS)
 
     return run
@@ -309,15 +320,15 @@ def _seen(count: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(count, 5), minlength=6)[1:5].tolist()
 
 
-def _sorted_blocks(keys: np.ndarray, sums: list[np.ndarray], bits: int, first: int) -> list[dict]:
-    """Rows of PARTS: sorted keys and their sums, a block for each value of a key's first bits, numbered from first on."""
+def _sorted_blocks(keys: np.ndarray, sums: list[np.ndarray], bits: int) -> list[dict]:
+    """Rows of PARTS: sorted keys and their sums, a block for each value of a key's first bits."""
     edges = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
     small = zstandard.ZstdCompressor(level=1)
     out = []
     for b in np.flatnonzero(np.diff(edges)).tolist():
         i, j = edges[b], edges[b + 1]
         body = np.frombuffer(small.compress(np.concatenate([s[i:j] for s in sums]).tobytes()), np.uint8)
-        out.append({"bucket": first + b, "block": _pack(keys[i:j], body), "of_counts": None, "made": None})
+        out.append({"bucket": b, "block": _pack(keys[i:j], body)})
     return out
 
 
@@ -333,17 +344,75 @@ def _summed_blocks(table: pa.Table, width: int) -> tuple[np.ndarray, list[np.nda
     return keys, out
 
 
+@dataclass
+class Shelf:
+    """How the shards of a kind stand in its files: where each begins (its keys and then LAST), and by how many of a key's first
+    bits, after those that the keys of a shard share, the index knows its place; where each shard's bigrams that recur begin."""
+
+    start: np.ndarray
+    bits: int
+    shared: int
+    recur: np.ndarray | None = None
+
+
+def _shelf(sizes: dict[int, int], shards: int, shared: int = 0, recur: dict[int, int] | None = None) -> Shelf:
+    starts = lambda x, more: np.cumsum([0, *(x.get(b, 0) + more for b in range(shards))])
+    each = sum(sizes.values()) // shards
+    return Shelf(starts(sizes, 1), max(1, each.bit_length() - 2), shared, None if recur is None else starts(recur, 0))
+
+
+def _laid(parts: str, folder: str, kind: str, shelf: Shelf):
+    """Numbers of shards -> the same, when their arrays have their places in the files of the kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = [np.load(f"{folder}/{kind}-all.{k}.npy", mmap_mode="r+") for k in range(3 if shelf.recur is None else 4)]
+        slots = np.arange(1 << shelf.bits, dtype=U) << U(64 - shelf.bits)
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                i, j = int(shelf.start[b]), int(shelf.start[b + 1]) - 1
+                files[0][j] = LAST
+                if i < j:
+                    keys = np.load(f"{parts}/{kind}-{b}.0.npy")
+                    files[0][i:j] = keys
+                    files[1][i:j] = np.load(f"{parts}/{kind}-{b}.1.npy").reshape(j - i, -1)
+                    files[2][b << shelf.bits : (b + 1) << shelf.bits] = np.searchsorted(keys << U(shelf.shared), slots)
+                if shelf.recur is not None and shelf.recur[b] < shelf.recur[b + 1]:
+                    files[3][shelf.recur[b] : shelf.recur[b + 1], :2] = np.load(f"{parts}/{kind}-{b}.2.npy")[:, None]
+            yield batch
+
+    return run
+
+
+def lay(spark: SparkSession, parts: str, folder: str, kind: str, shelf: Shelf, values: np.dtype, width: int = 1, counts: np.dtype | None = None) -> None:
+    """The arrays that tasks wrote for the shards of a kind, laid end to end; they are deleted in turn, so that few stand twice."""
+    n, total = len(shelf.start) - 1, int(shelf.start[-1])
+    os.makedirs(folder, exist_ok=True)
+    shapes = [(U, (total,)), (values, (total, width)), (np.uint32, (n << shelf.bits,))] + ([] if shelf.recur is None else [(counts, (int(shelf.recur[-1]), OPEN))])
+    for k, (dtype, shape) in enumerate(shapes):
+        # a file that ends after its header can't be mapped, so an empty one has a row
+        np.lib.format.open_memmap(f"{folder}/{kind}-all.{k}.npy", "w+", dtype, (max(shape[0], 1), *shape[1:]))
+    rounds = 1 + min(3, total >> 22)
+    for r in range(rounds):
+        low, high = n * r // rounds, n * (r + 1) // rounds
+        if low < high:
+            spark.range(low, high, 1, max(1, min(high - low, total >> 20, n // 4))).mapInArrow(_laid(parts, folder, kind, shelf), "id long").agg(F.count("*")).first()
+        for b in range(low, high):
+            for k in range(3):
+                if os.path.exists(path := f"{parts}/{kind}-{b}.{k}.npy"):
+                    os.remove(path)
+
+
 class Arrays:
-    """Mapped arrays of a folder; made: the numbers of the files of each kind. One that can't be seen here is an error."""
+    """Mapped arrays of a folder; shelves: how each kind stands in its files. One that can't be seen here is an error."""
 
-    #: Mapped files at a time; the operating system bounds how many maps a process has.
-    MAPS = 8192
+    #: Mapped files at a time.
+    MAPS = 64
 
-    def __init__(self, folder: str, buckets: Buckets, bits: int, made: dict[str, list[int]]):
-        self.folder, self.buckets, self.bits, self.mapped = folder, buckets, bits, OrderedDict()
-        self.made = {kind: set(numbers) for kind, numbers in made.items()}
+    def __init__(self, folder: str, buckets: Buckets, bits: int, shelves: dict[str, Shelf]):
+        self.folder, self.buckets, self.bits, self.shelves, self.mapped = folder, buckets, bits, shelves, OrderedDict()
 
-    def _map(self, name: str) -> np.ndarray:
+    def _map(self, kind: str, k: int) -> np.ndarray:
+        name = f"{kind}-all.{k}"
         if name not in self.mapped:
             if len(self.mapped) >= self.MAPS:
                 self.mapped.popitem(last=False)
@@ -354,56 +423,55 @@ class Arrays:
     def shard(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> U(64 - self.bits)).astype(np.int64)
 
+    def place(self, kind: str, shard: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the kind's files have the keys, and whether they have them."""
+        shelf = self.shelves.get(kind)
+        if shelf is None or not len(keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        have, index = self._map(kind, 0), self._map(kind, 2)
+        slot = (shard << shelf.bits) + ((keys << U(shelf.shared)) >> U(64 - shelf.bits)).astype(np.int64)
+        at = shelf.start[shard] + index[slot]
+        got = have[at]
+        left = np.flatnonzero(got < keys)
+        while len(left):
+            at[left] += 1
+            got[left] = have[at[left]]
+            left = left[got[left] < keys[left]]
+        return at, (got == keys) & (keys != LAST)
+
     def find(self, kind: str, shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
         """The values of keys, 0 where there are none."""
-        order, runs = self._runs(kind, shard, keys)
-        found, has = np.zeros((len(keys), width), np.int64), np.zeros(len(keys), bool)
-        for b, i, j, ask in runs:
-            at, has[i:j] = self._place(kind, b, ask)
-            found[i:j] = self._map(f"{kind}-{b}.1").reshape(-1, width)[at]
-        found[~has] = 0
-        out = np.empty_like(found)
-        out[order] = found
+        at, has = self.place(kind, shard, keys)
+        out = np.zeros((len(keys), width), np.int64)
+        if has.any():
+            out[has] = self._map(kind, 1)[at[has]]
         return out
 
-    def find_pairs(self, bucket: np.ndarray, keys: np.ndarray, adjusted: bool = False) -> tuple[np.ndarray, ...]:
+    def find_pairs(self, bucket: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of bigrams: their count (0: none), the mark of what stands before one that was seen once (else -1), their number;
-        adjusted: and the count that they have in the model."""
-        order, runs = self._runs("pairs", bucket, keys)
-        value, number, has = np.zeros(len(keys), np.int64), np.zeros(len(keys), U), np.zeros(len(keys), bool)
-        model = value.copy() if adjusted else None
-        for b, i, j, ask in runs:
-            at, has[i:j] = self._place("pairs", b, ask)
-            value[i:j] = self._map(f"pairs-{b}.1")[at]
-            np.add(at.view(U), U(b << 32), out=number[i:j])
-            if adjusted:
-                model[i:j] = self._map(f"adjusted-{b}.0")[at] if b in self.made["adjusted"] else np.where(value[i:j] < 0, 1, value[i:j])
-        out = []
-        for x in (np.where(value < 0, 1, value), np.where(value < 0, -1 - value, -1), number, *([model] if adjusted else [])):
-            x[~has] = -1 if len(out) == 1 else 0
-            out.append(np.empty_like(x))
-            out[-1][order] = x
-        return tuple(out)
-
-    def _runs(self, kind: str, shard: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, int, int, np.ndarray]]]:
-        """An order by shard, and nearly by key; each shard that has files, from and to where it stands in that order, and its keys."""
-        if not len(keys):
-            return np.zeros(0, np.int64), iter(())
-        order = near_order(_beside(shard, int(shard.max()) + 1, keys))
-        turn, asked = shard[order], keys[order]
-        start = _starts(turn)
-        return order, ((b, i, j, asked[i:j]) for b, i, j in zip(turn[start].tolist(), start.tolist(), [*start[1:].tolist(), len(keys)]) if b in self.made[kind])
-
-    def _place(self, kind: str, b: int, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where a shard's file has the keys, and whether it has them."""
-        have = self._map(f"{kind}-{b}.0")
-        at = have.searchsorted(ask)
-        np.minimum(at, len(have) - 1, out=at)
-        return at, have[at] == ask
+        which of them recur, and where they stand in the table of those."""
+        at, has = self.place("pairs", bucket, keys)
+        seen, mark = has.astype(np.int64), np.full(len(keys), -1, np.int64)
+        if not has.any():
+            return seen, mark, np.zeros(len(keys), U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        shelf = self.shelves["pairs"]
+        value = self._map("pairs", 1)[at, 0]
+        number = (bucket << 32 | (at - shelf.start[bucket])).view(U)
+        number[~has] = 0
+        once = has & (value < 0)
+        mark[once] = -1 - value[once]
+        recur = np.flatnonzero(has & (value >= 0))
+        row = shelf.recur[bucket[recur]] + value[recur]
+        if len(recur):
+            seen[recur] = self._map("pairs", 3)[row, 0]
+        return seen, mark, number, recur, row
+
+
+_lookups: dict[str, Arrays] = {}
 
 
 def _extended(of: tuple):
-    """of: folder, buckets, bits and files of the bigrams. text -> (bucket, block): a block has the numbers of last two words, how many
+    """of: folder, buckets, bits and shelf of the bigrams. text -> (bucket, block): a block has the numbers of last two words, how many
     contexts each has, contexts (numbers of the first two words), counts. Bucket -1 has, in column alone, how many trigrams
     end in bigrams seen once."""
 
@@ -425,14 +493,17 @@ def _extended(of: tuple):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array([alone] + [None] * (len(ids) - 1), pa.int64())], ["bucket", "block", "alone"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Arrays(*of)
+        if of[0] not in _lookups:
+            _lookups.clear()
+            _lookups[of[0]] = Arrays(*of)
+        lookup = _lookups[of[0]]
         held, size, alone = [], 0, 0
         for batch in batches:
             column = batch.column("text")
             for low, high in blocks(column, SCORED):
                 now, before, _ = tokens(column.slice(low, high - low))
                 home = lookup.buckets.of(before, now)
-                count, _, number = lookup.find_pairs(home, join(before, now))
+                count, _, number, _, _ = lookup.find_pairs(home, join(before, now))
                 later = before != START
                 at = np.flatnonzero(later & (count > 1))
                 alone += int(later.sum()) - len(at)
@@ -448,14 +519,15 @@ def _extended(of: tuple):
     return run
 
 
-def _joined(folder: str, buckets: Buckets, bits: int, least: int):
-    """All blocks of a trigram bucket -> arrays of the trigrams seen so often on disk; (bucket, block) of its pairs, and from n on of its contexts."""
+def _joined(folder: str, least: int):
+    """All blocks of a trigram bucket -> arrays of the trigrams seen so often on disk; (group of buckets, block) of its pairs, and
+    of its contexts, whose blocks say so in made."""
 
     def run(table: pa.Table) -> pa.Table:
         own = table.column("bucket")[0].as_py()
         if own < 0:
             alone = sum(table.column("alone").to_pylist())
-            return pa.Table.from_pylist([{"bucket": -1, "block": None, "of_counts": [alone, 0, 0, 0], "made": None}], PARTS)
+            return pa.Table.from_pylist([{"bucket": -1, "of_counts": [alone, 0, 0, 0]}], PARTS)
         parts = []
         for data in table.column("block").to_pylist():
             pair, lengths, context, counts = (_widen(x, kind) for x, kind in zip(_unpack(data, *[np.uint8] * 4), (U, np.uint32, U, np.uint32)))
@@ -465,45 +537,60 @@ def _joined(folder: str, buckets: Buckets, bits: int, least: int):
         kept = seen >= least
         if kept.any():
             _save(folder, f"triples-{own}", keys[kept], _narrow(seen[kept]))
-        out = [{"bucket": -1, "block": None, "of_counts": _seen(seen), "made": own if kept.any() else None}]
+        out = [{"bucket": -1, "of_counts": _seen(seen), "made": own, "size": int(kept.sum()), "most": int(seen.max()), "recur": None}]
+        small = zstandard.ZstdCompressor(level=1)
+
+        def send(numbers: np.ndarray, sums: list[np.ndarray], made: int | None) -> None:
+            """A block for each group of buckets of bigrams, which are given by their numbers in order."""
+            group = numbers >> U(32 + SETTLED)
+            start = _starts(group)
+            for b, i, j in zip(group[start].tolist(), start.tolist(), [*start[1:].tolist(), len(group)]):
+                out.append({"bucket": b, "block": _pack(*(_squeeze(x, small) for x in (_steps(numbers[i:j]), *(s[i:j] for s in sums)))), "made": made})
+
         again = seen > 1
-        contexts, _, sums = summed(mix(context[first][again]), seen[again], *(x[again].astype(np.int64) for x in (seen == 2, seen > 2)))
-        out += _sorted_blocks(contexts, sums, bits, buckets.n)
+        contexts, _, sums = summed(context[first][again], seen[again], *(x[again].astype(np.int64) for x in (seen == 2, seen > 2)))
+        send(contexts, sums, own)
         pairs, _, different = numbered(pair[first])
-        small = zstandard.ZstdCompressor(level=1)
-        for b in np.unique(pairs >> U(32)).tolist():
-            i, j = np.searchsorted(pairs, np.array([b << 32, (b + 1) << 32], U))
-            out.append({"bucket": b, "block": _pack(_squeeze(_steps(pairs[i:j]), small), _squeeze(different[i:j], small)), "of_counts": None, "made": None})
+        send(pairs, [different], None)
         return pa.Table.from_pylist(out, PARTS)
 
     return run
 
 
-def _settled(folder: str, n: int, bits: int):
-    """All blocks of a pair bucket -> the counts that its bigrams have in the model, on disk; (word bucket, block of sums).
-    All blocks of a context bucket -> context arrays on disk."""
+def _settled(parts: str, folder: str, shelf: Shelf, bits: int):
+    """All blocks of a group of buckets of bigrams -> what the table of those that recur has of them, on disk; (word bucket, block of sums)."""
 
     def run(table: pa.Table) -> pa.Table:
         own = table.column("bucket")[0].as_py()
-        if own >= n:
-            contexts, sums = _summed_blocks(table, 3)
-            _save(folder, f"contexts-{own - n}", contexts, _narrow(np.stack(sums, 1)))
-            return pa.Table.from_pylist([{"bucket": -1, "block": None, "of_counts": None, "made": own}], PARTS)
-        parts = []
-        for data in table.column("block").to_pylist():
-            pairs, different = _unpack(data, np.uint8, np.uint8)
-            parts.append((np.cumsum(_widen(pairs, U), dtype=U), _widen(different, np.int64)))
-        pairs, different = (np.concatenate(x) for x in zip(*parts))
-        pairs, _, (different,) = summed(pairs, different)
-        count, word = np.maximum(np.load(f"{folder}/pairs-{own}.1.npy"), 1), np.load(f"{folder}/heads-{own}.0.npy")
-        if len(word) != len(pairs):
-            raise RuntimeError(f"bucket {own}: {len(word)} bigrams that recur, trigrams of {len(pairs)}")
-        count[pairs & U(0xFFFFFFFF)] = different
-        _save(folder, f"adjusted-{own}", _narrow(count))
+        of_pairs, of_contexts = [], []
+        for data, made in zip(table.column("block").to_pylist(), table.column("made").to_pylist()):
+            held = of_pairs if made is None else of_contexts
+            numbers, *sums = _unpack(data, *[np.uint8] * (2 if made is None else 4))
+            held.append((np.cumsum(_widen(numbers, U), dtype=U), *(_widen(x, np.int64) for x in sums)))
+        rank = np.load(f"{folder}/pairs-all.1.npy", mmap_mode="r")
+        recur = np.load(f"{folder}/pairs-all.3.npy", mmap_mode="r+")
+
+        def put(held: list[tuple[np.ndarray, ...]], column: int) -> list[np.ndarray]:
+            if not held:
+                return [np.zeros(0, np.int64)]
+            numbers, *sums = (np.concatenate(x) for x in zip(*held))
+            numbers, _, sums = summed(numbers, *sums)
+            bucket = (numbers >> U(32)).astype(np.int64)
+            row = shelf.recur[bucket] + rank[shelf.start[bucket] + (numbers & U(0xFFFFFFFF)).astype(np.int64), 0]
+            for k, x in enumerate(sums):
+                recur[row, column + k] = x
+            return sums
+
+        put(of_contexts, 2)
+        (different,) = put(of_pairs, 1)
+        heads = [f"{parts}/heads-{b}.0.npy" for b in range(own << SETTLED, min((own + 1) << SETTLED, len(shelf.start) - 1)) if shelf.start[b] + 1 < shelf.start[b + 1]]
+        word = np.concatenate([np.load(name) for name in heads])
+        if len(word) != len(different):
+            raise RuntimeError(f"group {own}: {len(word)} bigrams that recur, trigrams of {len(different)}")
         zero = np.zeros(len(word), np.int64)
         words_, _, sums = summed(word, zero, zero, *_followed(different))
-        out = _sorted_blocks(words_, sums, bits, 0)
-        out.append({"bucket": -1, "block": None, "of_counts": _seen(different), "made": own})
+        out = _sorted_blocks(words_, sums, bits)
+        out.append({"bucket": -1, "of_counts": _seen(different), "made": own})
         return pa.Table.from_pylist(out, PARTS)
 
     return run
@@ -518,12 +605,12 @@ def _words(folder: str):
         _save(folder, f"words-{b}", w, _narrow(np.stack(s, 1)))
         before = s[1][s[1] > 0]
         of_counts = _seen(before)
-        return pa.Table.from_pylist([{"tokens": int(s[0].sum()), "words": int((s[0] > 0).sum()), "pairs": int(before.sum()), "more": int((before > 2).sum()), "of_counts": of_counts, "made": b}], NUMBERS)
+        return pa.Table.from_pylist([{"tokens": int(s[0].sum()), "words": int((s[0] > 0).sum()), "pairs": int(before.sum()), "more": int((before > 2).sum()), "of_counts": of_counts, "made": b, "size": len(w), "most": max(int(x.max()) for x in s)}], NUMBERS)
 
     return run
 
 
-NUMBERS = pa.schema([("tokens", pa.int64()), ("words", pa.int64()), ("pairs", pa.int64()), ("more", pa.int64()), ("of_counts", pa.list_(pa.int64())), ("made", pa.int64())])
+NUMBERS = pa.schema([("tokens", pa.int64()), ("words", pa.int64()), ("pairs", pa.int64()), ("more", pa.int64()), ("of_counts", pa.list_(pa.int64())), ("made", pa.int64()), ("size", pa.int64()), ("most", pa.int64())])
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -539,8 +626,8 @@ def discounts(n: list[int]) -> list[float]:
 class Model(Arrays):
     """Mapped arrays and the model's numbers."""
 
-    def __init__(self, folder: str, buckets: Buckets, bits: int, numbers: dict, made: dict[str, list[int]]):
-        super().__init__(folder, buckets, bits, made)
+    def __init__(self, folder: str, buckets: Buckets, bits: int, numbers: dict, shelves: dict[str, Shelf]):
+        super().__init__(folder, buckets, bits, shelves)
         self.numbers = numbers
         self.d3, self.d2, self.d1 = (np.array(discounts(numbers[f"{x}_counts"])) for x in ("triple", "pair", "word"))
         self.d3[1 : numbers["least"]] = 1  # a pruned trigram loses its whole count
@@ -565,21 +652,21 @@ class Model(Arrays):
         of_before[1:] = of_now[:-1]
         of_before[start] = back[-1]
         home = self.buckets.of_coded(*self.buckets.first(distinct), of_before, now)
-        seen, mark, number, adjusted = self.find_pairs(home, join(before, now), adjusted=True)
+        seen, mark, number, recur, row = self.find_pairs(home, join(before, now))
+        adjusted, rest = seen.copy(), self.d3[1] * seen  # what a bigram seen once has in the model, and leaves as a context
+        if len(recur):
+            whole, adjusted[recur], kept, two, more = self._map("pairs", 3)[row].T.astype(np.int64)
+            rest[recur] = self.d3[1] * (whole - kept) + self.d3[2] * two + self.d3[3] * more
         p = np.maximum(adjusted - self.d2[np.minimum(adjusted, 3)], 0) / np.maximum(total[of_before], 1) + gamma[of_before] * single[of_now]
         at = np.flatnonzero(before != START)
         at = at[seen[at - 1] > 0]
-        whole, of_context, thrice = seen[at - 1], np.zeros((len(at), 3), np.int64), np.zeros(len(at), np.int64)
-        again = np.flatnonzero(whole > 1)
-        context = mix(number[at[again] - 1])
-        of_context[again] = self.find("contexts", self.shard(context), context, 3)
-        kept, two, more = of_context.T
+        whole, thrice = seen[at - 1], np.zeros(len(at), np.int64)
         thrice[mark[at] == _mark(before[at - 1])] = 1
         again = np.flatnonzero(seen[at] > 1)
         k = at[again]
         context = number[k - 1]
         thrice[again] = self.find("triples", self.buckets.of_triples(home[k], context, seen[k]), join(context, number[k]), 1)[:, 0]
-        p[at] = np.maximum(thrice - self.d3[np.minimum(thrice, 3)], 0) / whole + (self.d3[1] * (whole - kept) + self.d3[2] * two + self.d3[3] * more) / whole * p[at]
+        p[at] = np.maximum(thrice - self.d3[np.minimum(thrice, 3)], 0) / whole + rest[at - 1] / whole * p[at]
         count = stats[:, 0]
         base = np.log10((count + 1) / (self.numbers["tokens"] + (vocabulary + 1)))[of_now]
         sums = lambda x: np.add.reduceat(x, start)
@@ -589,8 +676,8 @@ class Model(Arrays):
 _models: dict[str, Model] = {}
 
 
-def train(docs: DataFrame, scratch: Scratch, bucket_tokens: int = BUCKET_TOKENS, least: int = 1) -> tuple[str, Buckets, int, dict, dict[str, list[int]]]:
-    """Folder, buckets, bits of words and contexts, numbers and files of the model of docs (text); least: 1, or 2 to prune
+def train(docs: DataFrame, scratch: Scratch, bucket_tokens: int = BUCKET_TOKENS, least: int = 1) -> tuple[str, Buckets, int, dict, dict[str, Shelf]]:
+    """Folder, buckets, bits of words, numbers and shelves of the model of docs (text); least: 1, or 2 to prune
     trigrams seen once."""
     if least not in (1, 2):
         raise ValueError("least must be 1 or 2")
@@ -602,32 +689,40 @@ def train(docs: DataFrame, scratch: Scratch, bucket_tokens: int = BUCKET_TOKENS,
     n = max(8, int(chars) // (6 * bucket_tokens))
     buckets = dealt(docs, n, bucket_tokens // 4)
     bits = max(2, (n // 4).bit_length())
-    parts = "bucket long, block binary, of_counts array<long>, made long"
-    spread = max(8, n // 4)  # partitions grow with the buckets, so that tasks do not
-
-    def step(df: DataFrame, run, name: str) -> tuple[DataFrame, list[int], list[int]]:
-        """The written blocks of a step, how much was seen once to four times, the numbers of its files."""
-        out = scratch.keep(df.repartition(spread, "bucket").groupBy("bucket").applyInArrow(run, parts), name)
+    spread = max(8, n)  # partitions grow with the buckets, so that tasks do not
+    spark, parts = docs.sparkSession, f"{folder}-parts"
+    sizes = lambda rows, column="size": {r["made"]: r[column] for r in rows if r[column]}
+    most = lambda rows: max((r["most"] or 0 for r in rows), default=0)
+
+    def step(df: DataFrame, run, name: str) -> tuple[DataFrame, list[int], list[Row]]:
+        """The written blocks of a step, how much was seen once to four times, what it says of its files."""
+        out = scratch.keep(df.repartition(spread, "bucket").groupBy("bucket").applyInArrow(run, PARTS_DDL), name)
         scratch.release()
         told = out.where("bucket < 0")
         counts = [r or 0 for r in told.agg(*[F.sum(F.col("of_counts")[k]) for k in range(4)]).first()]
-        return out.where("bucket >= 0"), counts, sorted(r["made"] for r in told.where("made is not null").select("made").collect())
+        return out.where("bucket >= 0"), counts, told.where("made is not null").select("made", "size", "most", "recur").collect()
 
+    shelves = {}
     counted = docs.select("text").mapInArrow(_counted(buckets), "bucket long, block binary")
-    closed, closed_counts, pairs = step(counted, _merged(folder, bits), "closed")
-    lookup = (folder, buckets, bits, {"pairs": pairs})
-    extended = docs.select("text").mapInArrow(_extended(lookup), "bucket long, block binary, alone long")
-    joined, triple_counts, triples = step(extended, _joined(folder, buckets, bits, least), "joined")
-    settled, open_counts, last = step(joined, _settled(folder, n, bits), "settled")
+    closed, closed_counts, pairs = step(counted, _merged(parts, bits), "closed")
+    shelves["pairs"] = _shelf(sizes(pairs), n, recur=sizes(pairs, "recur"))
+    lay(spark, parts, folder, "pairs", shelves["pairs"], np.int32, counts=np.uint32 if most(pairs) < 1 << 32 else np.int64)
+    extended = docs.select("text").mapInArrow(_extended((folder, buckets, bits, dict(shelves))), "bucket long, block binary, alone long")
+    joined, triple_counts, triples = step(extended, _joined(parts, least), "joined")
+    settled, open_counts, _ = step(joined, _settled(parts, folder, shelves["pairs"], bits), "settled")
     scratch.drop("joined")
-    sums = closed.unionByName(settled).repartition(spread, "bucket").groupBy("bucket").applyInArrow(_words(folder), "tokens long, words long, pairs long, more long, of_counts array<long>, made long")
-    row = sums.agg(*[F.sum(c).alias(c) for c in ("tokens", "words", "pairs", "more")], *[F.sum(F.col("of_counts")[k]).alias(f"n{k}") for k in range(4)], F.sort_array(F.collect_list("made")).alias("made")).first()
+    sums = closed.unionByName(settled).repartition(spread, "bucket").groupBy("bucket").applyInArrow(_words(parts), "tokens long, words long, pairs long, more long, of_counts array<long>, made long, size long, most long")
+    row = sums.agg(*[F.sum(c).alias(c) for c in ("tokens", "words", "pairs", "more")], *[F.sum(F.col("of_counts")[k]).alias(f"n{k}") for k in range(4)], F.collect_list(F.struct("made", "size", "most")).alias("made")).first()
     numbers = {c: row[c] or 0 for c in ("tokens", "words", "pairs", "more")}
     numbers |= {"least": least, "word_counts": [row[f"n{k}"] or 0 for k in range(4)], "pair_counts": [a + b for a, b in zip(closed_counts, open_counts)], "triple_counts": triple_counts}
     scratch.drop("closed", "settled")
     scratch.release()
-    made = {"pairs": pairs, "adjusted": [b for b in last if b < n], "triples": triples, "contexts": [b - n for b in last if b >= n], "words": list(row["made"] or [])}
-    return folder, buckets, bits, numbers, made
+    for kind, rows, shards, shared, width in (("words", row["made"] or [], 1 << bits, bits, len(STATS)), ("triples", triples, n, 0, 1)):
+        if held := sizes(rows):
+            shelves[kind] = _shelf(held, shards, shared)
+            lay(spark, parts, folder, kind, shelves[kind], np.min_scalar_type(most(rows)), width)
+    shutil.rmtree(parts, ignore_errors=True)
+    return folder, buckets, bits, numbers, shelves
 
 
 def score(docs: DataFrame, learn_from: DataFrame, bucket_tokens: int = BUCKET_TOKENS, least: int = 1) -> DataFrame:
